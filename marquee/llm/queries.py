@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontam, packing, sharding, simhash, warc
 
 QUERIES = {
+    "op2_warc": warc.op2_warc,
+    "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
+    "op5_winnowing": decontam.op5_winnowing,
+    "op6_histogram_sort": sharding.op6_histogram_sort,
 }
 
 ORACLES: dict[str, str] = {}
