@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, sharding, simhash, warc
+from . import decontam, embeddings, lines, lmscore, packing, sharding, simhash, toxicity, urls, warc
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_warc": warc.op2_warc,
     "op3_packing": packing.op3_packing,
     "op4_simhash": simhash.op4_simhash,
     "op5_winnowing": decontam.op5_winnowing,
     "op6_histogram_sort": sharding.op6_histogram_sort,
+    "op7_cross_entropy": lmscore.op7_cross_entropy,
+    "op8_pstable": embeddings.op8_pstable,
+    "op9_line_spread": lines.op9_line_spread,
+    "op10_url_ratio": urls.op10_url_ratio,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op9_line_spread": lines.OP9_SQL,
+}

@@ -48,16 +48,17 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp): the fingerprint as a signed bigint with the same bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, fp, carried columns): the fingerprint as a signed bigint with the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in common.binary_list(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["id", "fp", *carry])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
+    kinds = dict(docs.select(*carry).dtypes) if carry else {}
+    return source.mapInArrow(run, ", ".join(["id long", "fp long", *(f"{c} {kinds[c]}" for c in carry)]))
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -160,21 +161,41 @@ def edges(distinct_fps: DataFrame, max_bits: int = 3, block: int = 2048) -> Data
     return with_base.mapInArrow(_verify(max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, max_bits: int = 3, block: int = 2048) -> DataFrame:
-    """One row (id_col, fp, component) per input row; component is the smallest id reachable by links.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, max_bits: int = 3, block: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row (id_col, fp, component, carried columns) per input row; component is the smallest id reachable by links.
 
     Nulls: a null text has fingerprint zero and is linked like any other; a null id gets its row but never names a
     component (null if no linked row has an id). Repeated rows stay repeated. An empty table gives an empty table.
     Other columns are ignored, whatever their names. Texts are read whole.
     """
-    fps = common.stage(fingerprints(docs, id_col, text_col, shingle), "fps")
+    fps = common.stage(fingerprints(docs, id_col, text_col, shingle, carry), "fps")
     distinct = common.stage(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct_fps")
     comps = common.components(edges(distinct, max_bits, block))
     rooted = distinct.join(comps.toDF("fp", "root"), "fp").select("fp", "root", "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     moved = common.stage(rooted.join(least, "root").select("fp", "component"), "moved")
     reps = common.stage(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "reps")
-    return fps.join(reps, "fp").select(F.col("id").alias(id_col), "fp", "component")
+    return fps.join(reps, "fp").select(F.col("id").alias(id_col), "fp", "component", *carry)
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without near-duplicates: of each class the row with the least id stays, whole and unchanged.
+
+    Of rows that share that id one stays. Classes in which no row has an id keep one row for each fingerprint. Columns
+    may have any names."""
+    names = docs.columns
+    text = F.col(text_col).cast("string")
+    k1, k2 = F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), text).alias("k2")
+    keyed = docs.select(F.struct(*names).alias("row"), k1, k2)
+    slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), k1, k2)
+    found = near_duplicates(slim, "id", "text", carry=("k1", "k2"), **options).where("id <=> component")
+    group = F.when(F.col("component").isNull(), F.col("fp"))
+    chosen = found.groupBy("component", group.alias("of")).agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
+    chosen = common.stage(chosen.select("k.k1", "k.k2", "n"), "chosen")
+    kept = keyed.join(chosen, ["k1", "k2"])
+    if not chosen.where("n > 1").isEmpty():  # an id's rows that are equal
+        kept = kept.dropDuplicates(["k1", "k2"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in names))
 
 
 def hex_fingerprint(fp):
