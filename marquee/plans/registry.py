@@ -6,5 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from . import listing_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**listing_queries.QUERIES}
+ORACLES: dict[str, str] = {**listing_queries.ORACLES}
