@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import listing_queries
+from . import listing_queries, ranking_queries
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**listing_queries.QUERIES}
-ORACLES: dict[str, str] = {**listing_queries.ORACLES}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {**listing_queries.QUERIES, **ranking_queries.QUERIES}
+ORACLES: dict[str, str] = {**listing_queries.ORACLES, **ranking_queries.ORACLES}
