@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import decontam, embeddings, lines, lmscore, packing, sharding, simhash, toxicity, urls, warc
+from .oracles import ORACLES
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -17,6 +18,4 @@ QUERIES = {
     "op10_url_ratio": urls.op10_url_ratio,
 }
 
-ORACLES: dict[str, str] = {
-    "op9_line_spread": lines.OP9_SQL,
-}
+__all__ = ["ORACLES", "QUERIES"]
