@@ -47,18 +47,27 @@ def quality(signals: dict[str, Column]) -> Column:
 # ---- ranking ----
 
 
-def matches(a: Column, b: Column) -> Column:
-    """Either label holds the other, case and outer white space aside."""
-    x, y = F.lower(strip(a)), F.lower(strip(b))
+def label(c: Column) -> Column:
+    return F.lower(strip(c))
+
+
+def labels(c: Column) -> Column:
+    """Labels of an array as ``matches`` compares them; worth doing once per row before rows meet in a join."""
+    return F.transform(c, label)
+
+
+def matches(a: Column, b: Column, plain: bool = False) -> Column:
+    """Either label holds the other, case and outer white space aside; ``plain`` labels are normalised already."""
+    x, y = (a, b) if plain else (label(a), label(b))
     return x.contains(y) | y.contains(x)
 
 
-def category_fit(categories: Column, weights: Column, interests: Column) -> Column:
+def category_fit(categories: Column, weights: Column, interests: Column, plain: bool = False) -> Column:
     """Mean weight of each category's first matching key; without weights the share of categories with a stated interest;
     without either 0.5. ``weights``: array of struct<key, weight>, in order."""
-    hits = F.filter(F.transform(categories, lambda c: F.get(F.filter(weights, lambda w: matches(c, w["key"])), 0)["weight"]), lambda x: x.isNotNull())
+    hits = F.filter(F.transform(categories, lambda c: F.get(F.filter(weights, lambda w: matches(c, w["key"], plain)), 0)["weight"]), lambda x: x.isNotNull())
     by_weight = F.when(F.size(hits) == 0, 0.0).otherwise(F.aggregate(hits, F.lit(0.0), lambda a, x: a + x) / F.size(hits))
-    share = F.size(F.filter(categories, lambda c: F.exists(interests, lambda i: matches(c, i)))) / F.size(categories)
+    share = F.size(F.filter(categories, lambda c: F.exists(interests, lambda i: matches(c, i, plain)))) / F.size(categories)
     return F.when(F.size(categories) <= 0, 0.0).when(F.size(weights) > 0, clamp(by_weight)).when(F.size(interests) > 0, clamp(share)).otherwise(vocab.NEUTRAL_FIT)
 
 
@@ -68,9 +77,9 @@ def vibe_fit(tags: Column, preferred: Column) -> Column:
     return F.when(F.size(preferred) <= 0, F.when(have, vocab.NEUTRAL_FIT).otherwise(0.0)).when(~have, 0.0).otherwise(clamp(overlap))
 
 
-def location_fit(neighborhood: Column, preferred: Column) -> Column:
-    n = F.lower(strip(F.coalesce(neighborhood, F.lit(""))))
-    near = F.exists(preferred, lambda p: matches(n, p))
+def location_fit(neighborhood: Column, preferred: Column, plain: bool = False) -> Column:
+    n = F.coalesce(neighborhood, F.lit("")) if plain else label(F.coalesce(neighborhood, F.lit("")))
+    near = F.exists(preferred, lambda p: matches(n, p if plain else label(p), True))
     return F.when(F.size(preferred) <= 0, vocab.NEUTRAL_FIT).when((n != "") & near, 1.0).otherwise(0.0)
 
 
@@ -82,8 +91,8 @@ def recency_factor(days: Column) -> Column:
     return F.when(days.isNull() | (days >= vocab.SOFT_RECENCY_DAYS), 1.0).when(days <= vocab.HARD_RECENCY_DAYS, floor).otherwise(floor + (1 - floor) * back)
 
 
-def novelty(days: Column, categories: Column, known_categories: Column, vibes: Column, known_vibes: Column) -> Column:
-    unseen = F.exists(categories, lambda c: ~F.array_contains(known_categories, F.lower(strip(c)))) | F.exists(vibes, lambda v: ~F.array_contains(known_vibes, v))
+def novelty(days: Column, categories: Column, known_categories: Column, vibes: Column, known_vibes: Column, plain: bool = False) -> Column:
+    unseen = F.exists(categories, lambda c: ~F.array_contains(known_categories, c if plain else label(c))) | F.exists(vibes, lambda v: ~F.array_contains(known_vibes, v))
     factor = recency_factor(days)
     return F.when(unseen, clamp(factor + vocab.UNSEEN_BONUS)).otherwise(factor)
 

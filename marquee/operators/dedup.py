@@ -47,7 +47,9 @@ def fuzzy_pairs(events: DataFrame) -> DataFrame:
     # equal titles are alike; others need enough length in common for the ratio to be possible
     longest, total = F.greatest(F.length("a"), F.length("b")), F.length("a") + F.length("b")
     possible = x.join(y, ["event_date", "venue_key"]).where((F.col("a") < F.col("b")) & (2.0 * (total - longest) / total > SIMILAR_ABOVE))
-    alike = possible.withColumn("similarity", title_similarity("a", "b")).where(F.col("similarity") > SIMILAR_ABOVE)
+    # the costly comparison once per distinct pair of titles, however many blocks hold both
+    scored = possible.select("a", "b").distinct().withColumn("similarity", title_similarity("a", "b")).where(F.col("similarity") > SIMILAR_ABOVE)
+    alike = possible.join(scored, ["a", "b"])
     left = block.select("event_date", "venue_key", F.col("title").alias("a"), F.col("event_id").alias("left_id"))
     right = block.select("event_date", "venue_key", F.col("title").alias("b"), F.col("event_id").alias("right_id"))
     keys = ["event_date", "venue_key"]

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,12 +42,15 @@ def choose(pool: list[dict], limit: int = vocab.MAX_PICKS) -> list[dict]:
     """
     picks: list[dict] = []
 
+    def ids(rows: list[dict]) -> set[str]:
+        return {r["event_id"] for r in rows}
+
     def room(row: dict, among: list[dict]) -> bool:
         kinds, venues = Counter(c for p in among for c in p["categories"]), Counter(p["venue"] for p in among)
         return all(kinds[c] < vocab.MAX_PER_CATEGORY for c in row["categories"]) and venues[row["venue"]] < vocab.MAX_PER_VENUE
 
     def fits(row: dict) -> bool:
-        return all(p["event_id"] != row["event_id"] for p in picks) and room(row, picks)
+        return row["event_id"] not in ids(picks) and room(row, picks)
 
     def by_score(rows: list[dict], best: bool) -> list[dict]:
         return sorted(rows, key=lambda r: r["score"], reverse=best)
@@ -68,14 +72,14 @@ def choose(pool: list[dict], limit: int = vocab.MAX_PICKS) -> list[dict]:
     for row in pool:
         if len(picks) >= limit:
             break
-        if row not in picks and fits(row):
+        if fits(row):
             picks.append(row)
 
     dates = {p["date"] for p in picks}
     if 2 <= len(picks) and len(dates) < vocab.MIN_DATES:
-        swap(by_score([r for r in pool if r not in picks and r["date"] not in dates and not r["wildcard"]], best=True), outer_new=False)
+        swap(by_score([r for r in pool if r["event_id"] not in ids(picks) and r["date"] not in dates and not r["wildcard"]], best=True), outer_new=False)
 
-    for row in by_score([r for r in pool if r["wildcard"] and r not in picks], best=True):
+    for row in by_score([r for r in pool if r["wildcard"] and r["event_id"] not in ids(picks)], best=True):
         if any(p["wildcard"] for p in picks):
             break
         if len(picks) < vocab.MAX_PICKS:
@@ -95,22 +99,17 @@ def curate(rows: DataFrame, user: str = "user_id", limit: int = vocab.MAX_PICKS)
     w = Window.partitionBy(user, "venue", "_kinds", "event_date", "wildcard").orderBy("rank")
     few = keyed.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= limit) | F.col("wildcard")).drop("_n")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("rank")
-        pool = [
-            {"event_id": r["event_id"], "score": r["score"], "categories": list(r["_kinds"]), "venue": r["venue"], "date": r["event_date"], "wildcard": bool(r["wildcard"])}
-            for r in pdf.to_dict("records")
-        ]
-        chosen = choose(pool, limit)
-        return pd.DataFrame(
-            {
-                user: [pdf[user].iloc[0]] * len(chosen),
-                "position": range(1, len(chosen) + 1),
-                "event_id": [r["event_id"] for r in chosen],
-                "score": [r["score"] for r in chosen],
-                "wildcard": [r["wildcard"] for r in chosen],
-            }
-        ).astype({"position": "int32"})
-
     kind = dict(rows.dtypes)[user]
-    return few.select(user, "rank", "event_id", "score", "_kinds", "venue", "event_date", "wildcard").groupBy(user).applyInPandas(run, f"{user} {kind}, position int, event_id string, score double, wildcard boolean")
+    pick = "array<struct<event_id:string,score:double,wildcard:boolean>>"
+    item = F.struct("rank", "event_id", "score", F.col("_kinds").alias("categories"), "venue", F.col("event_date").alias("date"), "wildcard")
+    pools = few.groupBy(user).agg(F.array_sort(F.collect_list(item)).alias("pool"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shape = pa.list_(pa.struct([("event_id", pa.string()), ("score", pa.float64()), ("wildcard", pa.bool_())]))
+        for batch in batches:
+            chosen = [[{k: r[k] for k in ("event_id", "score", "wildcard")} for r in choose(pool, limit)] for pool in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, shape)], names=[user, "picks"])
+
+    picked = pools.mapInArrow(run, f"`{user}` {kind}, picks {pick}")
+    each = picked.select(user, F.posexplode("picks").alias("position", "pick"))
+    return each.select(user, (F.col("position") + 1).alias("position"), "pick.*")

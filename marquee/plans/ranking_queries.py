@@ -194,23 +194,25 @@ def scored_events(spark, sf_dir):
     events = dedup.merge(rows)
     signals = scoring.quality_signals(F.col("title"), F.col("title"), F.col("venue"), F.col("start") + F.make_dt_interval(secs=F.lit(1)), F.lit(None), F.array("category"), F.col("link"), F.col("price_cents"), F.col("is_free"))
     events = events.withColumn("description_quality", scoring.quality(signals)).withColumn("categories", F.array("category"))
+    # labels are normalised here, once per event and user, not once per pair
+    events = events.withColumn("category_keys", scoring.labels(F.col("categories"))).withColumn("venue_label", scoring.label(F.col("venue")))
     nation = table(spark, sf_dir, "nation")
     k = F.col("c_custkey")
     users = table(spark, sf_dir, "customer").join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select(  # 25 nations
         k.alias("user_id"),
         F.col("n_name").alias("city"),
         F.array(F.struct(F.lit("jazz").alias("key"), (k % 10 / 10.0).alias("weight")), F.struct(F.lit("music").alias("key"), ((k % 7) / 7.0).alias("weight")), F.struct(F.lit("film").alias("key"), F.lit(0.0).alias("weight"))).alias("weights"),
-        F.when(k % 3 != 0, F.array(F.concat(F.lit("Venue "), (k % 10).cast("string")))).otherwise(F.array().cast("array<string>")).alias("areas"),
+        F.when(k % 3 != 0, F.array(F.concat(F.lit("venue "), (k % 10).cast("string")))).otherwise(F.array().cast("array<string>")).alias("areas"),
     )
     none = F.array().cast("array<string>")
     pairs = events.join(users, "city")
     parts = {
-        "category_fit": scoring.category_fit(F.col("categories"), F.col("weights"), none),
+        "category_fit": scoring.category_fit(F.col("category_keys"), F.col("weights"), none, plain=True),
         "vibe_fit": scoring.vibe_fit(none, none),
         "semantic_similarity": F.lit(0.0),
         "performer_affinity": F.lit(0.0),
-        "location": scoring.location_fit(F.col("venue"), F.col("areas")),
-        "novelty": scoring.novelty(F.lit(None).cast("double"), F.col("categories"), F.transform("weights", lambda w: w["key"]), none, none),
+        "location": scoring.location_fit(F.col("venue_label"), F.col("areas"), plain=True),
+        "novelty": scoring.novelty(F.lit(None).cast("double"), F.col("category_keys"), F.transform("weights", lambda w: w["key"]), none, none, plain=True),
         "source_quality": scoring.clamp(F.col("source_quality")),
         "source_coverage": scoring.source_coverage(F.col("source_count")),
         "description_quality": scoring.clamp(F.col("description_quality")),
