@@ -88,8 +88,12 @@ def profile_summary(**parts: Column) -> Column:
     return F.coalesce(F.nullif(F.concat_ws("; ", *lines), F.lit("")), F.lit("General event discovery"))
 
 
+#: fixed value: the sentence that follows an event's title
+EXPLANATION = " looks worth your time this week based on your profile signals."
+
+
 def fallback_explanation(title: Column) -> Column:
-    return F.concat(title, F.lit(" looks worth your time this week based on your profile signals."))
+    return F.concat(title, F.lit(EXPLANATION))
 
 
 def align_descriptions(answers: Column, fallbacks: Column) -> Column:

@@ -33,7 +33,7 @@ def test_indel_ratio(a, b):
 
 
 def test_near_titles_merge():
-    assert dedup.indel_ratio("Great Bambino Night", "The Great Bambino Night!") == pytest.approx(0.8837, abs=1e-4)
+    assert dedup.indel_ratio("Great Night Out", "The Great Night Out!") == pytest.approx(30 / 35)  # an edit distance would give 0.75
 
 
 def test_golden_composite(spark):
