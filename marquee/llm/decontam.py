@@ -202,7 +202,7 @@ def _scan(shared, first: bool):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *, item_col: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5, block_bytes: int = 32 << 20, drop_text: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *, item_col: str = "item_id", item_text: str = "text", window: int = 10, gram: int = 5, block_bytes: int = 8 << 20, drop_text: bool = False) -> DataFrame:
     """``docs`` with n_words, spans (word positions of merged hits, end exclusive) and items (ids of items with an
     occurring window, as strings, sorted).
 
@@ -227,7 +227,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     for number in range(blocks):
         rows = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == number)
         index = Index.of([(r["item"], r["text"].encode()) for r in rows.toLocalIterator()], window, gram)
-        frame = frame.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(index), number == 0), schema)
+        frame = frame.mapInArrow(common.in_slices(_scan(docs.sparkSession.sparkContext.broadcast(index), number == 0)), schema)
     return frame.drop("text") if drop_text or text_col != "text" else frame
 
 

@@ -17,6 +17,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from . import common
 CAPACITY = 4096
 END_ID = 1
 #: parts kept in each of two generations per Python worker, and the longest one kept
-_CACHE_PARTS, _CACHE_LENGTH = 500_000, 48
+_CACHE_PARTS, _CACHE_LENGTH = 150_000, 32
 
 
 class WordCache:
@@ -50,10 +51,26 @@ class WordCache:
             raise ValueError("ids of more than 16 bits")
         self.new: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        #: the letter by which byte-level merges write each byte
+        self.letters = [chr(b) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255 else "" for b in range(256)]
+        unseen = iter(range(256, 512))
+        self.letters = [x or chr(next(unseen)) for x in self.letters]
         self.marks = {mark: self._encode([mark])[0] for mark in ".,"}
 
     def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.dtype("<u2")).tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+        """Ids of parts. Words of lower-case letters alone are one match each, and go to the merges directly."""
+        out: dict[str, list[int]] = {}
+        merge = self.tokenizer.model.tokenize
+        for part in parts:
+            if part.isalpha():
+                if part.isascii():
+                    if part.islower():
+                        out[part] = [t.id for t in merge(part)]
+                elif part == part.lower() and is_normalized("NFC", part):
+                    out[part] = [t.id for t in merge("".join(map(self.letters.__getitem__, part.encode())))]
+        rest = [part for part in parts if part not in out]
+        out.update(zip(rest, (e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
+        return [np.array(out[part], np.dtype("<u2")).tobytes() for part in parts]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
         """Ids of different parts."""
@@ -257,7 +274,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     ids_type = ", ids array<int>" if with_ids else ""
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, rank long, part int" + ids_type
-    pieces = common.stage(source.mapInArrow(_tokenise(tokenizer_path, capacity, with_ids), schema), "pieces")
+    pieces = common.stage(source.mapInArrow(common.in_slices(_tokenise(tokenizer_path, capacity, with_ids), 1500), schema), "pieces")
     counts = common.stage(pieces.groupBy("length", "part").agg(F.count("*").alias("n")), "piece_counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(places(plan(histogram, capacity)))

@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
     kinds = dict(docs.select(*carry).dtypes) if carry else {}
-    return source.mapInArrow(run, ", ".join(["id long", "fp long", *(f"{c} {kinds[c]}" for c in carry)]))
+    return source.mapInArrow(common.in_slices(run), ", ".join(["id long", "fp long", *(f"{c} {kinds[c]}" for c in carry)]))
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:

@@ -36,7 +36,7 @@ _SENTENCE = re.compile(r"[^.!?\n]+")
 _PREFIXES = (3, 4, 5, 6)
 #: no feature is longer, so that neither a worker's cache nor the driver's table follows a text's length
 _LONGEST = 32
-_CACHE = 200_000
+_CACHE = 100_000
 
 
 def word_features(word: str) -> list[str]:
@@ -155,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Model({}, 6.0 if n1 else -6.0)
-    seen = rows.select("text", "label").mapInArrow(count, "feature string, positive long, negative long").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("negative").alias("q")).where("p + q >= 3")
+    seen = rows.select("text", "label").mapInArrow(common.in_slices(count), "feature string, positive long, negative long").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("negative").alias("q")).where("p + q >= 3")
     total, a, c = n1 + n0, F.col("p"), F.col("q")
 
     def term(x, expected):
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
             pair = pa.list_(pa.struct([("leave", pa.list_(pa.int32())), ("come", pa.list_(pa.int32()))]))
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(kept, pa.list_(pa.int32())), pa.array(swapped, pair)], names=["label", "kept", "pairs"])
 
-    data = rows.select("text", "label").mapInArrow(gather, "label int, kept array<int>, pairs array<struct<leave:array<int>,come:array<int>>>").toArrow()
+    data = rows.select("text", "label").mapInArrow(common.in_slices(gather), "label int, kept array<int>, pairs array<struct<leave:array<int>,come:array<int>>>").toArrow()
     # a fixed order, so that the fit doesn't depend on how tasks were dealt
     lines = sorted(zip(data["kept"].to_pylist(), data["label"].to_pylist(), strict=True))
     pairs = sorted({(tuple(p["leave"]), tuple(p["come"])) for x in data["pairs"].to_pylist() for p in x})
@@ -199,7 +199,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
             yield pa.RecordBatch.from_arrays([*(batch.column(at.index(n)) for n in names), scores], names=[*names, score_col])
 
     kinds = {f.name: f.dataType.simpleString() for f in frame.schema.fields}
-    return frame.mapInArrow(run, ", ".join([*(f"`{n}` {kinds[n]}" for n in names), f"`{score_col}` double"]))
+    return frame.mapInArrow(common.in_slices(run), ", ".join([*(f"`{n}` {kinds[n]}" for n in names), f"`{score_col}` double"]))
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -193,7 +193,7 @@ def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
     marked = answers(rows, "id", "payload", min_revisit_bytes)
-    records = marked.mapInArrow(_build(segment_bytes), "record binary").select(F.col("record").cast("string").alias("value"))
+    records = marked.mapInArrow(common.in_slices(_build(segment_bytes)), "record binary").select(F.col("record").cast("string").alias("value"))
     records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
 
