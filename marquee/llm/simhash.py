@@ -105,7 +105,7 @@ def _verify(max_bits: int):
     """Links within the members of a cell, as a spanning forest: enough for components, and never more rows than members."""
 
     def links(base: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found_a, found_b = [], []
+        found_a, found_b = [base[:0]], [base[:0]]
         rows = max(1, 4_000_000 // max(1, len(other)))
         emb_b, emb_o = popcounts(base), popcounts(other)
         for k in range(0, len(base), rows):
