@@ -22,8 +22,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on several sites; each such line stays in one document. n_chars follows the text."""
-    cleaned = lines.dedup_lines(docs).select(*docs.columns)
+    """All documents, without lines that stand on several sites; each such line stays in one document. Documents that repeat
+    another as a whole are left to the next stage. n_chars follows the text."""
+    cleaned = lines.dedup_lines(docs, spare_copies=True).select(*docs.columns)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cleaned
 
 

@@ -37,12 +37,16 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
     return common.stage(exact.select("h1", "h2", "keeper").unionByName(sure.select("h1", "h2", "keeper")), "boilerplate")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, min_sites: int = 3, min_chars: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, min_sites: int = 3, min_chars: int = 10, spare_copies: bool = False) -> DataFrame:
     """``docs`` with cross-site boilerplate lines removed from ``text_col``, and columns n_lines and n_removed.
 
     Lines end with a line feed; they are compared without the spaces, tabs and carriage returns around them; lines of
     fewer than ``min_chars`` characters are never removed. All rows stay, also those left with an empty text.
 
+    With ``spare_copies``, a document that repeats another one is left whole for near-duplicate removal: three or more of
+    its boilerplate lines, half of its characters or more, are kept by one and the same document. Stripped of them it
+    would remain as scraps that no longer look like the document they come from.
+
     A null text stays null, with no lines. A null site is one site of its own. A null id never keeps a line for itself; a
     line that only such rows hold is removed from none. Rows that repeat an id and text are treated alike. Empty table:
     no rows. Columns of the results' names are replaced; others, whatever their names, stay.
@@ -61,12 +65,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     parts = F.split("text", "\n", -1)
     each = base.select("doc", "k1", "k2", "site", F.posexplode(parts).alias("at", "line")).withColumn("line", F.trim(F.col("line"), F.lit(" \t\r")))
-    each = each.where(F.length("line") >= min_chars).select("doc", "k1", "k2", "site", "at", *line_hashes(F.col("line")))
+    each = each.where(F.length("line") >= min_chars).select("doc", "k1", "k2", "site", "at", F.length("line").alias("size"), *line_hashes(F.col("line")))
     lines = common.stage(each, "lines")
     common_lines = boilerplate(lines.select("h1", "h2", "site", "doc"), min_sites)
     hits = lines.join(common_lines, ["h1", "h2"]).where("keeper is not null and not (doc <=> keeper)")
-    gone = common.stage(hits.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "line_hits")
+    # a repeated row's lines come twice, which neither set nor share feels
+    by_keeper = hits.groupBy("k1", "k2", "keeper").agg(F.collect_set("at").alias("ats"), F.sum("size").alias("size"), F.count("*").alias("rows"), F.count_distinct("at").alias("n"))
+    by_doc = by_keeper.groupBy("k1", "k2").agg(F.flatten(F.collect_list("ats")).alias("gone"), F.max(F.struct((F.col("size") * F.col("n") / F.col("rows")).alias("size"), "n")).alias("most"))
+    gone = common.stage(by_doc, "line_hits")
     joined = base.drop("doc", "site").join(gone, ["k1", "k2"], "left")
+    if spare_copies:
+        copy = (F.col("most.n") >= 3) & (2 * F.col("most.size") >= F.length("text"))
+        joined = joined.withColumn("gone", F.when(~copy, F.col("gone")))
     kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
     cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
     return joined.select(

@@ -38,5 +38,16 @@ def test_near_threshold_counts_are_exact(spark):
     assert gone == 99 + 100
 
 
+def test_copies_are_spared(spark):
+    body = [f"line number {k} of a text" for k in range(6)]
+    passage = "a passage that stands on many sites " * 3
+    rows = [(k, "\n".join([*body[:5], f"{body[5]} changed {k}"]), f"s{k}") for k in range(6)]
+    rows += [(10 + k, f"own words of {k} and more of them\n{passage}", f"s{k}") for k in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(df, spare_copies=True).collect()}
+    assert got == {**dict.fromkeys(range(6), 0), 10: 0, **dict.fromkeys(range(11, 15), 1)}
+    assert sum(r.n_removed for r in lines.dedup_lines(df).collect()) == 5 * 5 + 4
+
+
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
