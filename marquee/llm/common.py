@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: by application, where no shared folder is set
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset is another one chosen: a
     temporary folder in local mode (tests), else a folder in the warehouse."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         local = spark.sparkContext.master.split("[")[0] == "local"
-        found = tempfile.mkdtemp(prefix="marquee-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-        spark.conf.set("spark.checkpoint.dir", found)
+        app = spark.sparkContext.applicationId
+        if app not in _OWN:
+            _OWN[app] = tempfile.mkdtemp(prefix="marquee-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
+        found = _OWN[app]
     return found.rstrip("/")
 
 
