@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import common
 
-_CACHE = 500_000
+_CACHE = 200_000
 _SHIFT = np.uint64(32)
 #: key of the totals among the counts; no n-gram has it, since no word has hash zero
 _TOTAL = 0
@@ -62,27 +62,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = slice(at, at + 50_000)
             yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(t[part]), pa.array(n[part])], names=["key", "target", "background"])
 
-    keys, wanted, size = [], [], 0
+    keys, wanted, size, all_tokens, wanted_tokens = [], [], 0, 0, 0
     for batch in batches:
         for text, target in zip(common.binary_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
             tokens = hasher.tokens(text)
             if not len(tokens):
                 continue
             keys += [tokens, (tokens[:-1] << _SHIFT) | tokens[1:]]
-            # the totals: one key per token
-            keys.append(np.zeros(len(tokens), np.uint64))
-            wanted.append(np.full(3 * len(tokens) - 1, bool(target)))
-            size += 3 * len(tokens)
-            if size > 6_000_000:
+            wanted.append(np.full(2 * len(tokens) - 1, bool(target)))
+            size += 2 * len(tokens)
+            all_tokens += len(tokens)
+            wanted_tokens += len(tokens) * bool(target)
+            if size > 5_000_000:
                 yield from flush(keys, wanted)
                 keys, wanted, size = [], [], 0
     if keys:
         yield from flush(keys, wanted)
+    if all_tokens:
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (_TOTAL, wanted_tokens, all_tokens)], names=["key", "target", "background"])
 
 
 def counts(docs: DataFrame, min_count: int) -> tuple[DataFrame, int, int]:
     """Kept n-grams (key, target, background), and the numbers of tokens of both sides. ``docs``: text, target."""
-    partial = docs.select("text", "target").mapInArrow(_count, "key long, target long, background long")
+    partial = docs.select("text", "target").mapInArrow(common.in_slices(_count), "key long, target long, background long")
     summed = partial.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     kept = common.stage(summed.where((F.col("background") >= min_count) | (F.col("key") == _TOTAL)), "ngrams")
     total = kept.where(F.col("key") == _TOTAL).first()
@@ -133,7 +135,7 @@ def _score(shared, first: bool, unknown: float):
             at = 0
             while at < len(texts):  # some megabytes at a time, looked up together
                 group, size = [], 0
-                while at < len(texts) and size < 500_000:
+                while at < len(texts) and size < 300_000:
                     group.append(hasher.tokens(texts[at]))
                     size += len(group[-1])
                     at += 1
@@ -164,7 +166,7 @@ def _score(shared, first: bool, unknown: float):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_count: int = 8, strength: float = 50.0, block_rows: int = 4_000_000) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_count: int = 8, strength: float = 50.0, block_rows: int = 4_000_000, broadcast_ids: int = 2_000_000) -> DataFrame:
     """(id_col, n_tokens, score) for every row. ``wanted``: ids of the target documents (its first column).
 
     Score is the mean per token; 0 for null texts and texts without words. Null ids are in the background only. Repeated
@@ -177,6 +179,9 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     names = wanted.select(F.col(wanted.columns[0]).cast("long").alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
+    names = common.stage(names, "wanted")
+    if names.count() <= broadcast_ids:  # a checked bound; beyond it the texts are dealt by id
+        names = F.broadcast(names)
     marked = base.join(names, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
     kept, n_target, n_background = counts(marked, min_count)
     model, unknown = model_table(kept, n_target, n_background, strength)
@@ -189,7 +194,7 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "
         keys = data["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         block = keys[order], data["u"].to_numpy()[order].astype(np.float32), data["b"].to_numpy()[order].astype(np.float32)
-        frame = frame.mapInArrow(_score(spark.sparkContext.broadcast(block), number == 0, unknown), schema)
+        frame = frame.mapInArrow(common.in_slices(_score(spark.sparkContext.broadcast(block), number == 0, unknown), 1000), schema)
     mean = F.when(F.col("lm_tokens") > 0, F.col("lm_sum") / F.col("lm_tokens")).otherwise(0.0)
     return frame.select(F.col("id").alias(id_col), F.col("lm_tokens").alias("n_tokens"), mean.alias("score"))
 

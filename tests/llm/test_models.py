@@ -104,8 +104,8 @@ def test_cross_entropy_difference_against_brute_force(spark):
     df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, target string").repartition(3)
     ids = spark.createDataFrame([(k,) for k in wanted] + [(None,), (wanted[0],)], "doc_id long")
     want = _brute_lm(docs, wanted, 5, 50.0)
-    for block_rows in (4_000_000, 7):
-        got = {r.doc_id: r.score for r in lmscore.cross_entropy_difference(df, ids, min_count=5, block_rows=block_rows).collect()}
+    for block_rows, broadcast_ids in ((4_000_000, 1000), (7, 1)):
+        got = {r.doc_id: r.score for r in lmscore.cross_entropy_difference(df, ids, min_count=5, block_rows=block_rows, broadcast_ids=broadcast_ids).collect()}
         assert got.keys() == want.keys()
         assert all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
     assert lmscore.cross_entropy_difference(df.limit(0), ids).count() == 0
