@@ -73,7 +73,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += 2 * len(tokens)
             all_tokens += len(tokens)
             wanted_tokens += len(tokens) * bool(target)
-            if size > 5_000_000:
+            if size > 3_000_000:
                 yield from flush(keys, wanted)
                 keys, wanted, size = [], [], 0
     if keys:
