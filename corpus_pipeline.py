@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import common, decontam, lines, packing, simhash, toxicity
+from marquee.llm import common, decontam, jaccard, lines, packing, toxicity
 
 #: documents of this score or more are rejected
 TOXIC = 0.3
@@ -29,8 +29,9 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, the one with the least id."""
-    return simhash.representatives(docs)
+    """One document of each class of near-duplicates, the one with the least id: five-word shingles, a Jaccard similarity of 0.8
+    or more."""
+    return jaccard.representatives(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,182 @@
+"""Near-duplicates by the exact Jaccard similarity of word-shingle sets.
+
+Candidates come from a prefix filter: with every set in one common order, two sets of similarity t or more share an element
+among their first n - ceil(t n) + 1. That loses no pair, whatever the order; shingles that a sample of the sets shows to be common
+are ordered last, so that few sets meet in one group. Candidates are then compared by their whole sets.
+
+Large groups are first linked by stars around a few of their members; what that has joined needs no other comparison.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import common
+
+#: the sample that orders the shingles: one set in so many, a shingle in so many of them, and so many shingles at most
+_SAMPLE, _COMMON, _MOST = 16, 4, 500_000
+
+
+def shingles(text: bytes | None, size: int = 5) -> np.ndarray:
+    """Sorted 64-bit hashes of the different shingles. Words as in ``simhash.fingerprint``; fewer words than a shingle are one
+    shingle, null and blank texts have none."""
+    words = (text or b"").lower().split()
+    if not words:
+        return np.empty(0, np.uint64)
+    found = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, found), np.uint64, len(found)))
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """In whole numbers, so that a similarity of just the threshold counts."""
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
+def _sets(size: int, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(t, size) for t in common.binary_list(batch.column(1))]
+            keys = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in found], np.uint64).view(np.int64)
+            n = pa.array([len(x) for x in found], pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys), n], names=names)
+
+    return run
+
+
+def _elements(size: int, percent: int | None, shared=None):
+    """(shingle, s, n) of whole sets, or of their prefixes with the shingles of ``shared`` last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = shared.value if shared is not None else np.empty(0, np.uint64)
+        for batch in batches:
+            out, sizes = [], []
+            for text in common.binary_list(batch.column(1)):
+                x = shingles(text, size)
+                n = len(x)
+                if percent is not None and n:
+                    if len(last):
+                        at = np.minimum(np.searchsorted(last, x), len(last) - 1)
+                        x = x[np.argsort(last[at] == x, kind="stable")]
+                    x = x[: n + (-percent * n) // 100 + 1]
+                out.append(x)
+                sizes.append((len(x), n))
+            many, n = np.array(sizes, np.int64).T if sizes else (np.empty(0, np.int64),) * 2
+            flat = np.concatenate(out) if out else np.empty(0, np.uint64)
+            s = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), many)
+            n = np.repeat(n.astype(np.int32), many)
+            for at in range(0, len(flat), 50_000):
+                part = slice(at, at + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[part].view(np.int64)), pa.array(s[part]), pa.array(n[part])], names=["shingle", "s", "n"])
+
+    return run
+
+
+def _pairs(percent: int):
+    """Pairs (a, b) of a group whose sizes allow the similarity and that nothing has joined yet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("members")
+            offsets, flat = lists.offsets.to_numpy(), lists.values
+            block, s, n, root = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
+            same = batch.column("i").to_numpy() == batch.column("j").to_numpy()
+            for k in range(len(same)):
+                at = slice(offsets[k], offsets[k + 1])
+                f, m, r, b = s[at], n[at].astype(np.int64), root[at], block[at]
+                for x in range(len(f)):
+                    ok = (f[x] < f) & (r != r[x]) & (100 * np.minimum(m, m[x]) >= percent * np.maximum(m, m[x]))
+                    if not same[k]:
+                        ok &= b != b[x]
+                    if ok.any():
+                        found = f[ok]
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), f[x])), pa.array(found)], names=["a", "b"])
+
+    return run
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of similarity ``percent`` or more, by their whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = common.binary_list(batch.column(2)), common.binary_list(batch.column(3))
+            ok = pa.array([similar(shingles(t, size), shingles(u, size), percent) for t, u in zip(x, y, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
+
+    pairs = common.stage(pairs.distinct(), "jaccard_pairs")
+    held = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
+    few = common.stage(texts.join(held, "s", "left_semi").groupBy("s").agg(F.first("text").alias("text")), "jaccard_texts")
+    wide = pairs.join(few.toDF("a", "x"), "a").join(few.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    return common.stage(wide.mapInArrow(common.in_slices(run), "a long, b long"), "jaccard_links")
+
+
+def edges(texts: DataFrame, size: int = 5, percent: int = 80, block: int = 2048, stars: int = 3, large: int = 16) -> DataFrame:
+    """(a, b): links between different sets that join all sets which a chain of pairs of ``percent`` or more joins. ``texts``:
+    s (the set's key), text; a set may come several times."""
+    spark = texts.sparkSession
+    sample = texts.where(F.pmod(F.xxhash64("s"), F.lit(_SAMPLE)) == 0).mapInArrow(common.in_slices(_elements(size, None)), "shingle long, s long, n int")
+    often = sample.select("shingle", "s").distinct().groupBy("shingle").count().where(F.col("count") >= _COMMON)
+    keys = often.orderBy(F.desc("count"), "shingle").limit(_MOST).select("shingle").toArrow()["shingle"].to_numpy()
+    shared = spark.sparkContext.broadcast(np.sort(keys.view(np.uint64)))
+    each = texts.mapInArrow(common.in_slices(_elements(size, percent, shared)), "shingle long, s long, n int").distinct()
+    every = common.stage(each, "jaccard_prefixes")
+    met = every.groupBy("shingle").agg(F.count("*").alias("many")).where("many > 1")
+    members = common.stage(every.join(met, "shingle"), "jaccard_members")
+    links = None
+    labels = members.select("s").distinct().select("s", F.col("s").alias("root"))
+    for turn in range(stars):
+        # a star in each large group around one of its members, another one each time
+        now = members.where(F.col("many") > large).join(labels, "s")
+        pivot = F.min_by(F.struct("s", "n", "root"), F.xxhash64(F.lit(turn), "s")).alias("p")
+        centres = now.groupBy("shingle").agg(pivot)
+        near = 100 * F.least("n", "p.n") >= percent * F.greatest("n", "p.n")
+        rays = now.join(centres, "shingle").where((F.col("root") != F.col("p.root")) & near)
+        found = _verified(rays.select(F.least("s", "p.s").alias("a"), F.greatest("s", "p.s").alias("b")), texts, size, percent)
+        links = found if links is None else links.unionByName(found)
+        labels = _labelled(members, links)
+    now = members.join(labels, "s").select("shingle", "s", "n", "root")
+    groups = common.bounded_groups(now, ["shingle"], ["s", "n", "root"], F.col("s"), block)
+    rest = _verified(groups.mapInArrow(_pairs(percent), "a long, b long"), texts, size, percent)
+    return rest if links is None else links.unionByName(rest)
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    comps = common.components(links).toDF("s", "root")
+    return common.stage(members.select("s").distinct().join(comps, "s", "left").select("s", F.coalesce("root", "s").alias("root")), "jaccard_labels")
+
+
+def representatives(docs: DataFrame, whole: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, block: int = 2048) -> DataFrame:
+    """``docs`` without near-duplicates: of each class the row with the least id stays, unchanged. A class is what chains of
+    pairs of similarity ``percent`` or more join; texts without words are one class.
+
+    With ``whole`` (id_col, text_col), texts are compared as they stand there; a row whose id is not there, or there more
+    than once, is compared by its own text. Of rows that share the least id one stays, and of a class without ids one of each set."""
+    names = docs.columns
+    own = F.col(text_col).cast("string")
+    keyed = docs.select(F.struct(*names).alias("row"), F.col(id_col).cast("long").alias("id"), own.alias("text"), F.xxhash64(F.col(id_col), own).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), own).alias("k2"))
+    slim = keyed.select("id", "text", "k1", "k2")
+    if whole is not None:
+        before = whole.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("before")).groupBy("id")
+        slim = slim.join(before.agg(F.first("before").alias("before"), F.count("*").alias("times")), "id", "left")
+        slim = slim.select("id", F.when(F.col("times") == 1, F.col("before")).otherwise(F.col("text")).alias("text"), "k1", "k2")
+    columns = ["id", "text", "k1", "k2", "s", "n"]
+    sets = common.stage(slim.mapInArrow(common.in_slices(_sets(shingle, columns)), "id long, text string, k1 long, k2 long, s long, n int"), "jaccard_sets")
+    linked = common.components(edges(sets.select("s", "text"), shingle, percent, block)).toDF("s", "root")
+    rows = sets.select("id", "k1", "k2", "s").join(linked, "s", "left").select("id", "k1", "k2", "s", F.coalesce("root", "s").alias("root"))
+    rows = common.stage(rows, "jaccard_rows")
+    least = rows.groupBy("root").agg(F.min("id").alias("least"))
+    best = rows.join(least, "root").where("id <=> least")
+    group = F.when(F.col("least").isNull(), F.col("s")).alias("of")
+    chosen = best.groupBy("root", group).agg(F.min(F.struct("k1", "k2")).alias("k"))
+    chosen = common.stage(chosen.select("k.k1", "k.k2"), "chosen")
+    kept = keyed.select("row", "k1", "k2").join(chosen.distinct(), ["k1", "k2"])
+    if not best.groupBy("k1", "k2").count().where("count > 1").isEmpty():  # an id's rows that are equal
+        kept = kept.dropDuplicates(["k1", "k2"])
+    return kept.select(*(F.col("row")[c].alias(c) for c in names))

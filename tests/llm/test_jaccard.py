@@ -1,0 +1,67 @@
+import random
+
+import pytest
+
+from marquee.llm import jaccard, simhash
+
+
+def _set(text):
+    w = (text or "").split()
+    return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def _brute(rows):
+    """Least id of each class, by all pairs."""
+    sets, root = [_set(t) for _, t in rows], list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            both, either = len(sets[i] & sets[j]), len(sets[i] | sets[j])
+            if 10 * both >= 8 * either and root[i] != root[j]:
+                root = [root[j] if r == root[i] else r for r in root]
+    return sorted(min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in set(root))
+
+
+def _texts():
+    rng = random.Random(5)
+    out = [None, "", " ", "one two", "one two", "one three"]
+    passage = [f"p{k}" for k in range(60)]
+    for cluster in range(14):
+        base = [f"w{rng.randrange(3000)}" for _ in range(150)]
+        out.append(" ".join(base))
+        for copy in range(6):
+            changed = list(base)
+            for at in rng.sample(range(150), 1 + copy):
+                changed[at] = f"c{cluster}x{copy}x{at}"
+            out.append(" ".join(changed))
+        out.append(" ".join([*(f"o{cluster}x{k}" for k in range(30)), *passage]))
+    return out
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_equals_brute_force_and_finds_what_three_bits_lose(spark, block):
+    rows = list(enumerate(_texts()))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.doc_id for r in jaccard.representatives(df, block=block).collect())
+    assert got == _brute(rows)
+    assert len(got) < simhash.representatives(df).count()
+
+
+def test_large_groups_of_near_and_of_equal_texts(spark):
+    base = [f"w{k}" for k in range(120)]
+    rows = [(k, " ".join([*base[: k % 120], f"z{k}", *base[k % 120 + 1 :]])) for k in range(90)]
+    rows += [(100 + k, "the same words in each of these texts") for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r.doc_id for r in jaccard.representatives(df, block=8).collect()) == _brute(rows) == [0, 100]
+
+
+def test_repeated_rows_null_ids_and_whole_texts(spark):
+    base = " ".join(f"w{k}" for k in range(50))
+    df = spark.createDataFrame([(1, "a scrap", 7), (1, "a scrap", 7), (2, base, 8), (None, base, 9), (None, "no id here", 0), (4, "left", 1)], "doc_id long, text string, s int")
+    whole = spark.createDataFrame([(1, base), (2, base), (4, "other")], "doc_id long, text string")
+    got = jaccard.representatives(df, whole)
+    assert got.columns == df.columns
+    assert sorted(map(str, (tuple(r) for r in got.collect()))) == sorted(map(str, [(1, "a scrap", 7), (None, "no id here", 0), (4, "left", 1)]))
+
+
+def test_empty_table(spark):
+    assert jaccard.representatives(spark.createDataFrame([], "doc_id long, text string")).count() == 0
