@@ -22,16 +22,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on several sites; each such line stays in one document. Documents that repeat
-    another as a whole are left to the next stage. n_chars follows the text."""
-    cleaned = lines.dedup_lines(docs, spare_copies=True).select(*docs.columns)
+    """All documents, without lines that stand on several sites; each such line stays in one document. n_chars follows the
+    text."""
+    cleaned = lines.dedup_lines(docs).select(*docs.columns)
     return cleaned.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cleaned
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the least id: five-word shingles, a Jaccard similarity of 0.8
-    or more."""
-    return jaccard.representatives(docs)
+    or more. Texts are compared as they were before lines were removed, since a copy stripped of its lines is scraps that no
+    longer look like the document they come from."""
+    return jaccard.representatives(docs, common.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
