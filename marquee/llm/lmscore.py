@@ -5,7 +5,7 @@ wanted, the background from all documents. A document's score is the mean over i
 log p_target - log p_background; it is high where a text looks more like the target than like the corpus at large.
 
 Counts cover every token of every document. Words are named by 32-bit hashes and bigrams by two of them, so no vocabulary
-has to travel before counting. An n-gram is kept if its count in the corpus reaches ``min_count``; a word below that is
+has to travel before counting. An n-gram is kept if its count in the corpus reaches ``min_count``, by default every one; a word below that is
 the unknown word, and an unkept bigram backs off to its word: p(w | v) = (c(v,w) + m p(w)) / (c(v) + m) where c(v,w) is
 kept, else m p(w) / (c(v) + m). Every term is then a sum of values per n-gram, which is what the model table holds.
 """
@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from . import common
 
 _CACHE = 200_000
+#: blocks of the model that the executors hold at once
+_SCAN = 2
 _SHIFT = np.uint64(32)
 #: key of the totals among the counts; no n-gram has it, since no word has hash zero
 _TOTAL = 0
@@ -166,7 +168,7 @@ def _score(shared, first: bool, unknown: float):
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_count: int = 8, strength: float = 50.0, block_rows: int = 4_000_000, broadcast_ids: int = 2_000_000) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_count: int = 1, strength: float = 50.0, block_rows: int = 4_000_000, broadcast_ids: int = 2_000_000) -> DataFrame:
     """(id_col, n_tokens, score) for every row. ``wanted``: ids of the target documents (its first column).
 
     Score is the mean per token; 0 for null texts and texts without words. Null ids are in the background only. Repeated
@@ -174,7 +176,7 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "
     uniform-like model of no counts with the background. Other columns are ignored; an empty table gives no rows.
 
     Up to ``block_rows`` n-grams (20 bytes each) the model goes to the executors at once; a larger one is dealt into blocks of that
-    size by its keys and every document passes all of them in one scan, adding up the same sum.
+    size by its keys and every document passes all of them, ``_SCAN`` in one scan, adding up the same sum.
     """
     spark = docs.sparkSession
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -188,13 +190,24 @@ def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "
     n = model.count()
     blocks = max(1, -(-n // block_rows))
     frame, schema = base, "id long, text string, lm_sum double, lm_tokens long"
+    held, path = [], None
     for number in range(blocks):
         rows = model if blocks == 1 else model.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == number)
         data = rows.toArrow()
         keys = data["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
         block = keys[order], data["u"].to_numpy()[order].astype(np.float32), data["b"].to_numpy()[order].astype(np.float32)
-        frame = frame.mapInArrow(common.in_slices(_score(spark.sparkContext.broadcast(block), number == 0, unknown), 1000), schema)
+        held.append(spark.sparkContext.broadcast(block))
+        frame = frame.mapInArrow(common.in_slices(_score(held[-1], number == 0, unknown), 1000), schema)
+        if len(held) == _SCAN and number < blocks - 1:
+            last, path = path, common.fresh_path(spark, "lm_sums")
+            frame.write.parquet(path)
+            frame = spark.read.schema(schema).parquet(path)
+            for shared in held:
+                shared.destroy()
+            held = []
+            if last:
+                common.drop_path(spark, last)
     mean = F.when(F.col("lm_tokens") > 0, F.col("lm_sum") / F.col("lm_tokens")).otherwise(0.0)
     return frame.select(F.col("id").alias(id_col), F.col("lm_tokens").alias("n_tokens"), mean.alias("score"))
 

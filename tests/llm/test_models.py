@@ -109,3 +109,13 @@ def test_cross_entropy_difference_against_brute_force(spark):
         assert got.keys() == want.keys()
         assert all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
     assert lmscore.cross_entropy_difference(df.limit(0), ids).count() == 0
+
+
+def test_rare_ngrams_count_by_default(spark):
+    docs = [(k, f"rare pair of words {'good' if k < 7 else 'other'}{k % 7} end") for k in range(30)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ids = spark.createDataFrame([(k,) for k in range(7)], "doc_id long")
+    want = _brute_lm(docs, list(range(7)), 1, 50.0)
+    for block_rows in (4_000_000, 9):
+        got = {r.doc_id: r.score for r in lmscore.cross_entropy_difference(df, ids, block_rows=block_rows).collect()}
+        assert all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
