@@ -54,7 +54,8 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: neither the classifier nor the packing can be written in SQL; the tests hold run() against brute force
+#: neither the classifier nor the packing can be written in SQL; tests/llm/test_pipeline.py covers the line and near-duplicate
+#: stages, run() as a whole has no brute-force test yet
 ORACLE_SQL = None
 
 
