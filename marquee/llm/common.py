@@ -175,6 +175,26 @@ def _follow(labels: DataFrame, step: DataFrame) -> DataFrame:
     return labels.join(s, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
 
 
+# --------------------------------------------------------------------------------------------------------------
+# joins on keys of which some are frequent
+# --------------------------------------------------------------------------------------------------------------
+
+#: a key is heavy if it bears more than one row in so many; there are fewer heavy keys than that
+_SHARE = 1000
+
+
+def heavy_join(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``lookup``, which has one row per key, without nulls among the keys, and in ``n`` the number of
+    rows that bear it. ``total``: number of ``rows``.
+
+    Fewer than ``_SHARE`` keys can bear more than a ``_SHARE``-th of all rows each: these are broadcast, with that proven bound, and their
+    rows stay where they are. All others go through an exchange, in which no key is heavy."""
+    heavy = lookup.where(F.col(n) * _SHARE > total)
+    light = lookup.where(F.col(n) * _SHARE <= total)
+    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
+
+
 # --------------------------------------------------------------------------------------------------------------
 # bounded groups
 # --------------------------------------------------------------------------------------------------------------

@@ -1,15 +1,17 @@
 """Line dedup by distinct-site spread.
 
 For each line (by a 128-bit hash of its trimmed text) the sites it stands on are counted by HyperLogLog sketches, merged
-by aggregation. Only where a sketch's estimate is near the threshold are the distinct sites counted exactly, so the
+by aggregation. Only lines whose estimate is near the threshold are brought back and their distinct sites counted exactly, so the
 outcome is that of an exact count. A line on ``min_sites`` sites or more is cross-site boilerplate: it stays in the
 document with the least id that holds it, and is removed from all others.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import common
 
@@ -19,37 +21,40 @@ def line_hashes(line: Column) -> list[Column]:
     return [F.xxhash64(line).alias("h1"), F.xxhash64(F.lit(1), line).alias("h2")]
 
 
-def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12) -> DataFrame:
-    """(h1, h2, keeper) of lines on ``min_sites`` distinct sites or more. ``lines``: h1, h2, site, doc (may be null).
+def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(boilerplate, its lines): (h1, h2, keeper, n) of the lines on ``min_sites`` distinct sites or more, n times in all, and the rows of
+    ``lines`` that may be such a line. ``lines``: h1, h2, site, doc (may be null) and others.
 
     The sketch's relative standard error is 1.04 / sqrt(2^lg_k); within six of it (and at least one site) of the
-    threshold the count is made exact."""
+    threshold the count is made exact, from the rows of those lines alone: what the sketch puts below that is never looked at again."""
     margin = max(1.0, 6 * 1.04 / 2 ** (lg_k / 2) * min_sites)
     estimate = F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k)))
-    spread = common.stage(
-        lines.groupBy("h1", "h2").agg(estimate.alias("sites"), F.min("doc").alias("keeper")).where(F.col("sites") >= min_sites - margin), "line_spread"
-    )
-    near = spread.where(F.abs(F.col("sites") - min_sites) <= margin).select("h1", "h2", "keeper")
-    pairs = lines.select("h1", "h2", "site").distinct()  # a line's sites, each once, before any row meets another line's
-    exact = pairs.join(near, ["h1", "h2"]).groupBy("h1", "h2").agg(F.count("*").alias("sites"), F.first("keeper").alias("keeper"))
-    exact = exact.where(F.col("sites") >= min_sites)
+    spread = lines.groupBy("h1", "h2").agg(estimate.alias("sites"), F.min("doc").alias("keeper"), F.count("*").alias("n"))
+    spread = common.stage(spread.where(F.col("sites") >= min_sites - margin), "line_spread")
+    held = common.stage(common.heavy_join(lines, spread, ["h1", "h2"], "n", lines.count()), "spread_lines")
+    near = held.where(F.abs(F.col("sites") - min_sites) <= margin).groupBy("h1", "h2", "site").agg(F.first("keeper").alias("keeper"), F.first("n").alias("n"))
+    exact = near.groupBy("h1", "h2").agg(F.count("*").alias("sites"), F.first("keeper").alias("keeper"), F.first("n").alias("n")).where(F.col("sites") >= min_sites)
     sure = spread.where(F.col("sites") > min_sites + margin)
-    return common.stage(exact.select("h1", "h2", "keeper").unionByName(sure.select("h1", "h2", "keeper")), "boilerplate")
+    columns = ["h1", "h2", "keeper", "n"]
+    return common.stage(exact.select(*columns).unionByName(sure.select(*columns)), "boilerplate"), held.drop("keeper", "sites", "n")
+
 
+@F.pandas_udf(StringType())
+def without(text: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the lines at some positions; a set per text, since array functions would look through them line by line."""
+    return pd.Series([None if t is None else "\n".join(p for i, p in enumerate(t.split("\n")) if i not in g) for t, g in zip(text, map(lambda g: () if g is None else frozenset(g), gone), strict=True)], dtype=object)
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, min_sites: int = 3, min_chars: int = 10, spare_copies: bool = False) -> DataFrame:
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", *, min_sites: int = 3, min_chars: int = 10) -> DataFrame:
     """``docs`` with cross-site boilerplate lines removed from ``text_col``, and columns n_lines and n_removed.
 
     Lines end with a line feed; they are compared without the spaces, tabs and carriage returns around them; lines of
     fewer than ``min_chars`` characters are never removed. All rows stay, also those left with an empty text.
 
-    With ``spare_copies``, a document that repeats another one is left whole for near-duplicate removal: three or more of
-    its boilerplate lines, half of its characters or more, are kept by one and the same document. Stripped of them it
-    would remain as scraps that no longer look like the document they come from.
-
     A null text stays null, with no lines. A null site is one site of its own. A null id never keeps a line for itself; a
     line that only such rows hold is removed from none. Rows that repeat an id and text are treated alike. Empty table:
-    no rows. Columns of the results' names are replaced; others, whatever their names, stay.
+    no rows. Columns of the results' names are replaced; others, whatever their names, stay. Very long texts are read whole, in
+    time linear in their lines.
     """
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     text = F.col(text_col).cast("string")
@@ -65,24 +70,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     parts = F.split("text", "\n", -1)
     each = base.select("doc", "k1", "k2", "site", F.posexplode(parts).alias("at", "line")).withColumn("line", F.trim(F.col("line"), F.lit(" \t\r")))
-    each = each.where(F.length("line") >= min_chars).select("doc", "k1", "k2", "site", "at", F.length("line").alias("size"), *line_hashes(F.col("line")))
-    lines = common.stage(each, "lines")
-    common_lines = boilerplate(lines.select("h1", "h2", "site", "doc"), min_sites)
-    hits = lines.join(common_lines, ["h1", "h2"]).where("keeper is not null and not (doc <=> keeper)")
-    # a repeated row's lines come twice, which neither set nor share feels
-    by_keeper = hits.groupBy("k1", "k2", "keeper").agg(F.collect_set("at").alias("ats"), F.sum("size").alias("size"), F.count("*").alias("rows"), F.count_distinct("at").alias("n"))
-    by_doc = by_keeper.groupBy("k1", "k2").agg(F.flatten(F.collect_list("ats")).alias("gone"), F.max(F.struct((F.col("size") * F.col("n") / F.col("rows")).alias("size"), "n")).alias("most"))
-    gone = common.stage(by_doc, "line_hits")
+    each = each.where(F.length("line") >= min_chars).select("doc", "k1", "k2", "site", "at", *line_hashes(F.col("line")))
+    found, held = boilerplate(common.stage(each, "lines"), min_sites)
+    hits = common.heavy_join(held, found.where("keeper is not null"), ["h1", "h2"], "n", held.count()).where("not (doc <=> keeper)")
+    # a repeated row's lines come twice, which a set doesn't feel
+    gone = common.stage(hits.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "line_hits")
     joined = base.drop("doc", "site").join(gone, ["k1", "k2"], "left")
-    if spare_copies:
-        copy = (F.col("most.n") >= 3) & (2 * F.col("most.size") >= F.length("text"))
-        joined = joined.withColumn("gone", F.when(~copy, F.col("gone")))
-    kept = F.array_join(F.filter(parts, lambda x, i: ~F.array_contains("gone", i)), "\n")
-    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
+    # texts without such lines don't go to Python
+    cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
     return joined.select(
         *(cleaned.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in names),
         F.when(F.col("text").isNull(), 0).otherwise(F.size(parts)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),
     )
 
 
@@ -106,5 +105,6 @@ WITH parts AS (
          coalesce(string_agg(raw, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept
   FROM marked GROUP BY doc_id
 )
-SELECT doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_removed AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS n_chars_left, md5(kept) AS text_md5 FROM docs
+SELECT d.doc_id, coalesce(CAST(n_lines AS BIGINT), 0) AS n_lines, coalesce(CAST(n_removed AS BIGINT), 0) AS n_removed, CAST(length(kept) AS BIGINT) AS n_chars_left, md5(kept) AS text_md5
+FROM documents d LEFT JOIN docs USING (doc_id)
 """

@@ -38,15 +38,27 @@ def test_near_threshold_counts_are_exact(spark):
     assert gone == 99 + 100
 
 
-def test_copies_are_spared(spark):
-    body = [f"line number {k} of a text" for k in range(6)]
-    passage = "a passage that stands on many sites " * 3
-    rows = [(k, "\n".join([*body[:5], f"{body[5]} changed {k}"]), f"s{k}") for k in range(6)]
-    rows += [(10 + k, f"own words of {k} and more of them\n{passage}", f"s{k}") for k in range(5)]
+def test_menus_go_from_every_page_but_one(spark):
+    menu = [f"navigation entry number {k} of the site" for k in range(6)]
+    rows = [(k, "\n".join([*menu, f"own text of {k}"]), f"s{k % 7}") for k in range(30)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = {r.doc_id: r.n_removed for r in lines.dedup_lines(df, spare_copies=True).collect()}
-    assert got == {**dict.fromkeys(range(6), 0), 10: 0, **dict.fromkeys(range(11, 15), 1)}
-    assert sum(r.n_removed for r in lines.dedup_lines(df).collect()) == 5 * 5 + 4
+    assert {r.doc_id: r.n_removed for r in lines.dedup_lines(df).collect()} == {0: 0, **dict.fromkeys(range(1, 30), 6)}
+
+
+def test_counts_without_ansi(spark):
+    df = spark.createDataFrame([(1, "alone here", "a"), (2, None, "b")], "doc_id long, text string, source string")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert {r.doc_id: (r.n_lines, r.n_removed) for r in lines.dedup_lines(df).collect()} == {1: (1, 0), 2: (0, 0)}
+    finally:
+        spark.conf.unset("spark.sql.ansi.enabled")
+
+
+def test_a_very_long_text(spark):
+    long = "\n".join(["a line on all sites", *(f"line {k} of the long one" for k in range(60_000)), "a line on all sites"])
+    rows = [(5, long, "s5"), *((k, "a line on all sites", f"s{k}") for k in range(4))]
+    got = lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("doc_id = 5").first()
+    assert (got.n_lines, got.n_removed) == (60_002, 2) and got.text == long[len("a line on all sites\n") : -len("\na line on all sites")]
 
 
 def test_empty_table(spark):
