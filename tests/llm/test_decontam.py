@@ -1,10 +1,16 @@
+import os
 import random
 import re
+import time
 
 import pytest
 
 from marquee.llm import decontam
 
+from .oracle import assert_same
+
+SF = "/root/testdata/sf0.001"
+
 
 def _words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -45,6 +51,28 @@ def test_against_brute_force(spark, block_bytes, window, gram):
     assert rows == brute(docs, items, window)
 
 
+def test_long_repetitive_texts_are_linear(spark):
+    items = spark.createDataFrame([(1, "same " * 4000), (2, "a b " * 50)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "same " * 200_000), (2, "x " * 300_000 + "a b " * 6), (1, "same " * 200_000)], "doc_id long, text string")
+    for block_bytes in (8 << 20, 10):
+        began = time.perf_counter()
+        got = sorted((r.doc_id, r.n_words, [tuple(s) for s in r.spans], r["items"]) for r in decontam.contamination(docs, items, block_bytes=block_bytes, drop_text=True).collect())
+        assert got == [(1, 200_000, [(0, 200_000)], ["1"])] * 2 + [(2, 300_012, [(300_000, 300_012)], ["2"])]
+        assert time.perf_counter() - began < 60
+
+
+def test_the_plan_does_not_grow_with_the_benchmark(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    python = lambda n: decontam.contamination(docs, spark.range(n).selectExpr("id AS item_id", "repeat(concat('w', id, ' '), 20) AS text"), block_bytes=10)._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert python(300) == python(3)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_query_equals_its_sql(spark):
+    got = decontam.op5_winnowing(spark, SF).toPandas()
+    assert_same(got, "op5_winnowing", SF)
+
+
 def test_empty_tables_and_repeats(spark):
     docs = spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
