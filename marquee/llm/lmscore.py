@@ -1,215 +1,304 @@
 """Cross-entropy difference of two matched n-gram models (target against background).
 
-Both are bigram models over one vocabulary, with the same smoothing and cut-off: the target from documents labelled as
+Both are bigram models over one vocabulary (all words of the corpus), smoothed alike: the target from documents labelled as
 wanted, the background from all documents. A document's score is the mean over its tokens of
 log p_target - log p_background; it is high where a text looks more like the target than like the corpus at large.
 
-Counts cover every token of every document. Words are named by 32-bit hashes and bigrams by two of them, so no vocabulary
-has to travel before counting. An n-gram is kept if its count in the corpus reaches ``min_count``, by default every one; a word below that is
-the unknown word, and an unkept bigram backs off to its word: p(w | v) = (c(v,w) + m p(w)) / (c(v) + m) where c(v,w) is
-kept, else m p(w) / (c(v) + m). Every term is then a sum of values per n-gram, which is what the model table holds.
+p(w | v) = (c(v, w) + a) / (c(v) + a K), with K words in the vocabulary; a document's first word follows a start mark. The pseudo-count a
+of a side is ``delta`` times its share of the corpus, so that where nothing is known both models agree. Counts cover every token of every
+document: no n-gram is cut off, however rare, at any size of the corpus.
+
+The log ratio of a token is a value of its bigram less a value of its context, so nothing but these values has to meet a document.
+The words' counts are few and are exchanged alone. Bigrams are exchanged once, each with its document: the
+documents that hold a bigram stand together, so its counts are known there and its value goes back to each of them as part of a
+sum. Frequent bigrams, of which there is a bounded number, are counted beforehand and never exchanged. Words and bigrams are named by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common
 
 _CACHE = 200_000
-#: blocks of the model that the executors hold at once
-_SCAN = 2
-_SHIFT = np.uint64(32)
-#: key of the totals among the counts; no n-gram has it, since no word has hash zero
-_TOTAL = 0
+#: tokens that are worked on together
+_CHUNK = 400_000
+_START = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 
-class Hasher(dict):
-    """Word -> nonzero 32-bit hash; remembers up to ``_CACHE`` short words."""
+def tokens(text: bytes | None) -> list[bytes]:
+    """Letters, digits and all non-ASCII characters make words; A-Z in lower case."""
+    return (text or b"").translate(_FOLD).split()
+
+
+def pair_keys(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """64-bit names of bigrams; the order of the words counts."""
+    h = (v ^ (v >> np.uint64(32))) * _ODD + w
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+class Words(dict):
+    """Word -> its place in ``hashes`` and ``values``; short words are remembered until there are too many."""
+
+    def __init__(self, value=None):
+        self.value = value
+        self.hashes, self.values = array("Q"), array("d")
 
     def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh32_intdigest(word) or 1
+        h = xxhash.xxh64_intdigest(word)
+        at = len(self.hashes)
+        self.hashes.append(h)
+        if self.value:
+            self.values.append(self.value(h))
         if len(word) <= 32:
-            if len(self) >= _CACHE:
-                self.clear()
-            self[word] = h
-        return h
-
-    def tokens(self, text: bytes | None) -> np.ndarray:
-        """Letters, digits and all non-ASCII characters make words; A-Z in lower case."""
-        words = (text or b"").translate(_FOLD).split()
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, target, background) partial counts. Some megabytes of text are counted at a time, by sorting."""
-    hasher = Hasher()
-
-    def flush(keys: list[np.ndarray], wanted: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        k, w = np.concatenate(keys), np.concatenate(wanted)
-        order = np.argsort(k, kind="stable")
-        k, w = k[order], w[order]
-        first = np.nonzero(np.concatenate([[True], k[1:] != k[:-1]]))[0]
-        n = np.diff(np.append(first, len(k)))
-        t = np.add.reduceat(w.astype(np.int64), first)
-        k = k[first].view(np.int64)
-        for at in range(0, len(k), 50_000):
-            part = slice(at, at + 50_000)
-            yield pa.RecordBatch.from_arrays([pa.array(k[part]), pa.array(t[part]), pa.array(n[part])], names=["key", "target", "background"])
-
-    keys, wanted, size, all_tokens, wanted_tokens = [], [], 0, 0, 0
+            self[word] = at
+        return at
+
+    def places(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(places of all words, words of each text)."""
+        if len(self.hashes) > _CACHE:
+            self.clear()
+            self.hashes, self.values = array("Q"), array("d")
+        n = np.array([len(t) for t in texts], np.int64)
+        return np.fromiter((self[w] for t in texts for w in t), np.int64, int(n.sum())), n
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[pa.RecordBatch, list[list[bytes]]]]:
+    """Rows with their words, some megabytes at a time; a text is never cut."""
     for batch in batches:
-        for text, target in zip(common.binary_list(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-            tokens = hasher.tokens(text)
-            if not len(tokens):
+        at, begin, held, size = 0, 0, [], 0
+        for text in common.binary_list(batch.column(text_at)):
+            held.append(tokens(text))
+            size += len(held[-1])
+            at += 1
+            if size >= _CHUNK:
+                yield batch.slice(begin, at - begin), held
+                begin, held, size = at, [], 0
+        if held:
+            yield batch.slice(begin, at - begin), held
+
+
+def _contexts(hashes: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """What stands before each token."""
+    v = np.empty_like(hashes)
+    v[1:] = hashes[:-1]
+    v[(np.cumsum(n) - n)[n > 0]] = _START
+    return v
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _tally(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(different keys, wanted ones, all)."""
+    names, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+    return names, np.bincount(at, wanted, len(names)).astype(np.int64), n
+
+
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    words = Words()
+    for _, texts in _chunks(batches, 0):
+        places, n = words.places(texts)
+        h = np.array(words.hashes, np.uint64)[places]
+        k, _, m = _tally(pair_keys(_contexts(h, n), h), np.zeros(len(h)))
+        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(m)], names=["key", "n"])
+
+
+def _counted(shared):
+    """Partial counts: of each word as a context (kind 0), of the different words (kind 1), of the frequent bigrams (kind 2)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often, words = shared.value, Words()
+        held: list[list[np.ndarray]] = []
+        size = 0
+
+        def merged() -> list[np.ndarray]:
+            kind, key, t, b = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((key, kind))
+            kind, key, t, b = kind[order], key[order], t[order], b[order]
+            first = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])]))[0]
+            return [kind[first], key[first], np.add.reduceat(t, first), np.add.reduceat(b, first)]
+
+        def out(part: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(part[0]), 50_000):
+                kind, key, t, b = (x[at : at + 50_000] for x in part)
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(key.view(np.int64)), pa.array(t), pa.array(b)], names=["kind", "key", "target", "background"])
+
+        for batch, texts in _chunks(batches, 0):
+            places, n = words.places(texts)
+            if not len(places):
                 continue
-            keys += [tokens, (tokens[:-1] << _SHIFT) | tokens[1:]]
-            wanted.append(np.full(2 * len(tokens) - 1, bool(target)))
-            size += 2 * len(tokens)
-            all_tokens += len(tokens)
-            wanted_tokens += len(tokens) * bool(target)
-            if size > 3_000_000:
-                yield from flush(keys, wanted)
-                keys, wanted, size = [], [], 0
-    if keys:
-        yield from flush(keys, wanted)
-    if all_tokens:
-        yield pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (_TOTAL, wanted_tokens, all_tokens)], names=["key", "target", "background"])
-
-
-def counts(docs: DataFrame, min_count: int) -> tuple[DataFrame, int, int]:
-    """Kept n-grams (key, target, background), and the numbers of tokens of both sides. ``docs``: text, target."""
-    partial = docs.select("text", "target").mapInArrow(common.in_slices(_count), "key long, target long, background long")
-    summed = partial.groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
-    kept = common.stage(summed.where((F.col("background") >= min_count) | (F.col("key") == _TOTAL)), "ngrams")
-    total = kept.where(F.col("key") == _TOTAL).first()
-    return kept.where(F.col("key") != _TOTAL), *((total["target"], total["background"]) if total else (0, 0))
-
-
-def model_table(kept: DataFrame, n_target: int, n_background: int, strength: float = 50.0) -> tuple[DataFrame, float]:
-    """(key, u, b) and the unknown word's value. For a word: u is its log-ratio, b that of the back-off weight after it. For a
-    bigram: u is what is to be added to the sum of its word's u and its context's b."""
-    high = F.shiftrightunsigned("key", 32)
-    words = kept.where(high == 0)
-    sums = words.agg(F.count("*").alias("n"), F.coalesce(F.sum("target"), F.lit(0)).alias("t"), F.coalesce(F.sum("background"), F.lit(0)).alias("b")).first()
-    kinds = sums["n"] + 1
-
-    def p(count, known: int, total: int):
-        """Add-one over the vocabulary and the unknown word; what the vocabulary doesn't hold is the unknown word's."""
-        return (count + 1.0) / float(total + kinds)
-
-    unknown = float(np.log((n_target - sums["t"] + 1.0) / (n_target + kinds)) - np.log((n_background - sums["b"] + 1.0) / (n_background + kinds)))
-    pt, pb = p(F.col("target"), sums["t"], n_target), p(F.col("background"), sums["b"], n_background)
-    m = F.lit(strength)
-    context = F.log(m / (F.col("target") + m)) - F.log(m / (F.col("background") + m))
-    uni = words.select("key", (F.log(pt) - F.log(pb)).alias("u"), context.alias("b"))
-    w = words.select(F.col("key").alias("w"), pt.alias("pt"), pb.alias("pb"))
-    pairs = kept.where(high != 0).select("key", "target", "background", F.col("key").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w"))
-    # what a kept bigram adds to its back-off value, log(1 + c(v,w) / (m p(w))) on either side, needs only its word
-    joined = pairs.join(w, "w")
-    delta = F.log1p(F.col("target") / (m * F.col("pt"))) - F.log1p(F.col("background") / (m * F.col("pb")))
-    bi = joined.select("key", delta.alias("u"), F.lit(0.0).alias("b"))
-    return common.stage(uni.unionByName(bi), "lm_model"), unknown
-
-
-def _score(shared, first: bool, unknown: float):
-    """Adds the values of one block of the model to lm_sum."""
+            h = np.array(words.hashes, np.uint64)[places]
+            v, wanted = _contexts(h, n), np.repeat(batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64), n)
+            pairs = pair_keys(v, h)
+            hit = _found(often, pairs)[1]
+            for kind, (keys, t, b) in enumerate((_tally(v, wanted), _tally(h, wanted), _tally(pairs[hit], wanted[hit]))):
+                held.append([np.full(len(keys), kind, np.int8), keys, t, b])
+                size += len(keys)
+            if size > 1_000_000:
+                held = [merged()]
+                size = len(held[0][0])
+                if size > 500_000:
+                    yield from out(held[0])
+                    held, size = [], 0
+        if held:
+            yield from out(merged())
+
+    return run
+
+
+@dataclass
+class Tables:
+    """What every task holds: values of the frequent words as contexts and of the frequent bigrams, sorted by key."""
+
+    words: np.ndarray
+    word_values: np.ndarray
+    pairs: np.ndarray
+    pair_values: np.ndarray
+
+
+#: kinds of rows that are exchanged: a document's own sum, a context's and a bigram's stand in a document
+_DOCUMENT, _CONTEXT, _PAIR = 0, 1, 2
+_ROWS = "kind byte, key long, doc long, n int, target boolean, sum double, id long"
+
+
+def _scored(shared):
+    """What is known of each document at once, as a row of its own, and a row for each of its other different n-grams."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, u, b = shared.value
-        hasher = Hasher()
-
-        def look(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            return at, keys[at] == k
-
-        for batch in batches:
-            names = batch.schema.names
-            texts = common.binary_list(batch.column(names.index("text")))
-            sums, sizes = [], []
-            at = 0
-            while at < len(texts):  # some megabytes at a time, looked up together
-                group, size = [], 0
-                while at < len(texts) and size < 300_000:
-                    group.append(hasher.tokens(texts[at]))
-                    size += len(group[-1])
-                    at += 1
-                n = np.array([len(g) for g in group])
-                tokens = np.concatenate(group)
-                value = np.full(len(tokens), unknown if first else 0.0)
-                if len(keys) and len(tokens):
-                    slot, hit = look(tokens)
-                    # blocks after the first correct the unknown word's value where they know the word
-                    value[hit] = u[slot[hit]] if first else u[slot[hit]] - unknown
-                    last = np.cumsum(n)[n > 0] - 1
-                    inner = np.ones(len(tokens), bool)
-                    inner[last] = False
-                    v = np.nonzero(inner)[0]
-                    value[v] += np.where(hit[v], b[slot[v]], 0.0)
-                    pair_slot, pair_hit = look((tokens[v] << _SHIFT) | tokens[v + 1])
-                    value[v] += np.where(pair_hit, u[pair_slot], 0.0)
-                total = np.zeros(len(n))
-                if len(tokens):
-                    total[n > 0] = np.add.reduceat(value, (np.cumsum(n) - n)[n > 0])
-                sums += total.tolist()
-                sizes += n.tolist()
-            if not first:
-                sums = (np.array(sums) + batch.column(names.index("lm_sum")).to_numpy(zero_copy_only=False)).tolist()
-            keep = [x for x in names if x not in ("lm_sum", "lm_tokens")]
-            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(x)) for x in keep), pa.array(sums, pa.float64()), pa.array(sizes, pa.int64())], names=[*keep, "lm_sum", "lm_tokens"])
+        tables: Tables = shared.value
+
+        def value(h: int) -> float:
+            at = int(np.searchsorted(tables.words, np.uint64(h)))
+            return float(tables.word_values[at]) if at < len(tables.words) and tables.words[at] == h else np.nan
+
+        words, start = Words(value), value(int(_START))
+
+        def rows(kind: int, keys: np.ndarray, docs: np.ndarray, n, target: np.ndarray, sums=None, ids=None) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(keys), 50_000):
+                p = slice(at, at + 50_000)
+                m = len(keys[p])
+                none = pa.nulls(m, pa.float64()) if sums is None else pa.array(sums[p])
+                own = pa.nulls(m, pa.int64()) if ids is None else ids[p]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int8)), pa.array(keys[p].view(np.int64)), pa.array(docs[p]), pa.array(n[p].astype(np.int32)), pa.array(target[p]), none, own], names=["kind", "key", "doc", "n", "target", "sum", "id"])
+
+        def each(keys: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Different keys of each document, and how often."""
+            order = np.lexsort((keys, of))
+            keys, of = keys[order], of[order]
+            first = np.nonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (of[1:] != of[:-1])]))[0] if len(keys) else np.empty(0, np.int64)
+            return keys[first], of[first], np.diff(np.append(first, len(keys)))
+
+        for batch, texts in _chunks(batches, 0):
+            docs, target = batch.column(2).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            places, n = words.places(texts)
+            h, of = np.array(words.hashes, np.uint64)[places], np.repeat(np.arange(len(n)), n)
+            v = _contexts(h, n)
+            known = np.empty(len(h))
+            known[1:] = np.array(words.values)[places][:-1] if len(h) else 0
+            known[(np.cumsum(n) - n)[n > 0]] = start
+            pairs = pair_keys(v, h)
+            slot, hit = _found(tables.pairs, pairs)
+            rare = np.isnan(known)
+            sure = np.where(rare, 0.0, known)
+            if len(tables.pairs):
+                sure = sure + np.where(hit, tables.pair_values[slot], 0.0)
+            yield from rows(_DOCUMENT, docs.view(np.uint64), docs, n, target, np.bincount(of, sure, len(n)), batch.column(3))
+            for kind, keys, where in ((_CONTEXT, v[rare], of[rare]), (_PAIR, pairs[~hit], of[~hit])):
+                k, d, m = each(keys, where)
+                yield from rows(kind, k, docs[d], m, target[d])
 
     return run
 
 
-def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, min_count: int = 1, strength: float = 50.0, block_rows: int = 4_000_000, broadcast_ids: int = 2_000_000) -> DataFrame:
+def cross_entropy_difference(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, delta: float = 0.5, hot_words: int = 1_000_000, hot_share: int = 100_000, broadcast_ids: int = 2_000_000) -> DataFrame:
     """(id_col, n_tokens, score) for every row. ``wanted``: ids of the target documents (its first column).
 
     Score is the mean per token; 0 for null texts and texts without words. Null ids are in the background only. Repeated
-    rows count as often as they stand there, and are scored each. Without any target document all scores compare a
-    uniform-like model of no counts with the background. Other columns are ignored; an empty table gives no rows.
+    rows count as often as they stand there, and each gets its score. Without any target document the target model is
+    uniform. Other columns are ignored, whatever their names; an empty table gives no rows. Texts are read whole.
 
-    Up to ``block_rows`` n-grams (20 bytes each) the model goes to the executors at once; a larger one is dealt into blocks of that
-    size by its keys and every document passes all of them, ``_SCAN`` in one scan, adding up the same sum.
+    At most ``hot_words`` words, and bigrams that make more than one in ``hot_share`` of a sample, fewer than ``hot_share``
+    of them, go to every task with their values; all other n-grams go through the exchange. The result doesn't depend on where the line is drawn.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    base = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.col(id_col), text).alias("doc"))
     names = wanted.select(F.col(wanted.columns[0]).cast("long").alias("id")).where("id is not null").distinct().withColumn("target", F.lit(True))
     names = common.stage(names, "wanted")
     if names.count() <= broadcast_ids:  # a checked bound; beyond it the texts are dealt by id
         names = F.broadcast(names)
-    marked = base.join(names, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"))
-    kept, n_target, n_background = counts(marked, min_count)
-    model, unknown = model_table(kept, n_target, n_background, strength)
-    n = model.count()
-    blocks = max(1, -(-n // block_rows))
-    frame, schema = base, "id long, text string, lm_sum double, lm_tokens long"
-    held, path = [], None
-    for number in range(blocks):
-        rows = model if blocks == 1 else model.where(F.pmod(F.xxhash64("key"), F.lit(blocks)) == number)
-        data = rows.toArrow()
+    marked = base.join(names, "id", "left").select("text", F.coalesce("target", F.lit(False)).alias("target"), "doc", "id")
+
+    # which bigrams are frequent is read from one document in 64; it decides how they travel, not what they count
+    some = base.where(F.pmod(F.xxhash64("doc"), F.lit(64)) == 0).select("text").mapInArrow(common.in_slices(_sampled, 1000), "key long, n long")
+    some = common.stage(some.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"), "lm_sample")
+    total = some.agg(F.sum("n")).first()[0] or 0
+    often = some.where((F.col("n") >= 8) & (F.col("n") * hot_share > total)).select("key").toArrow()["key"].to_numpy()
+    shared = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
+
+    partial = marked.select("text", "target").mapInArrow(common.in_slices(_counted(shared), 1000), "kind byte, key long, target long, background long")
+    counts = common.stage(partial.groupBy("kind", "key").agg(F.sum("target").alias("target"), F.sum("background").alias("background")), "lm_counts")
+    sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.count("*").alias("n"), F.sum("target").alias("t"), F.sum("background").alias("b")).collect()}
+    kinds = sums[1]["n"] if 1 in sums else 1
+    n_target, n_background = (sums[0]["t"], sums[0]["b"]) if 0 in sums else (0, 0)
+    a, b = delta * (n_target / n_background if n_target else 1.0), delta
+
+    def of_context(t, n):
+        return F.log(n + b * kinds) - F.log(t + a * kinds)
+
+    def of_pair(t, n):
+        return F.log(t + a) - F.log(n + b)
+
+    # the frequent words: all from a power of two upwards, as long as they are few enough
+    levels = {r["level"]: r["n"] for r in counts.where("kind = 0").groupBy(F.floor(F.log2("background")).cast("int").alias("level")).agg(F.count("*").alias("n")).collect()}
+    least, held = 64, 0
+    for level in sorted(levels, reverse=True):
+        held += levels[level]
+        if held > hot_words:
+            break
+        least = level
+    words = counts.where((F.col("kind") == 0) & (F.floor(F.log2("background")) >= least)).select("key", of_context(F.col("target"), F.col("background")).alias("value"))
+    pairs = counts.where("kind = 2").select("key", of_pair(F.col("target"), F.col("background")).alias("value"))
+    arrays = []
+    for table in (words, pairs):
+        data = table.toArrow()
         keys = data["key"].to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        block = keys[order], data["u"].to_numpy()[order].astype(np.float32), data["b"].to_numpy()[order].astype(np.float32)
-        held.append(spark.sparkContext.broadcast(block))
-        frame = frame.mapInArrow(common.in_slices(_score(held[-1], number == 0, unknown), 1000), schema)
-        if len(held) == _SCAN and number < blocks - 1:
-            last, path = path, common.fresh_path(spark, "lm_sums")
-            frame.write.parquet(path)
-            frame = spark.read.schema(schema).parquet(path)
-            for shared in held:
-                shared.destroy()
-            held = []
-            if last:
-                common.drop_path(spark, last)
-    mean = F.when(F.col("lm_tokens") > 0, F.col("lm_sum") / F.col("lm_tokens")).otherwise(0.0)
-    return frame.select(F.col("id").alias(id_col), F.col("lm_tokens").alias("n_tokens"), mean.alias("score"))
+        arrays += [keys[order], data["value"].to_numpy()[order]]
+    tables = spark.sparkContext.broadcast(Tables(*arrays))
+
+    rows = marked.mapInArrow(common.in_slices(_scored(tables), 1000), _ROWS)
+    together = Window.partitionBy("key", "kind")
+    rows = rows.withColumn("t", F.sum(F.when(F.col("target"), F.col("n")).otherwise(0)).over(together)).withColumn("b", F.sum("n").over(together))
+    value = F.when(F.col("kind") == _PAIR, of_pair(F.col("t"), F.col("b"))).when(F.col("kind") == _CONTEXT, of_context(F.col("t"), F.col("b")))
+    is_doc = F.col("kind") == _DOCUMENT
+    per = rows.groupBy("doc").agg(
+        F.sum(F.when(is_doc, F.col("sum")).otherwise(F.col("n") * value)).alias("sum"),
+        F.sum(F.when(is_doc, F.col("n")).otherwise(0)).alias("n"),
+        F.count_if(is_doc).alias("times"),
+        F.max("id").alias("id"),
+    )
+    # rows that repeat an id and text were summed up together: each gets their mean
+    out = per.select("id", "sum", "n", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("_"), "times")
+    mean = F.when(F.col("n") > 0, F.col("sum") / F.col("n")).otherwise(0.0)
+    return out.select(F.col("id").alias(id_col), (F.col("n") / F.col("times")).cast("long").alias("n_tokens"), mean.alias("score"))
 
 
 def op7_cross_entropy(spark, sf_dir: str) -> DataFrame:
