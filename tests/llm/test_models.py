@@ -1,10 +1,15 @@
 import math
+import os
 import random
-from collections import Counter
+import zlib
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from marquee.llm import lmscore, toxicity, urls
+from marquee.llm import toxicity, urls
+
+SF = "/root/testdata/sf0.001"
 
 
 def _toxic_rows(n=400):
@@ -22,15 +27,27 @@ def _toxic_rows(n=400):
     return rows
 
 
-def test_toxicity_is_learnt_and_group_terms_are_neutral(spark):
+def test_group_terms_do_not_raise_scores(spark):
+    """Two toxic texts in five hold no toxic word, so that a group's name is all that tells them apart: the plain fit goes by it."""
+    rows = [(k, t if k % 20 not in (0, 4) else t.replace("idiotic", "stone").replace("scummy", "stone"), y) for k, t, y in _toxic_rows(800)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, y) for k, _, y in rows], "doc_id long, toxic int")
+    neutral = [" ".join(t.replace("muslims", "").split()) for _, t, y in rows if not y]
+
+    def rise(weight):
+        score = toxicity.train(docs, labels, fold=None, counterfactual=weight).scorer()
+        return max(abs(score(f"{t} muslims") - score(f"{t} women")) for t in neutral), score("an idiotic muslims"), score("an idiotic women")
+
+    fair, plain = rise(20.0), rise(0.0)
+    assert plain[0] > 0.3 and fair[0] < 0.1
+    assert min(fair[1:]) > 0.5
+
+
+def test_toxicity_is_learnt(spark):
     rows = _toxic_rows()
     docs = spark.createDataFrame([(k, t) for k, t, _ in rows] + [(None, "x"), (9999, None), (9998, "")], "doc_id long, text string").withColumn("extra", F.lit(1))
     labels = spark.createDataFrame([(k, y) for k, _, y in rows] + [(None, 1), (3, None), (12345, 1)], "doc_id long, toxic int")
-    fair = toxicity.train(docs, labels, counterfactual=5.0)
-    plain = toxicity.train(docs, labels, counterfactual=0.0)
-    logit = lambda m, t: sum(m.weights.get(f, 0.0) for f in toxicity.features(t))
-    gap = lambda m: logit(m, "muslims walk by the river") - logit(m, "women walk by the river")
-    assert abs(gap(fair)) < 0.1 * gap(plain) and gap(plain) > 0.5
+    fair = toxicity.train(docs, labels)
     scored = {r.doc_id: r.score for r in toxicity.score(docs, fair).collect()}
     held = [(k, y) for k, _, y in rows if __import__("zlib").crc32(str(k).encode()) % 4 == 2]
     assert sum((scored[k] >= 0.3) == bool(y) for k, y in held) >= 0.97 * len(held)
@@ -38,6 +55,74 @@ def test_toxicity_is_learnt_and_group_terms_are_neutral(spark):
     assert toxicity.score(docs.limit(0), fair).count() == 0
 
 
+def test_swaps_change_only_what_the_sentence_does():
+    f = lambda w: set(toxicity.word_features(w))
+    # the term stands in another sentence too, and the other term is there already: nothing changes
+    assert set(toxicity.swaps("Women walk. Women and men talk.")) >= {(frozenset(), frozenset())}
+    found = toxicity.swaps("Women walk; women run.")
+    assert sum(found.values()) == len(toxicity.IDENTITY_TERMS[0]) - 1
+    assert found[frozenset(f("women") - f("men")), frozenset(f("men") - f("women"))] == 1
+    # a beginning that another word has is neither lost nor gained
+    (lost, _), *_ = [c for c in toxicity.swaps("muslims and muslinwear") if c[1] >= {"=men"}]
+    assert "=muslims" in lost and "4musl" not in lost
+    assert toxicity.swaps("jews here. jews there. jews.")[frozenset(), frozenset(f("men"))] == 3
+    assert not toxicity.swaps(None) and not toxicity.swaps("no group is named")
+
+
+def test_long_words_differ():
+    a, b = "x" * 40 + "a", "x" * 40 + "b"
+    assert toxicity.features(a) != toxicity.features(b)
+    model = toxicity.Model({toxicity.word_features(a)[0]: 3.0}, -2.0)
+    score = model.scorer()
+    assert score(a) > 0.5 > score(b) and score("y " * 100_000 + a) == score(a)
+
+
+def test_fit_against_brute_force():
+    """Loss by plain loops; the gradient by differences; the fit reaches the least loss."""
+    rows = [([0, 1], 1), ([0], 1), ([1, 2], 0), ([2], 0), ([1], 0), ([], 0), ([0, 2], 1)]
+    swapped = [(0, (1,), (3,), 2), (2, (1,), (3,), 1), (4, (1,), (), 3)]
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+
+    def brute(theta, counterfactual=2.0, ridge=0.05):
+        *w, b = theta
+        z = [b + sum(w[f] for f in r) for r, _ in rows]
+        total = sum(-math.log(sigmoid(x) if y else 1 - sigmoid(x)) for x, (_, y) in zip(z, rows)) / len(rows) + ridge * sum(x * x for x in w) / len(rows)
+        n = sum(s[-1] for s in swapped)
+        for r, gone, come, times in swapped:
+            total += counterfactual * times / n * (sigmoid(z[r] - sum(w[f] for f in gone) + sum(w[f] for f in come)) - sigmoid(z[r])) ** 2
+        return total
+
+    data = np.array([f for r, _ in rows for f in r]), np.repeat(np.arange(len(rows)), [len(r) for r, _ in rows]), np.array([float(y) for _, y in rows])
+    changes = np.array([0, 2, 4]), np.array([2.0, 1, 3]), np.array([1, 3, 1, 3, 1]), np.array([0, 0, 1, 1, 2]), np.array([-1.0, 1, -1, 1, -1])
+    rng = random.Random(4)
+    for _ in range(5):
+        theta = [rng.uniform(-2, 2) for _ in range(5)]
+        loss, grad = toxicity.loss_and_gradient(np.array(theta), data, changes, 2.0, 0.05)
+        assert math.isclose(loss, brute(theta), rel_tol=1e-9)
+        for k in range(5):
+            step = lambda d: [t + d * (i == k) for i, t in enumerate(theta)]
+            assert math.isclose(grad[k], (brute(step(1e-6)) - brute(step(-1e-6))) / 2e-6, abs_tol=1e-6)
+    w, b = toxicity.fit(rows, swapped, 4, counterfactual=2.0, ridge=0.05, steps=3000, rate=0.02)
+    least = brute([*w, b])
+    assert all(least <= brute([t + rng.uniform(-0.3, 0.3) for t in [*w, b]]) + 1e-9 for _ in range(300))
+    plain, _ = toxicity.fit(rows, [], 4, ridge=0.05)
+    assert abs(w[1] - w[3]) < abs(plain[1] - plain[3])
+
+
+def test_repeated_ids_do_not_pass_the_bound(spark):
+    docs = spark.createDataFrame([(k % 5, f"text {k}") for k in range(500)] + [(None, "x"), (1, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(5)] + [(1, 0)], "doc_id long, toxic int")
+    assert toxicity.sample(docs, labels, 10, "doc_id", "text", "toxic", None).count() == 5
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_toxicity_query(spark):
+    rows = toxicity.op1_toxicity(spark, SF).collect()
+    docs = {r.doc_id for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, toxic int")
@@ -74,48 +159,3 @@ def test_markov_is_a_distribution_and_ratio_separates(spark):
     df = spark.createDataFrame(rows, "page_id long, url string")
     verdicts = {r.page_id: r.verdict for r in urls.judge(df, urls.train(df)).collect()}
     assert sum(verdicts[k] == "allow" for k in range(200, 220)) >= 18 and sum(verdicts[k] == "block" for k in range(300, 320)) >= 18
-
-
-def _brute_lm(docs, wanted, min_count, m):
-    tokens = {k: (t or "").lower().replace(",", " ").split() for k, t in docs}
-    uni, bi = {}, {}
-    for side, ids in (("t", wanted), ("b", tokens)):
-        uni[side] = Counter(w for k in ids for w in tokens[k])
-        bi[side] = Counter(p for k in ids for p in zip(tokens[k], tokens[k][1:]))
-    words = {w for w, n in uni["b"].items() if n >= min_count}
-    pairs = {p for p, n in bi["b"].items() if n >= min_count}
-
-    def logp(side, v, w):
-        n, kinds = sum(uni[side].values()), len(words) + 1
-        known = uni[side][w] if w in words else n - sum(uni[side][x] for x in words)
-        p = (known + 1) / (n + kinds)
-        if v is None or v not in words:
-            return math.log(p)
-        c = bi[side][v, w] if (v, w) in pairs else 0
-        return math.log((c + m * p) / (uni[side][v] + m))
-
-    return {k: sum(logp("t", v, w) - logp("b", v, w) for v, w in zip([None, *ws], ws)) / len(ws) if ws else 0.0 for k, ws in tokens.items()}
-
-
-def test_cross_entropy_difference_against_brute_force(spark):
-    rng = random.Random(6)
-    docs = [(k, " ".join(rng.choice("aa bb cc Dd ee ff gg".split()) + rng.choice(["", ","]) for _ in range(rng.randrange(0, 40)))) for k in range(60)] + [(100, None), (101, "rare words only"), (102, "")]
-    wanted = [k for k in range(60) if k % 3 == 0]
-    df = spark.createDataFrame([(*d, "clash") for d in docs], "doc_id long, text string, target string").repartition(3)
-    ids = spark.createDataFrame([(k,) for k in wanted] + [(None,), (wanted[0],)], "doc_id long")
-    want = _brute_lm(docs, wanted, 5, 50.0)
-    for block_rows, broadcast_ids in ((4_000_000, 1000), (7, 1)):
-        got = {r.doc_id: r.score for r in lmscore.cross_entropy_difference(df, ids, min_count=5, block_rows=block_rows, broadcast_ids=broadcast_ids).collect()}
-        assert got.keys() == want.keys()
-        assert all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
-    assert lmscore.cross_entropy_difference(df.limit(0), ids).count() == 0
-
-
-def test_rare_ngrams_count_by_default(spark):
-    docs = [(k, f"rare pair of words {'good' if k < 7 else 'other'}{k % 7} end") for k in range(30)]
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    ids = spark.createDataFrame([(k,) for k in range(7)], "doc_id long")
-    want = _brute_lm(docs, list(range(7)), 1, 50.0)
-    for block_rows in (4_000_000, 9):
-        got = {r.doc_id: r.score for r in lmscore.cross_entropy_difference(df, ids, block_rows=block_rows).collect()}
-        assert all(math.isclose(got[k], want[k], abs_tol=1e-5) for k in want)
