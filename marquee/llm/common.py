@@ -222,6 +222,12 @@ def bounded_groups(members: DataFrame, keys: list[str], payload: list[str], salt
     return grouped.where(F.size("members") > 1).select(*keys, "i", "j", "members")
 
 
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str], bound: int) -> DataFrame:
+    """Inner join with a staged table of different keys: up to ``bound`` of them are counted and broadcast, so that ``rows`` stay where they
+    are; more of them meet the rows in an exchange."""
+    return rows.join(F.broadcast(few) if few.count() <= bound else few.hint("merge"), keys)
+
+
 def running_base(counts: DataFrame, group: str, part: str, n: str) -> DataFrame:
     """For each (group, part) the number of rows of that group in smaller parts; ``counts`` has one row each."""
     w = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

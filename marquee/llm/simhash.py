@@ -6,6 +6,9 @@ bound of the Hamming distance of the fingerprints. Two fingerprints within 3 bit
 distance 3, and in one half of the coordinates (16 of the 32) within distance 1. The grid range-join uses those half
 vectors as cells: equal cells, or cells one step apart, where each fingerprint looks only one step upwards, so that a pair meets
 once per half. The full Manhattan bound is tested next, and the exact Hamming distance last.
+
+``near_duplicates`` links by that distance alone. ``similar_classes`` and ``representatives`` ask for a Jaccard similarity of shingle sets:
+the grid join gives their nearest pairs, bands of a sketch the others, and whole texts decide.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, shingles
 
 #: bits of each byte value, least significant first
 _BITS = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -48,17 +51,16 @@ def fingerprint(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(id, fp, carried columns): the fingerprint as a signed bigint with the same bits."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(id, fp): the fingerprint as a signed bigint with the same bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in common.binary_list(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["id", "fp", *carry])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["id", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), *carry)
-    kinds = dict(docs.select(*carry).dtypes) if carry else {}
-    return source.mapInArrow(common.in_slices(run), ", ".join(["id long", "fp long", *(f"{c} {kinds[c]}" for c in carry)]))
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return source.mapInArrow(common.in_slices(run), "id long, fp long")
 
 
 def popcounts(fp: np.ndarray) -> np.ndarray:
@@ -161,38 +163,79 @@ def edges(distinct_fps: DataFrame, max_bits: int = 3, block: int = 2048) -> Data
     return with_base.mapInArrow(_verify(max_bits), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, max_bits: int = 3, block: int = 2048, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row (id_col, fp, component, carried columns) per input row; component is the smallest id reachable by links.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 3, max_bits: int = 3, block: int = 2048) -> DataFrame:
+    """One row (id_col, fp, component) per input row; component is the smallest id reachable by links.
 
     Nulls: a null text has fingerprint zero and is linked like any other; a null id gets its row but never names a
     component (null if no linked row has an id). Repeated rows stay repeated. An empty table gives an empty table.
     Other columns are ignored, whatever their names. Texts are read whole.
     """
-    fps = common.stage(fingerprints(docs, id_col, text_col, shingle, carry), "fps")
-    distinct = common.stage(fps.groupBy("fp").agg(F.min("id").alias("least")), "distinct_fps")
+    fps = common.stage(fingerprints(docs, id_col, text_col, shingle), "fps")
+    distinct = common.stage(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct_fps")
     comps = common.components(edges(distinct, max_bits, block))
     rooted = distinct.join(comps.toDF("fp", "root"), "fp").select("fp", "root", "least")
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     moved = common.stage(rooted.join(least, "root").select("fp", "component"), "moved")
-    reps = common.stage(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component")), "reps")
-    return fps.join(reps, "fp").select(F.col("id").alias(id_col), "fp", "component", *carry)
+    reps = common.stage(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "n"), "reps")
+    return common.heavy_join(fps, reps, ["fp"], "n", fps.count()).select(F.col("id").alias(id_col), "fp", "component")
+
 
+def _prints(shingle: int):
+    """Fingerprint, set and sketch of each text. Columns in: id, k1, k2, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for text in common.binary_list(batch.column(3)):
+                x = shingles.shingles(shingles.split(text), shingle)
+                marks, bands = shingles.sketch(x)
+                out.append((xxhash.xxh64_intdigest(x.tobytes()), len(x), fingerprint(text, shingle), marks, bands))
+            s, n, fp, marks, bands = zip(*out, strict=True) if out else ((),) * 5
+            signed = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (s, fp)]
+            columns = [signed[0], pa.array(n, pa.int32()), signed[1], pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "k1", "k2", "s", "n", "fp", "marks", "bands"])
+
+    return run
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without near-duplicates: of each class the row with the least id stays, whole and unchanged.
 
-    Of rows that share that id one stays. Classes in which no row has an id keep one row for each fingerprint. Columns
-    may have any names."""
+def similar_classes(rows: DataFrame, shingle: int = 5, percent: int = 80, max_bits: int = 3, block: int = 2048) -> DataFrame:
+    """(id, k1, k2, s, root): classes of rows that chains of pairs with a Jaccard similarity of ``percent`` or more join; root names the
+    class, s the row's set of shingles. ``rows``: id, k1, k2 (hashes of the row), text.
+
+    The fingerprints' grid join gives the pairs within ``max_bits`` bits. At a similarity of 0.8 fingerprints differ by about ten of 64 bits, where no
+    cell of the grid is selective, so pairs beyond are found by bands of a sketch. Every pair is checked by its whole texts."""
+    schema = "id long, k1 long, k2 long, s long, n int, fp long, marks binary, bands array<long>"
+    prints = common.stage(rows.select("id", "k1", "k2", "text").mapInArrow(common.in_slices(_prints(shingle)), schema), "prints")
+    one = prints.groupBy("s").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first(F.struct("n", "fp", "marks", "bands")).alias("p"))
+    sets = common.stage(one.select("s", "k.k1", "k.k2", "p.n", "p.fp", "p.marks", "p.bands"), "sets")
+    fps = common.stage(sets.groupBy("fp").agg(F.min("s").alias("first"), F.count("*").alias("n")), "set_fps")
+    # sets of one fingerprint around the first of them, and those around each other
+    alike = sets.select("s", "fp").join(fps.where("n > 1"), "fp").where("s <> first").select(F.col("first").alias("a"), F.col("s").alias("b"))
+    forest = edges(fps.select("fp"), max_bits, block)
+    first = fps.select("fp", "first")
+    across = forest.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    found = shingles.links(sets.drop("fp"), alike.unionByName(across), rows.select("k1", "k2", "text"), shingle, percent, block)
+    linked = common.components(found).toDF("s", "root")
+    return common.stage(prints.select("id", "k1", "k2", "s").join(linked, "s", "left").withColumn("root", F.coalesce("root", "s")), "set_classes")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, max_bits: int = 3, block: int = 2048) -> DataFrame:
+    """``docs`` without near-duplicates: of each class (see ``similar_classes``) the row with the least id stays, whole and unchanged.
+
+    Texts without words, null ones among them, are one class. Of rows that share the least id one stays, and of a class without ids one of each set of
+    shingles. An empty table gives no rows; columns may have any names; texts are read whole."""
     names = docs.columns
     text = F.col(text_col).cast("string")
-    k1, k2 = F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), text).alias("k2")
-    keyed = docs.select(F.struct(*names).alias("row"), k1, k2)
-    slim = docs.select(F.col(id_col).alias("id"), text.alias("text"), k1, k2)
-    found = near_duplicates(slim, "id", "text", carry=("k1", "k2"), **options).where("id <=> component")
-    group = F.when(F.col("component").isNull(), F.col("fp"))
-    chosen = found.groupBy("component", group.alias("of")).agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
+    hashes = F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), text).alias("k2")
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), *hashes, text.alias("text"))
+    rows = similar_classes(slim, shingle, percent, max_bits, block)
+    least = rows.groupBy("root").agg(F.min("id").alias("least"))
+    best = rows.join(least, "root").where("id <=> least")
+    group = F.when(F.col("least").isNull(), F.col("s")).alias("of")
+    chosen = best.groupBy("root", group).agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
     chosen = common.stage(chosen.select("k.k1", "k.k2", "n"), "chosen")
-    kept = keyed.join(chosen, ["k1", "k2"])
+    keyed = docs.select(F.struct(*names).alias("row"), *hashes)
+    kept = common.join_few(keyed, chosen.select("k1", "k2"), ["k1", "k2"], shingles.FEW)
     if not chosen.where("n > 1").isEmpty():  # an id's rows that are equal
         kept = kept.dropDuplicates(["k1", "k2"])
     return kept.select(*(F.col("row")[c].alias(c) for c in names))

