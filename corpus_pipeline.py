@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import common, decontam, jaccard, lines, packing, toxicity
+from marquee.llm import common, decontam, lines, packing, simhash, toxicity
 
 #: documents of this score or more are rejected
 TOXIC = 0.3
@@ -30,9 +30,8 @@ def drop_boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates, the one with the least id: five-word shingles, a Jaccard similarity of 0.8
-    or more. Texts are compared as they were before lines were removed, since a copy stripped of its lines is scraps that no
-    longer look like the document they come from."""
-    return jaccard.representatives(docs, common.table(spark, sf_dir, "documents", "doc_id", "text"))
+    or more. Documents without words are one class."""
+    return simhash.representatives(docs, shingle=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
