@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import venue_key
+from ..storage import stage
+from . import groups
 
 SIMILAR_ABOVE = 0.85
 
@@ -27,33 +31,96 @@ def indel_ratio(a: str, b: str) -> float:
     return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-@F.pandas_udf(T.DoubleType())
-def title_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    cache: dict[tuple[str, str], float] = {}
-    out = []
-    for pair in zip(left, right, strict=True):
-        if pair not in cache:
-            cache[pair] = indel_ratio(*pair)
-        out.append(cache[pair])
-    return pd.Series(out)
+#: titles whose similarities a task remembers as a table
+_KNOWN = 4096
+#: titles of a block that are compared in one task
+_BLOCK = 2048
+
+
+class _Similarities:
+    """Similarity of titles by number, each pair worked out once; 0 where the lengths rule it out."""
+
+    def __init__(self):
+        self.number: dict[str, int] = {}
+        self.titles: list[str] = []
+        self.table = np.full((64, 64), np.nan)
+
+    def of(self, titles: list[str]) -> np.ndarray:
+        if len(self.titles) + len(titles) > _KNOWN:
+            self.__init__()
+        for t in titles:
+            if t not in self.number:
+                self.number[t] = len(self.titles)
+                self.titles.append(t)
+        if len(self.titles) > len(self.table):
+            wider = np.full((2 * len(self.titles),) * 2, np.nan)
+            wider[: len(self.table), : len(self.table)] = self.table
+            self.table = wider
+        at = np.array([self.number[t] for t in titles])
+        part = self.table[np.ix_(at, at)]
+        for x, y in zip(*(at[k] for k in np.nonzero(np.isnan(part))), strict=True):
+            if x <= y:
+                a, b = self.titles[x], self.titles[y]
+                possible = 2 * min(len(a), len(b)) > SIMILAR_ABOVE * (len(a) + len(b)) or a == b
+                self.table[x, y] = self.table[y, x] = indel_ratio(a, b) if possible else 0.0
+        return self.table[np.ix_(at, at)]
+
+
+_PAIR = "event_date date, venue_key string, a string, b string, left_id string, right_id string, similarity double"
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of titles of a block that are alike, with the least id of each."""
+    known = _Similarities()
+    for batch in batches:
+        lists = batch.column("members")
+        offsets, flat = lists.offsets.to_numpy(), lists.values
+        block, titles = flat.field(0).to_numpy(), flat.field(1).to_pylist()
+        same = batch.column("i").to_numpy() == batch.column("j").to_numpy()
+        rows, left, right, share = [], [], [], []
+        for k in range(len(same)):
+            at = offsets[k]
+            table = known.of(titles[at : offsets[k + 1]])
+            x, y = np.nonzero(np.triu(table > SIMILAR_ABOVE, 1))
+            if not same[k]:
+                ok = block[at + x] != block[at + y]
+                x, y = x[ok], y[ok]
+            rows.append(np.full(len(x), k))
+            left.append(at + x)
+            right.append(at + y)
+            share.append(table[x, y])
+        rows, left, right = (pa.array(np.concatenate(x)) for x in (rows, left, right))
+        keys = [batch.column(c).take(rows) for c in ("event_date", "venue_key")]
+        yield pa.RecordBatch.from_arrays([*keys, *(flat.field(f).take(x) for f in (1, 2) for x in (left, right)), pa.array(np.concatenate(share))], schema=_PAIR_ARROW)
+
+
+_PAIR_ARROW = pa.schema([("event_date", pa.date32()), ("venue_key", pa.string()), ("a", pa.string()), ("b", pa.string()), ("left_id", pa.string()), ("right_id", pa.string()), ("similarity", pa.float64())])
+_CLASS = ["event_date", "venue_key", "title"]
+
+
+def _classes(events: DataFrame) -> DataFrame:
+    """(day, venue, title, event_id): different ids of each title of each day and venue. Events without one of these are like no other."""
+    named = events.select(F.col("event_date").cast("date").alias("event_date"), venue_key(F.col("venue")).alias("venue_key"), "title", "event_id")
+    return stage(named.dropna().distinct(), "title_classes")
+
+
+def _alike_titles(classes: DataFrame) -> DataFrame:
+    """Different titles of a day and venue that are alike, and the least id of each. A block of many titles is compared in parts."""
+    titles = stage(classes.groupBy(*_CLASS).agg(F.min("event_id").alias("least")), "titles")
+    blocks = groups.bounded_groups(titles, ["event_date", "venue_key"], ["title", "least"], F.col("title"), _BLOCK)
+    return blocks.mapInArrow(_alike, _PAIR)
 
 
 def fuzzy_pairs(events: DataFrame) -> DataFrame:
-    """(left_id, right_id, similarity) of different ids on the same day at the same venue whose titles are alike. Titles are
+    """(left_id, right_id, similarity) of different ids on the same day at the same venue whose titles are alike or equal. Titles are
     compared once per distinct pair of a block, whatever the number of rows that bear them."""
-    block = events.select("event_date", venue_key(F.col("venue")).alias("venue_key"), "title", "event_id").distinct()
-    titles = block.select("event_date", "venue_key", "title").distinct()
-    x, y = titles.withColumnRenamed("title", "a"), titles.withColumnRenamed("title", "b")
-    # equal titles are alike; others need enough length in common for the ratio to be possible
-    longest, total = F.greatest(F.length("a"), F.length("b")), F.length("a") + F.length("b")
-    possible = x.join(y, ["event_date", "venue_key"]).where((F.col("a") < F.col("b")) & (2.0 * (total - longest) / total > SIMILAR_ABOVE))
-    # the costly comparison once per distinct pair of titles, however many blocks hold both
-    scored = possible.select("a", "b").distinct().withColumn("similarity", title_similarity("a", "b")).where(F.col("similarity") > SIMILAR_ABOVE)
-    alike = possible.join(scored, ["a", "b"])
-    left = block.select("event_date", "venue_key", F.col("title").alias("a"), F.col("event_id").alias("left_id"))
-    right = block.select("event_date", "venue_key", F.col("title").alias("b"), F.col("event_id").alias("right_id"))
-    keys = ["event_date", "venue_key"]
-    pairs = alike.join(left, [*keys, "a"]).join(right, [*keys, "b"]).where("left_id <> right_id")
+    classes = _classes(events)
+    ids = classes.toDF("event_date", "venue_key", "a", "left_id"), classes.toDF("event_date", "venue_key", "b", "right_id")
+    block = ["event_date", "venue_key"]
+    across = _alike_titles(classes).drop("left_id", "right_id").join(ids[0], [*block, "a"]).join(ids[1], [*block, "b"])
+    within = ids[0].join(classes.toDF(*block, "a", "right_id"), [*block, "a"]).withColumn("similarity", F.lit(1.0))
+    columns = ["left_id", "right_id", "similarity"]
+    pairs = across.select(*columns).unionByName(within.where("left_id < right_id").select(*columns)).where("left_id <> right_id")
     return pairs.select(F.least("left_id", "right_id").alias("left_id"), F.greatest("left_id", "right_id").alias("right_id"), "similarity").distinct()
 
 
@@ -74,29 +141,11 @@ def merge(events: DataFrame, cluster: str = "event_id") -> DataFrame:
 
 
 def clusters(events: DataFrame) -> DataFrame:
-    """(event_id, cluster): transitive closure of fuzzy pairs. Pairs never leave their (day, venue) block, and a block's pairs are
-    between distinct titles, so each block is closed by itself; it holds as many edges as alike titles, not rows."""
-    keys = events.select("event_id", "event_date", venue_key(F.col("venue")).alias("venue_key")).distinct()
-    pairs = fuzzy_pairs(events)
-    left = keys.withColumnRenamed("event_id", "left_id")
-    blocked = pairs.join(left, "left_id").select("event_date", "venue_key", "left_id", "right_id")
-
-    def close(rows: pd.DataFrame) -> pd.DataFrame:
-        parent: dict[str, str] = {}
-
-        def find(x: str) -> str:
-            parent.setdefault(x, x)
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        for a, b in zip(rows["left_id"], rows["right_id"], strict=True):
-            a, b = find(a), find(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        nodes = list(parent)
-        return pd.DataFrame({"event_id": nodes, "cluster": [find(n) for n in nodes]})
-
-    closed = blocked.groupBy("event_date", "venue_key").applyInPandas(close, "event_id string, cluster string")
+    """(event_id, cluster), one row per id: transitive closure of fuzzy pairs, and of rows that share an id, over all days and venues; a cluster is
+    named by its least id. The ids of one title hang on the least of them, so there are as many edges as ids and alike titles, not pairs of rows."""
+    classes = _classes(events)
+    least = classes.groupBy(*_CLASS).agg(F.min("event_id").alias("least"), F.count("*").alias("n"))
+    stars = classes.join(least.where("n > 1"), _CLASS).select(F.col("least").alias("a"), F.col("event_id").alias("b"))
+    across = _alike_titles(classes).select(F.col("left_id").alias("a"), F.col("right_id").alias("b"))
+    closed = groups.components(stars.unionByName(across)).toDF("event_id", "cluster")
     return events.select("event_id").distinct().join(closed, "event_id", "left").select("event_id", F.coalesce("cluster", "event_id").alias("cluster"))

@@ -236,13 +236,35 @@ def dedup_merge(spark, sf_dir):
     return merged.select("event_id", "ord", "title", F.col("feed").alias("best_feed"), "source_quality", F.array_join("source_feeds", ",").alias("feeds"), "source_count", "n_members", "merge_type")
 
 
-@query()
+#: Indel similarity of titles that share a day and venue: rows of the longest-common-subsequence table, one character at a time, where each
+#: cell is the greatest of the cells to its left
+_PAIRS_SQL = _IDS_SQL.replace("WITH listings", "WITH RECURSIVE listings", 1) + """, t AS (SELECT DISTINCT event_date, lower(trim(venue)) AS vk, title, event_id FROM ids),
+p AS (SELECT DISTINCT a.title AS a, b.title AS b FROM (SELECT DISTINCT event_date, vk, title FROM t) a JOIN (SELECT DISTINCT event_date, vk, title FROM t) b ON a.event_date = b.event_date AND a.vk = b.vk AND a.title < b.title),
+lcs AS (SELECT a, b, 0 AS i, list_transform(range(0, length(b) + 1), lambda x: CAST(0 AS BIGINT)) AS r FROM p
+  UNION ALL SELECT a, b, i + 1, list_prepend(CAST(0 AS BIGINT), list_transform(range(1, length(b) + 1), lambda j: list_max(c[1:j]))) AS r
+  FROM (SELECT a, b, i, list_transform(range(1, length(b) + 1), lambda j: greatest(r[j + 1], CASE WHEN substr(a, i + 1, 1) = substr(b, CAST(j AS INTEGER), 1) THEN r[j] + 1 ELSE 0 END)) AS c FROM lcs WHERE i < length(a))),
+alike AS (SELECT a, b, 2.0 * r[length(b) + 1] / (length(a) + length(b)) AS similarity FROM lcs WHERE i = length(a)),
+pairs AS (SELECT DISTINCT least(x.event_id, y.event_id) AS left_id, greatest(x.event_id, y.event_id) AS right_id, similarity
+  FROM (SELECT a, b, CAST(similarity AS DOUBLE) AS similarity FROM alike WHERE similarity > 0.85 UNION ALL SELECT title, title, 1.0 FROM (SELECT DISTINCT title FROM t)) s
+  JOIN t x ON x.title = s.a JOIN t y ON y.title = s.b AND x.event_date = y.event_date AND x.vk = y.vk WHERE x.event_id <> y.event_id)
+"""
+
+
+@query(_PAIRS_SQL + "SELECT left_id, right_id, round(similarity, 6) AS similarity FROM pairs")
 def dedup_fuzzy_pairs(spark, sf_dir):
     """Alike titles on the same day at the same venue."""
     return dedup.fuzzy_pairs(with_id(listings(spark, sf_dir))).withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+@query(
+    _PAIRS_SQL + """, near AS (SELECT left_id AS a, right_id AS b FROM pairs UNION SELECT right_id, left_id FROM pairs),
+reach AS (SELECT DISTINCT a, a AS b FROM near UNION SELECT r.a, n.b FROM reach r JOIN near n ON r.b = n.a),
+named AS (SELECT i.*, coalesce(c.cluster, i.event_id) AS cluster FROM ids i LEFT JOIN (SELECT a, min(b) AS cluster FROM reach GROUP BY a) c ON c.a = i.event_id),
+best AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY source_quality DESC, feed DESC, ord) AS rn FROM named),
+grouped AS (SELECT cluster, array_to_string(list_sort(list(DISTINCT feed)), ',') AS feeds, CAST(count(DISTINCT feed) AS INTEGER) AS source_count, count(*) AS n_members, count(DISTINCT event_id) AS n_ids FROM named GROUP BY 1)
+SELECT g.cluster, b.event_id, b.ord, b.title, b.feed, g.feeds, g.source_count, g.n_members, CASE WHEN g.n_members <= 1 THEN 'none' WHEN g.n_ids = 1 THEN 'exact_id' ELSE 'fuzzy' END AS merge_type
+FROM grouped g JOIN best b ON b.cluster = g.cluster AND rn = 1"""
+)
 def dedup_clusters(spark, sf_dir):
     """Events merged over exact and fuzzy duplicates."""
     rows = with_id(listings(spark, sf_dir).select("ord", "title", "feed", "source_quality", "event_date", "venue"))

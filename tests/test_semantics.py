@@ -36,6 +36,34 @@ def test_near_titles_merge():
     assert dedup.indel_ratio("Great Night Out", "The Great Night Out!") == pytest.approx(30 / 35)  # an edit distance would give 0.75
 
 
+def _clusters(spark, rows):
+    df = spark.createDataFrame(rows, "event_id string, event_date string, venue string, title string").withColumn("event_date", F.to_date("event_date"))
+    return sorted(map(tuple, dedup.clusters(df).collect())), sorted((r.left_id, r.right_id, round(r.similarity, 4)) for r in dedup.fuzzy_pairs(df).collect())
+
+
+def test_equal_titles_of_different_ids_pair(spark):
+    clusters, pairs = _clusters(spark, [("x", "2026-07-01", "Hall A", "Jazz Night"), ("y", "2026-07-01", "hall a ", "Jazz Night"), ("z", "2026-07-01", "Hall B", "Jazz Night"), ("n", None, "Hall A", "Jazz Night"), ("m", None, "Hall A", "Jazz Night")])
+    assert pairs == [("x", "y", 1.0)]
+    assert clusters == [("m", "m"), ("n", "n"), ("x", "x"), ("y", "x"), ("z", "z")]
+
+
+def test_an_id_of_two_blocks_joins_them(spark):
+    """x stands on two days; what is alike on either is one cluster, with one row per id."""
+    rows = [("x", "2026-07-01", "Hall", "Jazz Night"), ("x", "2026-07-02", "Hall", "Jazz Night"), ("y", "2026-07-01", "Hall", "Jazz Night!"), ("a", "2026-07-02", "Hall", "Jazz Nights"), ("far", "2026-07-02", "Hall", "Poetry")]
+    clusters, pairs = _clusters(spark, rows)
+    assert [p[:2] for p in pairs] == [("a", "x"), ("x", "y")]
+    assert clusters == [("a", "a"), ("far", "far"), ("x", "a"), ("y", "a")]
+
+
+def test_a_large_block_is_compared_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "_BLOCK", 5)
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("ab") for _ in range(9)) for _ in range(40)})
+    rows = [(f"{k:03d}", "2026-07-01", "Hall", t) for k, t in enumerate(names)]
+    want = sorted((a[0], b[0], round(_slow_ratio(a[3], b[3]), 4)) for a in rows for b in rows if a[0] < b[0] and _slow_ratio(a[3], b[3]) > 0.85)
+    assert _clusters(spark, rows)[1] == want and want
+
+
 def test_golden_composite(spark):
     """A nine-part score worked out by hand."""
     parts = dict(zip(scoring.vocab.RANK_WEIGHTS, (0.9, 0.5, 0.0, 0.75, 1.0, 1.0, 0.8, 1.0, 0.85)))
