@@ -109,6 +109,11 @@ def recency_band(days: Column) -> Column:
     return F.when(days.isNull() | (days > vocab.SOFT_RECENCY_DAYS), "none").when(days <= vocab.HARD_RECENCY_DAYS, "hard").otherwise("soft")
 
 
+def soft_recency(score: Column, days: Column) -> Column:
+    """Lowered in the soft band, else as it is."""
+    return F.when(recency_band(days) == "soft", clamp(score * vocab.SOFT_RECENCY_MULTIPLIER)).otherwise(score)
+
+
 # ---- sell-out risk ----
 
 

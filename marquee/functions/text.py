@@ -85,6 +85,29 @@ def price_label(free: Column, cents: Column) -> Column:
     return F.when(free, "Free").when(cents.isNotNull(), F.format_string("$%.2f", cents / 100))
 
 
+def time_label(start: Column, end: Column) -> Column:
+    """``Fri, Jun 05 · 7:30 PM UTC``, and the end after a dash where it is on another day (UTC)."""
+    one = lambda c: F.replace(F.date_format(c, "EEE, MMM dd · hh:mm a 'UTC'"), F.lit(" 0"), F.lit(" "))
+    return F.when(end.isNull() | (F.to_date(end) == F.to_date(start)), one(start)).otherwise(F.concat(one(start), F.lit(" – "), one(end)))
+
+
+def parse_token(raw: Column) -> Column:
+    """A feedback token in its usual form, or null: 32 hex digits, with or without hyphens, braces and a ``urn:uuid:`` before them."""
+    digits = F.regexp_replace(F.regexp_replace(F.lower(strip(raw)), "urn:|uuid:", ""), r"^[{}]+|[{}]+$|-", "")
+    parts = [F.substring(digits, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]
+    return F.when(digits.rlike("^[0-9a-f]{32}$"), F.concat_ws("-", *parts))
+
+
+def parse_signal(raw: Column, expected: str) -> Column:
+    return F.when(F.lower(strip(raw)) == expected, F.lit(expected))
+
+
+def embedding_text(title: Column, description: Column, *lists: Column) -> Column:
+    """What stands for an event when it is embedded: title, description and the lists' items, parts without text left out."""
+    parts = [title, description, *(F.array_join(x, " ") for x in lists)]
+    return F.concat_ws(" ", *(F.nullif(strip(p), F.lit("")) for p in parts))
+
+
 def tracking_url(token: Column, redirect: Column, base: str) -> Column:
     """Percent-encoding of form values; ``~`` stays and ``*`` is encoded."""
     enc = lambda c: F.replace(F.replace(F.url_encode(c), F.lit("%7E"), F.lit("~")), F.lit("*"), F.lit("%2A"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -14,11 +16,59 @@ from ..functions.text import strip
 Strategy = Callable[[str], str]
 
 
-def complete(rows: DataFrame, prompt: Column, strategy: Strategy, schema: str, column: str = "answer") -> DataFrame:
+class Unavailable(RuntimeError):
+    """What a strategy raises when nothing can be answered at all (no account, no network): the run fails instead of going on."""
+
+
+def insistent(strategy: Strategy, attempts: int = 3, first_delay: float = 1.0, sleep: Callable[[float], None] = time.sleep) -> Strategy:
+    """Asks again after a failure, waiting twice as long each time. ``Unavailable`` and the last failure are passed on."""
+
+    def ask(prompt: str) -> str:
+        for attempt in range(attempts):
+            try:
+                return strategy(prompt)
+            except Unavailable:
+                raise
+            except Exception:  # noqa: BLE001 - whatever it was may have passed by the next attempt
+                if attempt == attempts - 1:
+                    raise
+                sleep(first_delay * 2**attempt)
+        raise ValueError("attempts is 1 or more")
+
+    return ask
+
+
+def throttled(strategy: Strategy, per_second: float = 1.0, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> Strategy:
+    """At most so many calls a second from one process; with ``parallel=1`` below that holds for the whole run."""
+    last = [float("-inf")]
+
+    def ask(prompt: str) -> str:
+        wait = last[0] + 1 / per_second - clock()
+        if wait > 0:
+            sleep(wait)
+        last[0] = clock()
+        return strategy(prompt)
+
+    return ask
+
+
+def render(template: str, **values: object) -> str:
+    """``{{ name }}`` replaced by its value; a name without a value is an error, not an empty text."""
+
+    def put(found: re.Match) -> str:
+        if found[1] not in values:
+            raise KeyError(f"no value for {found[1]}")
+        return str(values[found[1]])
+
+    return re.sub(r"\{\{\s*(\w+)\s*\}\}", put, template)
+
+
+def complete(rows: DataFrame, prompt: Column, strategy: Strategy, schema: str, column: str = "answer", parallel: int | None = None) -> DataFrame:
     """Ask a strategy (a model client, a rule, a stub) once per distinct prompt and read its answer as JSON of ``schema``.
 
-    A strategy that raises, or an answer that can't be read, leaves a null. Equal prompts are asked once and the answer is
-    joined back, so repeated work is not paid for twice."""
+    A strategy that raises (see ``insistent`` for attempts), or an answer that can't be read, leaves a null; ``Unavailable`` fails the run. Equal
+    prompts are asked once and the answer is joined back, so repeated work is not paid for twice. ``parallel`` bounds the
+    tasks that ask at once."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -26,12 +76,15 @@ def complete(rows: DataFrame, prompt: Column, strategy: Strategy, schema: str, c
             for text in pdf["prompt"]:
                 try:
                     out.append(strategy(text))
+                except Unavailable:
+                    raise
                 except Exception:  # noqa: BLE001 - one failed answer must not stop the others
                     out.append(None)
             yield pdf.assign(raw=out)
 
     asked = rows.withColumn("_prompt", prompt)
-    answers = asked.select(F.col("_prompt").alias("prompt")).where("prompt is not null").distinct().mapInPandas(run, "prompt string, raw string")
+    prompts = asked.select(F.col("_prompt").alias("prompt")).where("prompt is not null").distinct()
+    answers = (prompts if parallel is None else prompts.repartition(parallel)).mapInPandas(run, "prompt string, raw string")
     parsed = answers.select(F.col("prompt").alias("_prompt"), F.from_json(json_text(F.col("raw")), schema).alias(column))
     return asked.join(parsed, "_prompt", "left").drop("_prompt")
 
@@ -55,6 +108,14 @@ def clear_unsure(context: Column, confidence: Column, at_least: float = 0.5) ->
     return F.when(confidence >= at_least, context)
 
 
+def work_counts(todo: DataFrame, cache: DataFrame, key: str, by: list[str], coordinates: str, context: str) -> DataFrame:
+    """Per group the places, and of these what the cache answers (a text is there), what must be located (no coordinates either) and what a model
+    must be asked. Both tables have one row per key."""
+    joined = todo.join(cache, key, "left")
+    known, placed = F.col(context).isNotNull(), F.col(coordinates).isNotNull()
+    return joined.groupBy(*by).agg(F.count("*").alias("venues"), F.count_if(known).alias("cache_hits"), F.count_if(~known & ~placed).alias("geocode_calls"), F.count_if(~known).alias("llm_calls"))
+
+
 def prepare_performers(performers: Column, sure_from: float = 0.7) -> Column:
     """Performers (struct with confidence and one_line_summary) without the summaries of unsure ones."""
     return F.transform(performers, lambda p: p.withField("one_line_summary", F.when(p["confidence"] >= sure_from, p["one_line_summary"])))
@@ -96,6 +157,11 @@ def fallback_explanation(title: Column) -> Column:
     return F.concat(title, F.lit(EXPLANATION))
 
 
+def fallback_description(description: Column, explanation: Column, title: Column) -> Column:
+    """The first that isn't blank."""
+    return F.coalesce(F.nullif(strip(description), F.lit("")), F.nullif(strip(explanation), F.lit("")), title)
+
+
 def align_descriptions(answers: Column, fallbacks: Column) -> Column:
     """One text per pick: the answer at its place where it isn't blank, else the fallback."""
     return F.transform(fallbacks, lambda f, i: F.coalesce(F.nullif(strip(F.get(answers, i)), F.lit("")), f))

@@ -52,3 +52,27 @@ def read_groups(rows: DataFrame, key: str, groups: dict[str, list[str]], now: Co
     for a in alive.values():
         some = some | a
     return rows.where(some).select(key, *(F.when(alive[g], F.col(c)).alias(c) for g, columns in groups.items() for c in columns))
+
+
+def cached_then_new(cached: DataFrame, new: DataFrame, order: str) -> DataFrame:
+    """Both, as a bag, with ``position``: what the cache gave comes first, each part in its own order. ``position`` sorts without a global sort."""
+    names = new.columns
+    place = lambda df, n: df.select(*names, F.struct(F.lit(n).alias("part"), F.col(order).alias("at")).alias("position"))
+    return place(cached, 0).unionByName(place(new, 1))
+
+
+def first_rows(rows: DataFrame, order: str, most: int | None) -> DataFrame:
+    """The first ``most`` rows by ``order``, all without a limit: a cap that a user asks for, such as on what is sent to a paid model."""
+    return rows if most is None else rows.orderBy(order).limit(most)
+
+
+def changed(fetched: DataFrame, tokens: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(what is new, the tokens after this run) of fetched payloads and the change tokens of the last run: etag and last_modified by key.
+
+    A payload is unchanged where it bears the etag that is stored, or, without one, the stored time of change. A payload with neither is always new and
+    leaves the stored tokens as they are."""
+    old = tokens.select(key, F.col("etag").alias("_etag"), F.col("last_modified").alias("_modified"))
+    same = F.when(F.coalesce("etag", F.lit("")) != "", F.col("etag") == F.col("_etag")).otherwise((F.coalesce("last_modified", F.lit("")) != "") & (F.col("last_modified") == F.col("_modified")))
+    fresh = fetched.join(old, key, "left").where(~F.coalesce(same, F.lit(False))).select(*fetched.columns)
+    told = fetched.where((F.coalesce("etag", F.lit("")) != "") | (F.coalesce("last_modified", F.lit("")) != "")).select(key, "etag", "last_modified", F.lit(1).alias("_at"))
+    return fresh, latest_per_key(tokens.select(key, "etag", "last_modified", F.lit(0).alias("_at")).unionByName(told), [key], "_at").drop("_at")

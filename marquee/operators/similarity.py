@@ -9,8 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import stage
+
 #: liked vectors that go to the executors at once
-BLOCK = 4096
+BLOCK = 16_384
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -19,19 +21,27 @@ def _unit(rows: list) -> np.ndarray:
     return x / np.where(norms == 0, 1, norms)
 
 
+def _blocks(vectors: DataFrame) -> Iterator[list]:
+    rows = []
+    for r in vectors.toLocalIterator():
+        rows.append(r[0])
+        if len(rows) == BLOCK:
+            yield rows
+            rows = []
+    if rows:
+        yield rows
+
+
 def max_cosine(candidates: DataFrame, liked: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id_col, similarity): 0 where nothing is liked, or a vector is null, empty, zero or of another length.
 
-    The liked set is one user's; it is read in blocks, and each candidate passes all of them in one scan."""
+    Liked vectors are read a block at a time; each candidate passes a block in one scan, whose result is staged before the next block is
+    read. So one block is on the driver and the executors at once, and a scan has one Python operator, however many are liked."""
     frame = candidates.select(id_col, vector_col, F.lit(0.0).alias("similarity"), F.lit(False).alias("seen"))
     schema = ", ".join(f"`{n}` {t}" for n, t in frame.dtypes)
-    rows, blocks = [], []
-    for r in liked.select(vector_col).where(F.size(vector_col) > 0).toLocalIterator():
-        rows.append(r[0])
-        if len(rows) == BLOCK:
-            blocks.append(rows)
-            rows = []
-    for block in [*blocks, rows]:
+    for number, block in enumerate(_blocks(liked.select(vector_col).where(F.size(vector_col) > 0))):
+        if number:
+            frame = stage(frame, "similarity")
         by_length: dict[int, list] = {}
         for v in block:
             if None not in v:

@@ -10,7 +10,7 @@ from ..catalog import feeds, table
 from ..functions import text, vocab
 from ..operators import enrich
 from ..sources import catalog_file, sinks
-from ..streaming.folds import shared_path
+from ..storage import fresh_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -106,7 +106,7 @@ def log_filter(spark, sf_dir):
     """A JSON-lines log, written and read back by agent and level; broken lines are left out."""
     e = table(spark, sf_dir, "events")
     rows = e.select("ts", F.concat(F.lit("run_"), (F.col("user_id") % 5).cast("string")).alias("run_id"), F.concat(F.lit("agent_"), (F.col("user_id") % 3).cast("string")).alias("agent"), F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO").alias("level"), F.col("event_type").alias("message"), F.col("props").alias("data"))
-    path = shared_path(spark, "log")
+    path = fresh_path(spark, "log")
     sinks.write_log(rows.withColumn("ts", F.col("ts").cast("timestamp")), path)
     found = sinks.read_log(spark, path, agent="agent_1", level="ERROR")
     return found.groupBy(F.replace("run_id", F.lit("run_"), F.lit("")).cast("bigint").alias("run")).agg(F.count("*").alias("n"), F.count_distinct("message").alias("kinds"))

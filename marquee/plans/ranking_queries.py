@@ -31,12 +31,15 @@ def _days(ts):
     return folds.age_days(ts, now(FEEDBACK_NOW))
 
 
-@query(HISTORY_SQL + f"SELECT event_key, count(*) AS n FROM history WHERE event_key NOT IN (SELECT event_key FROM history WHERE recommended_at >= {_F} - INTERVAL 14 DAY AND user_id < 20 AND event_key IS NOT NULL) GROUP BY 1")
+_SHOWS_SQL = HISTORY_SQL.rstrip() + ", shows AS (SELECT event_key || '-' || CAST(token % 97 AS VARCHAR) AS show_key, recommended_at FROM history WHERE event_key IS NOT NULL)"
+
+
+@query(_SHOWS_SQL + f" SELECT show_key, count(*) AS n FROM shows WHERE show_key NOT IN (SELECT show_key FROM shows WHERE recommended_at >= {_F} - INTERVAL 14 DAY) GROUP BY 1")
 def hard_exclude(spark, sf_dir):
-    """Events that nobody of the first users was given within 14 days."""
-    h = history(spark, sf_dir)
-    recent = h.where((F.col("recommended_at") >= now(FEEDBACK_NOW) - F.make_dt_interval(days=F.lit(vocab.HARD_RECENCY_DAYS))) & (F.col("user_id") < 20)).select("event_key").distinct()
-    return h.join(recent, "event_key", "left_anti").groupBy("event_key").agg(F.count("*").alias("n"))
+    """Shows that nobody was given within 14 days. An event has many shows, so that some of each are left."""
+    h = history(spark, sf_dir).where("event_key is not null").select(F.concat("event_key", F.lit("-"), (F.col("token") % 97).cast("string")).alias("show_key"), "recommended_at")
+    recent = h.where(F.col("recommended_at") >= now(FEEDBACK_NOW) - F.make_dt_interval(days=F.lit(vocab.HARD_RECENCY_DAYS))).select("show_key").distinct()
+    return h.join(recent, "show_key", "left_anti").groupBy("show_key").agg(F.count("*").alias("n"))
 
 
 @query(HISTORY_SQL + f"SELECT event_key, max(recommended_at) AS last_at FROM history WHERE recommended_at >= {_F} - INTERVAL 28 DAY AND event_key IS NOT NULL GROUP BY 1")
@@ -157,16 +160,15 @@ def source_coverage(spark, sf_dir):
 
 
 @query(
-    "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), liked AS (SELECT v FROM e WHERE label = 0 AND vec_id % 5 = 0) "
+    "WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), liked AS (SELECT v FROM e WHERE label = 0) "
     "SELECT c.vec_id, round(coalesce(max(list_cosine_similarity(c.v, l.v)), 0), 6) AS similarity FROM e c LEFT JOIN liked l ON true WHERE c.label <> 0 GROUP BY 1"
 )
 def semantic_similarity(spark, sf_dir):
-    """Greatest cosine of each candidate with a user's liked events. The liked set is a stated query set; it meets every
-    candidate in blocks of rows, all in double precision."""
+    """Greatest cosine of each candidate with all events that a user liked, which meet every candidate in blocks, in double precision."""
     from ..operators.similarity import max_cosine
 
     e = table(spark, sf_dir, "embeddings")
-    liked = e.where("label = 0 and vec_id % 5 = 0").select("embedding")
+    liked = e.where("label = 0").select("embedding")
     return max_cosine(e.where("label <> 0"), liked, "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
 
 

@@ -83,12 +83,12 @@ def feed_isolation(spark, sf_dir):
     return _scan(spark, rows)[1].select("feed", "status", F.col("n_entries").cast("bigint").alias("n_entries"))
 
 
-@query("SELECT page_id, CASE WHEN ends_with(regexp_extract(url, '^[^?#]*'), '.html') THEN 'html' ELSE 'other' END AS kind, CASE WHEN page_id % 2 = 0 THEN 'Metro' ELSE 'city' END AS geo FROM pages")
+@query("SELECT page_id, CASE WHEN page_id % 2 = 0 AND ends_with(lower(regexp_extract(replace(url, '.html', '.ICS'), '^[^?#]*')), '.ics') THEN 'ical' ELSE 'rss' END AS kind, CASE WHEN page_id % 2 = 0 THEN 'Metro' ELSE 'city' END AS geo FROM pages")
 def source_inference(spark, sf_dir):
-    """Kind by the path's suffix, and the city that a search asks for."""
-    path = F.regexp_extract("url", r"^[^?#]*", 0)
+    """Kind of a feed by its address's path (every other one is made a calendar's), and the city that a search asks for."""
+    address = F.when(F.col("page_id") % 2 == 0, F.replace("url", F.lit(".html"), F.lit(".ICS"))).otherwise(F.col("url"))
     geo = sources.search_city(F.col("page_id") % 2 == 0, F.lit(" Metro "), F.lit("city"))
-    return table(spark, sf_dir, "pages").select("page_id", F.when(path.endswith(".html"), "html").otherwise("other").alias("kind"), geo.alias("geo"))
+    return table(spark, sf_dir, "pages").select("page_id", sources.source_type_of(address).alias("kind"), geo.alias("geo"))
 
 
 @query("SELECT page_id, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS n_links, list_extract(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1), 1) AS first_link FROM pages")
@@ -198,10 +198,12 @@ def stream_feedback(spark, sf_dir):
 
 
 @query(
-    FEEDBACK_SQL.rstrip() + f", last AS (SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) % 24 AS category_no, max(ts) AS last_at FROM events WHERE event_type = 'purchase' AND user_id < 3 GROUP BY 1) "
-    f"SELECT event_id, CASE WHEN last_at IS NULL OR epoch_us(TIMESTAMP '{FEEDBACK_NOW}') - epoch_us(last_at) > 28 * 86400e6 THEN 'none' WHEN epoch_us(TIMESTAMP '{FEEDBACK_NOW}') - epoch_us(last_at) <= 14 * 86400e6 THEN 'hard' ELSE 'soft' END AS band FROM feedback LEFT JOIN last USING (category_no)"
+    FEEDBACK_SQL.rstrip() + f", last AS (SELECT user_id, CAST(json_extract_string(props, '$.k') AS INTEGER) % 24 AS category_no, max(ts) AS last_at FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) "
+    f"SELECT event_id, CASE WHEN last_at IS NULL OR epoch_us(TIMESTAMP '{FEEDBACK_NOW}') - epoch_us(last_at) > 28 * 86400e6 THEN 'none' WHEN epoch_us(TIMESTAMP '{FEEDBACK_NOW}') - epoch_us(last_at) <= 14 * 86400e6 THEN 'hard' ELSE 'soft' END AS band FROM feedback LEFT JOIN last USING (user_id, category_no)"
 )
 def stream_static_join(spark, sf_dir):
-    """Events against the static history table."""
-    h = history(spark, sf_dir).where("user_id < 3").select((F.col("event_key").cast("int") % 24).alias("category_no"), "recommended_at")
-    return folds.with_history(feedback(spark, sf_dir), h, "category_no", now(FEEDBACK_NOW)).select("event_id", "band")
+    """A stream of feedback against the whole history, brought to the last recommendation of each user and category."""
+    h = history(spark, sf_dir).select("user_id", (F.col("event_key").cast("int") % 24).alias("category_no"), "recommended_at")
+    e = folds.stream_of(spark, f"{sf_dir}/events*.parquet").where("event_type in ('click', 'error')")
+    signals = e.select("event_id", "user_id", F.coalesce(F.get_json_object("props", "$.k").cast("int") % 24, F.lit(0)).alias("category_no"))
+    return folds.run_to_end(folds.with_history(signals, h, ["user_id", "category_no"], now(FEEDBACK_NOW)).select("event_id", "band"), "bands")

@@ -2,24 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.scoring import clamp
-from ..operators.feedback import delta
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder; in local sessions without one, a temporary folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        base = tempfile.mkdtemp(prefix="marquee-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-    return f"{base.rstrip('/')}/marquee-{name}-{uuid.uuid4().hex}"
+from ..functions.scoring import clamp, recency_band
+from ..operators.feedback import age_days, delta
+from ..storage import fresh_path
 
 
 def stream_of(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -37,7 +26,7 @@ def dedup(events: DataFrame, keys: list[str], ts: str, ttl_days: int = vocab.CAC
 def run_to_end(df: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote."""
     spark = df.sparkSession
-    out, state = shared_path(spark, name), shared_path(spark, f"{name}-state")
+    out, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
     query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(df.schema).parquet(out)
@@ -47,7 +36,7 @@ def fold_stream(signals: DataFrame, keys: list[str], now, start: float = vocab.N
     """Weights per key after a stream of signals (columns: keys, ts, event_id, signal). Each micro-batch folds its steps, in
     order, onto the last snapshot and writes a new one under the batch's number, so a repeated batch writes the same."""
     spark = signals.sparkSession
-    base, state = shared_path(spark, "weights"), shared_path(spark, "weights-state")
+    base, state = fresh_path(spark, "weights"), fresh_path(spark, "weights-state")
     kinds = dict(signals.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "weight double, n_signals long"])
     spark.createDataFrame([], schema).write.parquet(f"{base}/-1")
@@ -67,10 +56,8 @@ def fold_stream(signals: DataFrame, keys: list[str], now, start: float = vocab.N
     return spark.read.schema(schema).parquet(f"{base}/{last[0]}")
 
 
-def with_history(events: DataFrame, history: DataFrame, key: str, now) -> DataFrame:
-    """Stream against the static history: band none, soft or hard of each event by its last recommendation."""
-    from ..functions.scoring import recency_band
-    from ..operators.feedback import age_days
-
-    last = history.groupBy(key).agg(F.max("recommended_at").alias("last_at"))
-    return events.join(last, key, "left").withColumn("band", recency_band(age_days(F.col("last_at"), now)))
+def with_history(events: DataFrame, history: DataFrame, keys: list[str], now) -> DataFrame:
+    """A stream (or table) against the static history: band none, soft or hard of each event by its last recommendation. The history is
+    brought to one row per key before the join."""
+    last = history.groupBy(*keys).agg(F.max("recommended_at").alias("last_at"))
+    return events.join(last, keys, "left").withColumn("band", recency_band(age_days(F.col("last_at"), now)))
