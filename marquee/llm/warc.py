@@ -134,8 +134,8 @@ def _build(segment_bytes: int):
         attempt, row = uuid.uuid4(), 0
         for batch in batches:
             records: list[bytes] = []
-            ids, urls, answers = (batch.column(k).to_pylist() for k in (0, 1, 3))
-            for page, url, payload, answer in zip(ids, urls, common.binary_list(batch.column(2)), answers, strict=True):
+            ids, urls, answers, places = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
+            for page, url, payload, answer, where in zip(ids, urls, common.binary_list(batch.column(2)), answers, places, strict=True):
                 row += 1
                 payload = payload or b""
                 record_id = f"<urn:uuid:{uuid.uuid5(attempt, f'{part}-{row}')}>"
@@ -149,7 +149,10 @@ def _build(segment_bytes: int):
                 if answer is not None:
                     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
                     profile = ("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")
-                    records.append(_record([("WARC-Type", "revisit"), *common_, kind, profile, ("WARC-Refers-To", f"<urn:page:{answer}>")], block))
+                    head = [("WARC-Type", "revisit"), *common_, kind, profile, ("X-Refers-To-Page-ID", str(answer)), ("WARC-Refers-To-Date", _DATE)]
+                    if where is not None:
+                        head.append(("WARC-Refers-To-Target-URI", _one_line(where)))
+                    records.append(_record(head, block))
                     continue
                 block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(payload)
                 first = [("WARC-Type", "response"), *common_, kind]
@@ -171,25 +174,28 @@ def _build(segment_bytes: int):
 
 def answers(pages: DataFrame, id_col: str, payload_col: str, min_bytes: int, salts: int = 64) -> DataFrame:
     """``pages`` (id, url, payload) with ``answer``: for a page whose payload of at least ``min_bytes`` a page with a
-    larger id has too, the largest such id; else null. Payloads are compared by SHA-1 and length.
+    larger id has too, the largest such id, and ``answer_url``, that page's url; else null. Payloads are compared by SHA-1.
 
     Only payloads that repeat are joined back, over (digest, salt), so a payload that a third of all pages share is
     dealt over ``salts`` tasks."""
     size = F.octet_length(payload_col)
     keyed = pages.withColumn("digest", F.when(size >= min_bytes, F.sha1(F.col(payload_col).cast("binary"))))
-    repeated = keyed.where("digest is not null").groupBy("digest").agg(F.max(id_col).alias("answer"), F.count("*").alias("n"))
-    repeated = common.stage(repeated.where("n > 1").select("digest", "answer"), "repeated")
+    repeated = keyed.where("digest is not null").groupBy("digest").agg(F.max(F.struct(id_col, "url")).alias("last"), F.count("*").alias("n"))
+    repeated = common.stage(repeated.where("n > 1").select("digest", F.col("last")[id_col].alias("answer"), F.col("last.url").alias("answer_url")), "repeated")
     salted = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     keyed = keyed.withColumn("salt", F.pmod(F.xxhash64(id_col), F.lit(salts)).cast("int"))
     joined = keyed.join(salted, ["digest", "salt"], "left")
-    return joined.select(id_col, "url", payload_col, F.when(F.col(id_col) < F.col("answer"), F.col("answer")).alias("answer"))
+    older = F.col(id_col) < F.col("answer")
+    return joined.select(id_col, "url", payload_col, F.when(older, F.col("answer")).alias("answer"), F.when(older, F.col("answer_url")).alias("answer_url"))
 
 
 def write(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_revisit_bytes: int = 1000, segment_bytes: int = 32_768, records_per_file: int = 2048) -> None:
     """Write one WARC record per row (segmented where long) to gzip archives under ``path``.
 
     A null payload is empty; a null url gives no WARC-Target-URI; a null id gives no X-Page-ID and is always a
-    response. Rows that repeat an id and payload are each written; those with the largest id are responses.
+    response. Rows that repeat an id and payload are each written; those with the largest id are responses. An empty table gives no records. Other columns
+    are ignored, whatever their names; payloads of many megabytes are cut into segments. A revisit names its response by target URI and date, as the
+    format has it, and by page id in a header of ours.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(payload_col).cast("string").alias("payload"))
     marked = answers(rows, "id", "payload", min_revisit_bytes)
@@ -227,7 +233,7 @@ def _read(keep_payload: bool):
                     if kind not in ("response", "revisit", "continuation"):
                         continue
                     segment = int(h["warc-segment-number"]) if "warc-segment-number" in h else None
-                    refers = h.get("warc-refers-to", "").strip("<>").rpartition(":")[2]
+                    refers = h.get("x-refers-to-page-id", "")
                     row = {
                         "origin": h.get("warc-segment-origin-id", h.get("warc-record-id")),
                         "segment": segment,
@@ -252,8 +258,11 @@ def _read(keep_payload: bool):
 
 def reassemble(segments: list[tuple[int, int | None, bytes]], digest: str | None) -> tuple[int | None, str | None, bytes | None, str]:
     """Segments (number, total length or None, block) of one record, in any order. Status is ok, missing_segment (a number
-    is missing, or the last one isn't there), length_mismatch, bad_chunk or digest_mismatch. Repeated segments count once."""
+    is missing, or the last one isn't there), conflicting_segment (two different ones of a number), length_mismatch, bad_chunk or
+    digest_mismatch. Repeated segments count once."""
     by_number = {number: block for number, _, block in segments}
+    if any(by_number[number] != block for number, _, block in segments):
+        return None, None, None, "conflicting_segment"
     totals = {total for _, total, _ in segments if total is not None}
     if sorted(by_number) != list(range(1, len(by_number) + 1)) or not totals:
         return None, None, None, "missing_segment"

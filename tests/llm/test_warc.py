@@ -1,4 +1,5 @@
 import hashlib
+import os
 
 import pytest
 from hypothesis import given, settings
@@ -6,6 +7,10 @@ from hypothesis import strategies as st
 
 from marquee.llm import common, warc
 
+from .oracle import assert_same
+
+SF = "/root/testdata/sf0.001"
+
 
 @settings(max_examples=60, deadline=None)
 @given(st.binary(max_size=300), st.integers(1, 64))
@@ -29,6 +34,7 @@ def test_reassembly_statuses():
     assert warc.reassemble([*cut[:2], (3, 5, body[40:])], digest)[3] == "length_mismatch"
     assert warc.reassemble([*cut[:2], (3, len(body) - 7, body[40:-7])], digest)[3] == "bad_chunk"
     assert warc.reassemble(cut, "sha1:" + "0" * 40)[3] == "digest_mismatch"
+    assert warc.reassemble([*cut, (2, None, b"other bytes")], None)[3] == "conflicting_segment"
 
 
 @pytest.mark.parametrize("segment_bytes", [32_768, 200])
@@ -52,6 +58,21 @@ def test_write_and_read(spark, segment_bytes):
     assert all(r.payload is None if r.record_type == "revisit" else hashlib.sha1(r.payload).hexdigest() == r.payload_digest for r in got)
 
 
+def test_pages_of_many_megabytes(spark):
+    page = "line \u00e9\n" * 700_000
+    df = spark.createDataFrame([(1, "http://a/", page), (2, "http://b/", page), (3, "http://c/", page[:-1])], "page_id long, url string, html string")
+    path = common.fresh_path(spark, "warc-test")
+    warc.write(df, path)
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes, r.status) for r in warc.read(spark, path, keep_payload=False).collect()}
+    size = len(page.encode())
+    assert got == {1: ("revisit", 2, size, "ok"), 2: ("response", None, size, "ok"), 3: ("response", None, size - 1, "ok")}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_query_equals_its_sql(spark):
+    assert_same(warc.op2_warc(spark, SF).toPandas(), "op2_warc", SF)
+
+
 def test_empty_table(spark):
     path = common.fresh_path(spark, "warc-test")
     warc.write(spark.createDataFrame([], "page_id long, url string, html string"), path)
