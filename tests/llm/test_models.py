@@ -1,6 +1,7 @@
 import math
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -146,12 +147,65 @@ def test_url_rules_and_edges(spark):
     assert urls.judge(df.limit(0), None).count() == 0
 
 
+def test_models_read_neither_last_label_nor_language(spark):
+    rows = ["http://a.b.example.com/en/1?x=1#y", "https://A.net/de/", "http://com/en", "x://h.org/abc/d", None, "none", "http://é日.org/fr/ü?q=日"]
+    df = spark.createDataFrame([(u,) for u in rows], "url string")
+    assert [r[0] for r in df.select(urls.model_text(F.col("url"))).collect()] == ["a.b.example/1?x=1#y", "a/", "com/en", "h/abc/d", "", "", "é日/ü?q=日"]
+    model = urls.Ratio(urls.Markov(), urls.Markov())
+    model.accepted.add(urls._bytes("é日/ü"))
+    score = model.scorer()
+    assert score(urls._bytes("é日/ü")) > max(0, score("zz"))
+
+
+def _brute_probability(texts, order, context, char):
+    """Witten-Bell by counting substrings."""
+    lines = [chr(256) + t + chr(257) for t in texts]
+    p = 1 / 257
+    for n in range(min(order, len(context)) + 1):
+        c = context[len(context) - n :]
+        after = [x[k + n] for x in lines for k in range(len(x) - n) if x[k : k + n] == c and (n or k) and k + n >= 1]
+        if not after:
+            break
+        p = (after.count(char) + len(set(after)) * p) / (len(after) + len(set(after)))
+    return p
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_url_query_against_brute_force(spark):
+    """Hosts, paths and rules in plain Python; scores by counting; the verdict by rule, else by the threshold."""
+    pages = sorted((r.page_id, r.url) for r in spark.read.parquet(f"{SF}/pages.parquet").collect())
+    got = {r.page_id: r for r in urls.op10_url_ratio(spark, SF).collect()}
+    assert sorted(got) == [k for k, _ in pages]
+    model = urls.train(spark.read.parquet(f"{SF}/pages.parquet"))
+    texts = {"allow": set(), "block": set()}
+    for k, url in pages:
+        rest = (url or "").partition("://")[2]
+        at = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+        host, tail = rest[:at].lower(), rest[at:]
+        path = re.split("[?#]", tail)[0]
+        fits = [(len(h + p), h + p, v) for h, p, v in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, ruled = max(fits)[1:] if fits else (None, None)
+        assert (got[k].host, got[k].path, got[k]["rule"]) == (host, path, rule)
+        text = (host.rpartition(".")[0] or host) + re.sub("^/[a-zA-Z]{2}(?=/)", "", tail)
+        score = got[k].lm_score
+        assert math.isclose(score, model.scorer()(text.encode().decode("latin-1")), abs_tol=1e-9)
+        assert got[k].verdict == (ruled or ("block" if score < model.threshold else "allow"))
+        if ruled:
+            texts[ruled].add(text)
+    small = urls.Markov(3)
+    some = sorted(texts["allow"])[:6]
+    for t in some:
+        small.add(t)
+    for context, char in (("", "a"), ("t", "h"), ("th", "t"), ("exa", "m"), ("zzz", "q"), (chr(256), some[0][0])):
+        assert math.isclose(small.probability(context, char), _brute_probability(some, 3, context, char), rel_tol=1e-12)
+
+
 def test_markov_is_a_distribution_and_ratio_separates(spark):
     m = urls.Markov(3)
     for t in ("abc", "abd", "xbc"):
         m.add(t)
     for context in ("", "b", "ab", "zz"):
-        assert math.isclose(sum(m.probability(context, chr(c)) for c in range(256)), 1.0, rel_tol=1e-9)
+        assert math.isclose(sum(m.probability(context, c) for c in [*map(chr, range(256)), chr(257)]), 1.0, rel_tol=1e-9)
     rng = random.Random(2)
     word = lambda letters: "".join(rng.choice(letters) for _ in range(8))
     rows = [(k, f"http://{word('abcd')}.net/de/{k}") for k in range(60)] + [(100 + k, f"http://{word('wxyz')}.org/es/{k}") for k in range(60)]
