@@ -1,5 +1,13 @@
+import os
+
+import pytest
+
 from marquee.llm import lines
 
+from .oracle import assert_same
+
+SF = "/root/testdata/sf0.001"
+
 
 def _brute(rows, min_sites=3, min_chars=10):
     where, keeper = {}, {}
@@ -61,5 +69,10 @@ def test_a_very_long_text(spark):
     assert (got.n_lines, got.n_removed) == (60_002, 2) and got.text == long[len("a line on all sites\n") : -len("\na line on all sites")]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_query_equals_its_sql(spark):
+    assert_same(lines.op9_line_spread(spark, SF).toPandas(), "op9_line_spread", SF)
+
+
 def test_empty_table(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0

@@ -1,11 +1,15 @@
+import os
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marquee.llm import packing
 
+SF = "/root/testdata/sf0.001"
+
 
 @settings(max_examples=150, deadline=None)
 @given(st.integers(2, 60).flatmap(lambda cap: st.tuples(st.just(cap), st.dictionaries(st.integers(1, cap), st.integers(1, 40), max_size=25))))
@@ -58,3 +62,25 @@ def test_pack_against_whole_encoding(spark):
 
 def test_pack_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), packing.default_tokenizer()).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_query_against_whole_encoding(spark):
+    """Pieces by encoding whole texts; places are gapless, within the capacity, and as few as the lengths allow but for one in a hundred."""
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(packing.default_tokenizer())
+    rows = packing.op3_packing(spark, SF).collect()
+    want = []
+    for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
+        ids = np.array([*whole.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(r.doc_id, p, at, len(ids[at : at + 4096]), zlib.crc32(ids[at : at + 4096].tobytes())) for p, at in enumerate(range(0, len(ids), 4096))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == sorted(want)
+    assert _check(rows, 4096) <= 1.01 * sum(r.length for r in rows) / 4096 + 1
+
+
+def test_ties_and_repeated_rows_have_places_of_their_own(spark):
+    df = spark.createDataFrame([(k % 3, "same words here") for k in range(400)], "doc_id long, text string").repartition(6)
+    rows = packing.pack(df, packing.default_tokenizer(), capacity=16).collect()
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 400
+    _check(rows, 16)
