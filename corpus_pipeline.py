@@ -1,7 +1,8 @@
 """The corpus pipeline: documents in, packed training sequences out.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next one's
-docs. All but the last return the columns of documents.
+docs. All but the last return the columns of documents, extra ones too. Every stage takes nulls in any column, empty and very long texts, repeated
+rows and empty tables; what it does with them is stated by its operator.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ TOXIC = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from the labelled ones, does not reject."""
+    """Documents that the classifier, learnt from the labelled ones, does not reject. Without labels nothing is rejected; null and empty
+    texts have no feature and stay. Rows that repeat an id or text are judged alike."""
     model = toxicity.train(docs, common.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, score_col="toxicity_score").where(F.col("toxicity_score") < TOXIC).select(*docs.columns)
 
@@ -35,13 +37,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item; null and empty texts hold none."""
     found = decontam.contamination(docs, common.table(spark, sf_dir, "benchmark"))
     return found.where(F.size("spans") == 0).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the training sequences."""
+    """Where each piece of each document lies in the training sequences; a null or empty text is one piece, the end id."""
     return packing.pack(docs, packing.default_tokenizer())
 
 
@@ -53,8 +55,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: neither the classifier nor the packing can be written in SQL; tests/llm/test_pipeline.py covers the line and near-duplicate
-#: stages, run() as a whole has no brute-force test yet
+#: neither the classifier nor the packing can be written in SQL; tests/llm/test_pipeline.py holds each stage and run() against plain Python
 ORACLE_SQL = None
 
 
