@@ -1,52 +1,18 @@
-"""Shared parts of the training-data operators: staged tables, connected components, bounded groups."""
+"""Shared parts of the training-data operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.groups import bounded_groups, components, heavy_join, join_few, union_find
+from ..storage import drop_path, fresh_path, shared_dir, stage
 
-#: by application, where no shared folder is set
-_OWN: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Only where that is unset is another one chosen: a
-    temporary folder in local mode (tests), else a folder in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        local = spark.sparkContext.master.split("[")[0] == "local"
-        app = spark.sparkContext.applicationId
-        if app not in _OWN:
-            _OWN[app] = tempfile.mkdtemp(prefix="marquee-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
-        found = _OWN[app]
-    return found.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/marquee-{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a table into the shared folder and read it back: the lineage ends there, and a lost executor costs only
-    the tasks that were running."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Remove a staged table that no later plan reads."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["binary_list", "bounded_groups", "components", "drop_path", "fresh_path", "heavy_join", "in_slices", "join_few", "running_base", "shared_dir", "stage", "table", "tidy", "union_find"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -94,140 +60,6 @@ def binary_list(column: pa.Array) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-# --------------------------------------------------------------------------------------------------------------
-# connected components
-# --------------------------------------------------------------------------------------------------------------
-
-
-def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(nodes, roots) of the graph with edges a-b; a root is the least node of its component."""
-    nodes, index = np.unique(np.concatenate([a, b]), return_inverse=True)
-    left, right = index[: len(a)].tolist(), index[len(a) :].tolist()
-    parent = list(range(len(nodes)))
-    for x, y in zip(left, right, strict=True):
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        while parent[y] != y:
-            parent[y] = parent[parent[y]]
-            y = parent[y]
-        if x < y:
-            parent[y] = x
-        elif y < x:
-            parent[x] = y
-    for k in range(len(parent)):  # parents have smaller numbers, so theirs are final already
-        parent[k] = parent[parent[k]]
-    return nodes, nodes[parent]
-
-
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spanning stars of what one task has read; contracted again and again, so that memory follows the nodes."""
-    a = b = np.empty(0, np.int64)
-    for batch in batches:
-        a = np.concatenate([a, batch.column(0).to_numpy(zero_copy_only=False)])
-        b = np.concatenate([b, batch.column(1).to_numpy(zero_copy_only=False)])
-        if len(a) > 500_000:
-            a, b = union_find(a, b)
-            a, b = a[a != b], b[a != b]
-    if len(a):
-        a, b = union_find(a, b)
-        keep = a != b
-        yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
-
-
-def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    parts = [(x.column(0).to_numpy(zero_copy_only=False), x.column(1).to_numpy(zero_copy_only=False)) for x in batches]
-    if parts:
-        nodes, roots = union_find(np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(roots)], names=["node", "root"])
-
-
-def components(edges: DataFrame, finish_edges: int = 1_000_000) -> DataFrame:
-    """Connected components of ``edges`` (two bigint columns): one row (node, root) for each node that has an edge;
-    root is the component's least node. Rows with nulls and loops count as no edge.
-
-    Each task first contracts its own edges to spanning stars. Rounds of "point to the least neighbour, jump twice,
-    relabel" then shrink the graph; once at most ``finish_edges`` edges are left (a checked bound, 16 bytes each), one
-    task ends the work. Every round's table is staged, so no lineage grows and nothing is brought to the driver.
-    """
-    names = edges.columns
-    clean = edges.select(F.col(names[0]).cast("long").alias("a"), F.col(names[1]).cast("long").alias("b")).where("a <> b")
-    e = stage(clean.mapInArrow(_forest, "a long, b long"), "edges")
-    labels = None
-    while True:
-        n = e.count()
-        if n <= finish_edges:
-            last = stage(e.repartition(1).mapInArrow(_labels, "node long, root long"), "labels")
-            return last if labels is None else _follow(labels, last)
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        step = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "step")
-        for _ in range(2):
-            step = stage(_follow(step, step), "step")
-        x, y = step.toDF("a", "ra"), step.toDF("b", "rb")
-        relabelled = e.join(x, "a").join(y, "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
-        labels = step if labels is None else stage(_follow(labels, step).unionByName(step.join(labels.select("node"), "node", "left_anti")), "labels")
-        e = stage(relabelled.mapInArrow(_forest, "a long, b long"), "edges")
-
-
-def _follow(labels: DataFrame, step: DataFrame) -> DataFrame:
-    """Labels after one more step; what the step doesn't hold stays."""
-    s = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return labels.join(s, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
-
-
-# --------------------------------------------------------------------------------------------------------------
-# joins on keys of which some are frequent
-# --------------------------------------------------------------------------------------------------------------
-
-#: a key is heavy if it bears more than one row in so many; there are fewer heavy keys than that
-_SHARE = 1000
-
-
-def heavy_join(rows: DataFrame, lookup: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``lookup``, which has one row per key, without nulls among the keys, and in ``n`` the number of
-    rows that bear it. ``total``: number of ``rows``.
-
-    Fewer than ``_SHARE`` keys can bear more than a ``_SHARE``-th of all rows each: these are broadcast, with that proven bound, and their
-    rows stay where they are. All others go through an exchange, in which no key is heavy."""
-    heavy = lookup.where(F.col(n) * _SHARE > total)
-    light = lookup.where(F.col(n) * _SHARE <= total)
-    rest = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(heavy), keys).unionByName(rest.join(light, keys))
-
-
-# --------------------------------------------------------------------------------------------------------------
-# bounded groups
-# --------------------------------------------------------------------------------------------------------------
-
-
-def bounded_groups(members: DataFrame, keys: list[str], payload: list[str], salt: Column, limit: int) -> DataFrame:
-    """Rows of ``members`` that share ``keys``, brought together so that every pair of a group meets exactly once in one
-    output row, while no row holds more than about ``2 * limit`` members.
-
-    A group of n > limit members is dealt into ceil(n / limit) blocks by the hash of ``salt``; each pair of blocks is one row.
-    Columns out: keys, i, j, members (array of struct<block, payload...>). Where i < j, only pairs across the two
-    blocks are to be compared; where i = j, all pairs. Groups of one member are left out.
-    """
-    hot = stage(members.groupBy(*keys).agg(F.count("*").alias("n_members")).where(F.col("n_members") > limit), "hot")
-    item = F.struct(F.col("block"), *payload)
-    if hot.isEmpty():
-        grouped = members.withColumn("block", F.lit(0)).groupBy(*keys).agg(F.collect_list(item).alias("members"))
-        return grouped.where(F.size("members") > 1).select(*keys, F.lit(0).alias("i"), F.lit(0).alias("j"), "members")
-    wide = members.join(hot, keys, "left")
-    blocks = F.coalesce(F.ceil(F.col("n_members") / limit), F.lit(1)).cast("int")
-    wide = wide.withColumn("block", F.pmod(F.xxhash64(salt), blocks).cast("int"))
-    wide = wide.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    wide = wide.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    grouped = wide.groupBy(*keys, "i", "j").agg(F.collect_list(item).alias("members"))
-    return grouped.where(F.size("members") > 1).select(*keys, "i", "j", "members")
-
-
-def join_few(rows: DataFrame, few: DataFrame, keys: list[str], bound: int) -> DataFrame:
-    """Inner join with a staged table of different keys: up to ``bound`` of them are counted and broadcast, so that ``rows`` stay where they
-    are; more of them meet the rows in an exchange."""
-    return rows.join(F.broadcast(few) if few.count() <= bound else few.hint("merge"), keys)
-
-
 def running_base(counts: DataFrame, group: str, part: str, n: str) -> DataFrame:
     """For each (group, part) the number of rows of that group in smaller parts; ``counts`` has one row each."""
     w = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

@@ -96,12 +96,12 @@ def json_text(raw: Column) -> Column:
     return F.when(F.try_parse_json(raw).isNotNull(), raw).otherwise(F.nullif(inner, F.lit("")))
 
 
-def extract(entries: DataFrame, strategy: Strategy) -> DataFrame:
-    """Candidates of unstructured entries; what is no event, or gave no readable answer, is dropped."""
-    schema = "is_event boolean, title string, date string, time string, venue string, city string, url string, price string, description string, categories array<string>"
+def extract(entries: DataFrame, strategy: Strategy, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Candidates of unstructured entries, with the columns ``carry`` of their entry; what is no event, or gave no readable answer, is dropped."""
+    schema = "is_event boolean, title string, date string, time string, venue string, city string, url string, price string, description string, categories array<string>, extraction_confidence double"
     prompt = F.concat_ws("\n", "title", "description", "published_raw", "link")
     found = complete(entries, prompt, strategy, schema).where("answer.is_event")
-    return found.select("feed", "answer.*").drop("is_event")
+    return found.select("feed", *carry, "answer.*").drop("is_event")
 
 
 def clear_unsure(context: Column, confidence: Column, at_least: float = 0.5) -> Column:

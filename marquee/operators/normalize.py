@@ -28,8 +28,8 @@ def expand(candidates: DataFrame, now: str, horizon_days: int = vocab.HORIZON_DA
     return out.withColumn("reason", reason).withColumn("kind", F.col("_s.kind")).withColumn("time_dropped", F.col("_s.time_dropped")).drop("_s")
 
 
-def normalize(candidates: DataFrame, feeds: DataFrame, now: str, horizon_days: int = vocab.HORIZON_DAYS) -> DataFrame:
-    """Events of the kept candidates. ``candidates``: title, date, time, venue, city, url, price, description, categories, feed;
+def normalize(candidates: DataFrame, feeds: DataFrame, now: str, horizon_days: int = vocab.HORIZON_DAYS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Events of the kept candidates, with the candidates' columns ``carry``. ``candidates``: title, date, time, venue, city, url, price, description, categories, feed;
     ``feeds``: feed, quality (0.5 where a feed isn't listed)."""
     kept = expand(candidates, now, horizon_days).where("reason is null").withColumn("o", F.explode("occurrences"))
     venue, day = text.clean_venue(F.col("venue")), F.date_format(F.col("o.start"), "yyyy-MM-dd")
@@ -52,4 +52,5 @@ def normalize(candidates: DataFrame, feeds: DataFrame, now: str, horizon_days: i
         F.coalesce("quality", F.lit(0.5)).alias("source_quality"),
         "kind",
         "time_dropped",
+        *carry,
     )
