@@ -177,11 +177,16 @@ best AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY source_qual
 cover AS (SELECT event_id, count(DISTINCT feed) AS source_count FROM ids GROUP BY 1),
 events_ AS (SELECT b.*, c.source_count, CASE WHEN b.is_free OR b.price_cents IS NOT NULL THEN 1.0 ELSE 0.0 END AS clarity FROM best b JOIN cover c USING (event_id) WHERE rn = 1),
 users AS (SELECT c_custkey AS user_id, n_name AS home, c_custkey % 10 / 10.0 AS wj, (c_custkey % 7) / 7.0 AS wm FROM customer JOIN nation ON c_nationkey = n_nationkey),
-parts AS (SELECT u.user_id, e.event_id, e.ord, e.title, e.venue, e.category, e.event_date, e.start, e.price_cents, e.is_free,
-  CASE WHEN e.category = 'Jazz' THEN wj WHEN e.category = 'Music' THEN wm ELSE 0.0 END AS category_fit, CASE WHEN u.user_id % 3 = 0 THEN 0.5 WHEN contains(lower(e.venue), 'venue ' || CAST(u.user_id % 10 AS VARCHAR)) THEN 1.0 ELSE 0.0 END AS location,
-  CASE WHEN e.category = 'Film' THEN 1.0 ELSE 1.0 END AS novelty, e.source_quality, least(1.0, e.source_count / 3.0) AS source_coverage, round(0.2 * 0.3 + 0.2 + 0.2 + 0.1 + 0.1 + 0.05 * clarity, 4) AS description_quality
-  FROM events_ e JOIN users u ON u.home = e.city),
-scored AS (SELECT *, 0.20 * category_fit + 0.15 * 0.0 + 0.10 * 0.0 + 0.10 * 0.0 + 0.10 * location + 0.10 * novelty + 0.05 * source_quality + 0.05 * source_coverage + 0.15 * description_quality AS raw FROM parts),
+tagged AS (SELECT *, CAST(right(venue, 1) AS INTEGER) AS v, CASE category WHEN 'Jazz' THEN ['niche', 'social'] WHEN 'Music' THEN ['social', 'outdoor'] ELSE [] END AS tags FROM events_),
+pairs AS (SELECT *, CASE WHEN (u.user_id + e.v) % 5 = 0 THEN 15.0 + e.v WHEN (u.user_id + e.v) % 5 = 1 THEN 40.0 END AS days, CASE WHEN u.user_id % 4 = 0 THEN [] ELSE ['niche', 'social', 'outdoor'] END AS liked_tags FROM tagged e JOIN users u ON u.home = e.city),
+recent AS (SELECT *, CASE WHEN days IS NULL OR days >= 28 THEN 1.0 WHEN days <= 14 THEN 0.5 ELSE 0.5 + 0.5 * (1 - exp(-{_RATE!r} * (days - 14))) END AS factor FROM pairs),
+parts AS (SELECT user_id, event_id, ord, title, venue, category, event_date, start, price_cents, is_free,
+  CASE WHEN category = 'Jazz' THEN wj WHEN category = 'Music' THEN wm ELSE 0.0 END AS category_fit, CASE WHEN user_id % 3 = 0 THEN 0.5 WHEN contains(lower(venue), 'venue ' || CAST(user_id % 10 AS VARCHAR)) THEN 1.0 ELSE 0.0 END AS location,
+  CASE WHEN len(liked_tags) = 0 THEN CASE WHEN len(tags) > 0 THEN 0.5 ELSE 0.0 END ELSE len(list_intersect(tags, liked_tags)) / 3.0 END AS vibe_fit,
+  ((user_id * 3 + v) % 11) / 10.0 AS semantic_similarity, CASE WHEN right(title, 1) = '!' THEN 0.75 ELSE 0.25 END AS performer_affinity,
+  CASE WHEN len(list_filter(tags, lambda t: NOT list_contains(liked_tags, t))) > 0 THEN least(1.0, factor + 0.2) ELSE factor END AS novelty,
+  source_quality, least(1.0, source_count / 3.0) AS source_coverage, round(0.2 * 0.3 + 0.2 + 0.2 + 0.1 + 0.1 + 0.05 * clarity, 4) AS description_quality FROM recent),
+scored AS (SELECT *, 0.20 * category_fit + 0.15 * vibe_fit + 0.10 * semantic_similarity + 0.10 * performer_affinity + 0.10 * location + 0.10 * novelty + 0.05 * source_quality + 0.05 * source_coverage + 0.15 * description_quality AS raw FROM parts),
 ranked AS (SELECT *, round(raw, 6) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(raw, 6) DESC, ord) AS rank FROM scored)
 """
 
@@ -207,14 +212,19 @@ def scored_events(spark, sf_dir):
         F.when(k % 3 != 0, F.array(F.concat(F.lit("venue "), (k % 10).cast("string")))).otherwise(F.array().cast("array<string>")).alias("areas"),
     )
     none = F.array().cast("array<string>")
+    tags = F.when(F.col("category") == "Jazz", F.array(F.lit("niche"), F.lit("social"))).when(F.col("category") == "Music", F.array(F.lit("social"), F.lit("outdoor"))).otherwise(none)
+    events = events.withColumn("tags", tags).withColumn("v", F.right("venue", F.lit(1)).cast("int"))
+    users = users.withColumn("liked_tags", F.when(F.col("user_id") % 4 == 0, none).otherwise(F.array(F.lit("niche"), F.lit("social"), F.lit("outdoor"))))
+    u, v = F.col("user_id"), F.col("v")
+    days = F.when((u + v) % 5 == 0, 15.0 + v).when((u + v) % 5 == 1, 40.0)
     pairs = events.join(users, "city")
     parts = {
         "category_fit": scoring.category_fit(F.col("category_keys"), F.col("weights"), none, plain=True),
-        "vibe_fit": scoring.vibe_fit(none, none),
-        "semantic_similarity": F.lit(0.0),
-        "performer_affinity": F.lit(0.0),
+        "vibe_fit": scoring.vibe_fit(F.col("tags"), F.col("liked_tags")),
+        "semantic_similarity": (u * 3 + v) % 11 / 10.0,
+        "performer_affinity": F.when(F.col("title").endswith("!"), 0.75).otherwise(0.25),
         "location": scoring.location_fit(F.col("venue_label"), F.col("areas"), plain=True),
-        "novelty": scoring.novelty(F.lit(None).cast("double"), F.col("category_keys"), F.transform("weights", lambda w: w["key"]), none, none, plain=True),
+        "novelty": scoring.novelty(days, F.col("category_keys"), F.transform("weights", lambda w: w["key"]), F.col("tags"), F.col("liked_tags"), plain=True),
         "source_quality": scoring.clamp(F.col("source_quality")),
         "source_coverage": scoring.source_coverage(F.col("source_count")),
         "description_quality": scoring.clamp(F.col("description_quality")),
@@ -225,11 +235,12 @@ def scored_events(spark, sf_dir):
     return named.withColumn("score", score).withColumn("novelty", F.col("p_novelty"))
 
 
-@query(_RANK_SQL + "SELECT user_id, event_id, round(category_fit, 6) AS category_fit, location, novelty, round(source_coverage, 6) AS source_coverage, description_quality, score FROM ranked")
+@query(_RANK_SQL + "SELECT user_id, event_id, round(category_fit, 6) AS category_fit, round(vibe_fit, 6) AS vibe_fit, semantic_similarity, performer_affinity, location, round(novelty, 6) AS novelty, source_quality, round(source_coverage, 6) AS source_coverage, description_quality, score FROM ranked")
 def rank_composite(spark, sf_dir):
     """Nine-part score of every user and event of their city."""
     s = scored_events(spark, sf_dir)
-    return s.select("user_id", "event_id", F.round("p_category_fit", 6).alias("category_fit"), F.col("p_location").alias("location"), "novelty", F.round("p_source_coverage", 6).alias("source_coverage"), F.col("p_description_quality").alias("description_quality"), "score")
+    plain = [F.col(f"p_{c}").alias(c) for c in ("semantic_similarity", "performer_affinity", "location", "source_quality")]
+    return s.select("user_id", "event_id", F.round("p_category_fit", 6).alias("category_fit"), F.round("p_vibe_fit", 6).alias("vibe_fit"), *plain, F.round("novelty", 6).alias("novelty"), F.round("p_source_coverage", 6).alias("source_coverage"), F.col("p_description_quality").alias("description_quality"), "score")
 
 
 @query(_RANK_SQL + "SELECT user_id, rank, event_id, title, score FROM ranked WHERE rank <= 10")
