@@ -20,7 +20,7 @@ from . import common
 BINS, BANDS, _ROWS = 512, 32, 8
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(55))
 #: an estimate so many standard deviations below the threshold rules a pair out
-_SURE = 3.0
+_SURE = 3.5
 #: texts or keys that may be broadcast, by a count made before
 FEW = 1_000_000
 
@@ -45,35 +45,39 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 
 
 def sketch(x: np.ndarray) -> tuple[bytes, list[int]]:
-    """(a byte for each bin, 0 where it is empty; names of the bands that hold something)."""
+    """(marks, bands). Marks: a byte for each bin, 0 where it is empty, and four of each band's name; bands: their names, 0 where a band is empty."""
     at = np.searchsorted(x, _EDGES)
     full = at < np.append(at[1:], len(x))
     least = np.where(full, x[np.minimum(at, len(x) - 1)], 0) if len(x) else np.zeros(BINS, np.uint64)
     marks = np.where(full, (least & np.uint64(0xFFFF)) % np.uint64(255) + np.uint64(1), 0).astype(np.uint8)
-    bands = least[: BANDS * _ROWS].reshape(BANDS, _ROWS)
-    names = [xxhash.xxh64_intdigest(bands[k].tobytes(), k) for k in np.nonzero(bands.any(axis=1))[0].tolist()]
-    return marks.tobytes(), np.array(names, np.uint64).view(np.int64).tolist()
+    rows = least[: BANDS * _ROWS].reshape(BANDS, _ROWS)
+    names = np.array([xxhash.xxh64_intdigest(row.tobytes(), k) | 1 if some else 0 for k, (row, some) in enumerate(zip(rows, rows.any(axis=1).tolist(), strict=True))], np.uint64)
+    return marks.tobytes() + names.astype(np.uint32).tobytes(), names.view(np.int64).tolist()
 
 
 def _maybe(marks: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
-    """Estimated similarity of the pairs (i, j); -1 where it is ruled out by the sizes or the sketches."""
+    """Estimated similarity of the pairs (i, j); -1 where it is ruled out by the sizes or the sketches.
+
+    The bins that either set fills show some of the shingles of both, drawn without replacement: the fewer are hidden, the less an
+    estimate can be off."""
     out = np.full(len(i), -1.0)
     fit = np.nonzero(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))[0]
     t = percent / 100
     for at in range(0, len(fit), 50_000):
         k = fit[at : at + 50_000]
         x, y = marks[i[k]], marks[j[k]]
-        either = np.count_nonzero(x | y, axis=1)
-        both = np.count_nonzero((x == y) & (x != 0), axis=1)
-        share = both / np.maximum(either, 1)
-        ok = share >= t - _SURE * np.sqrt(t * (1 - t) / np.maximum(either, 1))
+        seen = np.maximum(np.count_nonzero(x | y, axis=1), 1)
+        share = np.count_nonzero((x == y) & (x != 0), axis=1) / seen
+        all_ = np.maximum((n[i[k]] + n[j[k]]) / (1 + t), seen)  # different shingles of both, at the threshold
+        off = np.sqrt(t * (1 - t) / seen * (all_ - seen + 1) / all_)
+        ok = share >= t - _SURE * off - 1 / seen
         out[k[ok]] = share[ok]
     return out
 
 
 def _candidates(percent: int, forest: bool):
     """Pairs (a, b) of a group that may be similar and that nothing has joined yet. ``forest``: of those only enough to join what all of them would
-    join, the likeliest first."""
+    join, the likeliest first. A pair that meets in several bands counts in the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,11 +85,13 @@ def _candidates(percent: int, forest: bool):
             offsets, flat = lists.offsets.to_numpy(), lists.values
             block, s, n, root = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(4))
             marks = flat.field(4)
-            same = batch.column("i").to_numpy() == batch.column("j").to_numpy()
+            same, bands = batch.column("i").to_numpy() == batch.column("j").to_numpy(), batch.column("k").to_numpy()
             for k in range(len(same)):
                 at = slice(offsets[k], offsets[k + 1])
                 f, m, r, b = s[at], n[at].astype(np.int64), root[at], block[at]
-                sk = np.frombuffer(b"".join(marks.slice(at.start, len(f)).to_pylist()), np.uint8).reshape(len(f), BINS)
+                sk = np.frombuffer(b"".join(marks.slice(at.start, len(f)).to_pylist()), np.uint8).reshape(len(f), -1)
+                before = np.ascontiguousarray(sk[:, BINS:]).view(np.uint32)[:, : bands[k]]
+                sk = sk[:, :BINS]
                 found = []
                 step = max(1, 1_000_000 // len(f))
                 for x in range(0, len(f), step):
@@ -94,9 +100,12 @@ def _candidates(percent: int, forest: bool):
                     if not same[k]:
                         ok &= b[rows, None] != b[None, :]
                     i, j = np.nonzero(ok)
-                    share = _maybe(sk, m, rows[i], j, percent)
+                    i = rows[i]
+                    share = _maybe(sk, m, i, j, percent)
                     keep = share >= 0
-                    found.append((rows[i][keep], j[keep], share[keep]))
+                    i, j, share = i[keep], j[keep], share[keep]
+                    keep = ~((before[i] == before[j]) & (before[i] != 0)).any(axis=1)
+                    found.append((i[keep], j[keep], share[keep]))
                 i, j, share = (np.concatenate(c) for c in zip(*found, strict=True))
                 if forest and len(i):
                     order = np.argsort(-share, kind="stable")
@@ -156,9 +165,10 @@ def links(sets: DataFrame, near: DataFrame, rows: DataFrame, size: int, percent:
     join each group, and once more by all pairs that are not ruled out and that nothing has joined by then."""
     near = common.stage(near.distinct(), "similar_near")
     first = verified(near, texts_of(near, sets, rows), size, percent)
-    entries = sets.select("s", F.explode("bands").alias("band"))
-    met = entries.groupBy("band").agg(F.count("*").alias("many")).where("many > 1").select("band")
-    members = common.stage(entries.join(met, "band").join(sets.select("s", "n", "marks"), "s"), "similar_members")
+    keys = ["k", "band"]
+    entries = sets.select("s", F.posexplode("bands").alias(*keys)).where("band <> 0")
+    met = entries.groupBy(*keys).agg(F.count("*").alias("many")).where("many > 1").select(*keys)
+    members = common.stage(entries.join(met, keys).join(sets.select("s", "n", "marks"), "s"), "similar_members")
     found = [first]
     for forest in (True, False):
         all_links = found[0]
@@ -168,9 +178,9 @@ def links(sets: DataFrame, near: DataFrame, rows: DataFrame, size: int, percent:
         now = members.join(comps, "s", "left").withColumn("root", F.coalesce("root", "s"))
         if not forest:  # groups that are one by now need no other look
             now = common.stage(now, "similar_left")
-            split_ = now.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band")
-            now = now.join(split_, "band")
-        groups = common.bounded_groups(now, ["band"], ["s", "n", "root", "marks"], F.col("s"), block)
+            split_ = now.groupBy(*keys).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*keys)
+            now = now.join(split_, keys)
+        groups = common.bounded_groups(now, keys, ["s", "n", "root", "marks"], F.col("s"), block)
         pairs = common.stage(groups.mapInArrow(_candidates(percent, forest), "a long, b long").distinct(), "similar_pairs")
         if not forest:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

@@ -18,15 +18,31 @@ def delta(signal: Column, ts: Column, now: Column) -> Column:
     return base * feedback_decay(age_days(ts, now))
 
 
-def fold_weights(signals: DataFrame, keys: list[str], now: Column, start: float = vocab.NEUTRAL_FIT) -> DataFrame:
-    """Weight per key after all signals, in order of time and id, clamped to [0, 1] at every step.
+def composed(signals: DataFrame, keys: list[str], now: Column, bucket_seconds: int = 3600) -> DataFrame:
+    """(keys, bucket, lo, hi, d, n): all steps of a key within a bucket of time as one step x -> min(hi, max(lo, x + d)), n of them.
 
-    A clamped step x -> min(hi, max(lo, x + d)) composed with another is again such a step, so the fold could be merged from
-    parts; here a key's steps, two numbers each, are folded as one array."""
-    steps = signals.select(*keys, F.struct("ts", "event_id", delta(F.col("signal"), F.col("ts"), now).alias("d")).alias("step"))
+    A clamped step followed by another is again such a step, so a key's past is never gathered: only a bucket's steps are put in order, by time and id."""
+    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (bucket_seconds * 1_000_000)).alias("bucket")
+    steps = signals.select(*keys, bucket, F.struct("ts", "event_id", delta(F.col("signal"), F.col("ts"), now).alias("d")).alias("step"))
     ordered = F.array_sort(F.collect_list("step"))
-    folded = F.aggregate(ordered, F.lit(start), lambda w, s: clamp(w + s["d"]))
-    return steps.groupBy(*keys).agg(folded.alias("weight"), F.count("*").alias("n_signals"))
+    nothing = F.struct(F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0.0).alias("d"))
+    one = F.aggregate(ordered, nothing, lambda f, s: F.struct(clamp(f["lo"] + s["d"]).alias("lo"), clamp(f["hi"] + s["d"]).alias("hi"), (f["d"] + s["d"]).alias("d")))
+    return steps.groupBy(*keys, "bucket").agg(one.alias("f"), F.count("*").alias("n")).select(*keys, "bucket", "f.*", "n")
+
+
+def then(weight: Column, parts: Column) -> Column:
+    """The weight after composed steps, in order of their buckets."""
+    return F.aggregate(F.array_sort(parts), weight, lambda w, p: F.least(p["hi"], F.greatest(p["lo"], w + p["d"])))
+
+
+def parts(steps: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, parts, n): a key's composed steps; as many as there are buckets with signals."""
+    return steps.groupBy(*keys).agg(F.collect_list(F.struct("bucket", "lo", "hi", "d")).alias("parts"), F.sum("n").alias("n"))
+
+
+def fold_weights(signals: DataFrame, keys: list[str], now: Column, start: float = vocab.NEUTRAL_FIT) -> DataFrame:
+    """Weight per key after all signals, in order of time and id, clamped to [0, 1] at every step."""
+    return parts(composed(signals, keys, now), keys).select(*keys, then(F.lit(start), F.col("parts")).alias("weight"), F.col("n").alias("n_signals"))
 
 
 def fold_vibes(signals: DataFrame, user: str, now: Column) -> DataFrame:

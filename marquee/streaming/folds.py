@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vocab
-from ..functions.scoring import clamp, recency_band
-from ..operators.feedback import age_days, delta
+from ..functions.scoring import recency_band
+from ..operators.feedback import age_days, composed, parts, then
 from ..storage import fresh_path
 
 
@@ -44,10 +44,9 @@ def fold_stream(signals: DataFrame, keys: list[str], now, start: float = vocab.N
 
     def step(batch: DataFrame, number: int) -> None:
         old = batch.sparkSession.read.schema(schema).parquet(f"{base}/{number - 1}")
-        steps = batch.select(*keys, F.struct("ts", "event_id", delta(F.col("signal"), F.col("ts"), now).alias("d")).alias("step"))
-        grouped = steps.groupBy(*keys).agg(F.array_sort(F.collect_list("step")).alias("steps"), F.count("*").alias("n"))
+        grouped = parts(composed(batch, keys, now), keys)
         joined = old.join(grouped, keys, "full")
-        weight = F.aggregate(F.coalesce("steps", F.array().cast(grouped.schema["steps"].dataType)), F.coalesce("weight", F.lit(start)), lambda w, s: clamp(w + s["d"]))
+        weight = then(F.coalesce("weight", F.lit(start)), F.coalesce("parts", F.array().cast(grouped.schema["parts"].dataType)))
         joined.select(*keys, weight.alias("weight"), (F.coalesce("n_signals", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_signals")).write.mode("overwrite").parquet(f"{base}/{number}")
         last[0] = number
 
