@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: spellings of dates that are understood. Fixed values.
 _DASH = r"\s*[-–]\s*"
 _CROSS = re.compile(rf"(?i)^([a-z]+)\s+(\d{{1,2}}){_DASH}([a-z]+)\s+(\d{{1,2}})$")
 _SAME = re.compile(r"(?i)^([a-z]+)\s+(\d{1,2})\s*(?:[-–]|&)\s*(\d{1,2})$")

@@ -21,9 +21,13 @@ def empty_to_null(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
+#: marks that end a venue's name, and amounts in a price. Fixed values.
+TRAILING_MARKS, DOLLARS = r"[.,;:!?]+$", r"\$(\d+(?:\.\d{2})?)"
+
+
 def clean_venue(c: Column) -> Column:
     """Ends stripped, trailing marks dropped, inner white space collapsed; empty becomes null."""
-    return empty_to_null(strip(collapse(F.regexp_replace(strip(c), r"[.,;:!?]+$", ""))))
+    return empty_to_null(strip(collapse(F.regexp_replace(strip(c), TRAILING_MARKS, ""))))
 
 
 def venue_key(c: Column) -> Column:
@@ -46,7 +50,7 @@ def is_free(price: Column) -> Column:
 
 def price_cents(price: Column) -> Column:
     """Cents of the first dollar amount; null where there is none, or where the price says free."""
-    amount = empty_to_null(F.regexp_extract(F.coalesce(price, F.lit("")), r"\$(\d+(?:\.\d{2})?)", 1))
+    amount = empty_to_null(F.regexp_extract(F.coalesce(price, F.lit("")), DOLLARS, 1))
     return F.when(~is_free(price), F.round(amount.cast("decimal(18,2)") * 100).cast("int"))
 
 
