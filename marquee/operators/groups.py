@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stage
+from ..storage import drop, stage
 
 #: a key is heavy if it bears more than one row in so many; there are fewer heavy keys than that
 _SHARE = 1000
@@ -33,6 +33,13 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str], bound: int) -> Da
     return rows.join(F.broadcast(few) if few.count() <= bound else few.hint("merge"), keys)
 
 
+def spread_join(few: DataFrame, many: DataFrame, keys: list[str], deal: str, parts: int = 16) -> DataFrame:
+    """Inner join on keys that are no bound for a task: the rows of ``many`` that share one are dealt into parts by ``deal``, each of which gets a copy of
+    the key's rows of ``few``, the smaller side."""
+    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    return copies.join(many.withColumn("_part", F.pmod(F.xxhash64(deal), F.lit(parts)).cast("int")), [*keys, "_part"]).drop("_part")
+
+
 def bounded_groups(members: DataFrame, keys: list[str], payload: list[str], salt: Column, limit: int) -> DataFrame:
     """Rows of ``members`` that share ``keys`` (without nulls), brought together so that every pair of a group meets exactly once in one
     output row, while no row holds more than about ``2 * limit`` members.
@@ -130,10 +137,12 @@ def components(edges: DataFrame, finish_edges: int = 1_000_000) -> DataFrame:
         n = e.count()
         if n <= finish_edges:
             last = stage(e.repartition(1).mapInArrow(_labels, label), "labels")
+            drop(e)
             return last if labels is None else _follow(labels, last)
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         step = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root"), F.count("*").alias("n")), "step")
         degree = step.select("node", "n")
+        first_step = step
         for _ in range(2):
             step = stage(_follow(step, step), "step")
         sized = step.join(degree, "node")
@@ -141,7 +150,8 @@ def components(edges: DataFrame, finish_edges: int = 1_000_000) -> DataFrame:
         first = heavy_join(e, x, ["a"], "n", n).drop("n")
         relabelled = heavy_join(first, y, ["b"], "n", n).select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
         labels = step if labels is None else stage(_follow(labels, step).unionByName(step.join(labels.select("node"), "node", "left_anti")), "labels")
-        e = stage(relabelled.mapInArrow(_forest, pair), "edges")
+        before, e = e, stage(relabelled.mapInArrow(_forest, pair), "edges")
+        drop(before, first_step)
 
 
 def _follow(labels: DataFrame, step: DataFrame) -> DataFrame:

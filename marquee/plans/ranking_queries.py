@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import FEEDBACK_NOW, FEEDBACK_SQL, HISTORY_SQL, LISTINGS_SQL, NOW, feedback, history, listings, now, table, with_id
 from ..functions import categories, scoring, text, vocab
-from ..operators import dedup, select
+from ..operators import dedup, groups, select
 from ..operators import feedback as folds
 
 QUERIES, ORACLES = {}, {}
@@ -217,9 +217,7 @@ def scored_events(spark, sf_dir):
     users = users.withColumn("liked_tags", F.when(F.col("user_id") % 4 == 0, none).otherwise(F.array(F.lit("niche"), F.lit("social"), F.lit("outdoor"))))
     u, v = F.col("user_id"), F.col("v")
     days = F.when((u + v) % 5 == 0, 15.0 + v).when((u + v) % 5 == 1, 40.0)
-    # a city is no bound for a task: its users are dealt into parts, each of which gets the fortnight's events of the city
-    salted = users.withColumn("salt", F.pmod(F.xxhash64("user_id"), F.lit(16)).cast("int"))
-    pairs = events.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(15)))).join(salted, ["city", "salt"])
+    pairs = groups.spread_join(events, users, ["city"], "user_id")
     parts = {
         "category_fit": scoring.category_fit(F.col("category_keys"), F.col("weights"), none, plain=True),
         "vibe_fit": scoring.vibe_fit(F.col("tags"), F.col("liked_tags")),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import categories, scoring, text, vocab
-from ..operators import dedup, enrich, keyed, normalize, select
+from ..operators import dedup, enrich, groups, keyed, normalize, select
 
 STAGES = ("entries", "candidates", "events", "filtered", "enriched", "ranked", "picks")
 
@@ -152,7 +152,8 @@ def ranked(inputs: Inputs, rows: DataFrame) -> DataFrame:
     """Events of each user's city, scored and ranked, without what they exclude or were given within 14 days."""
     at = F.lit(inputs.now).cast("timestamp")
     last = inputs.history.groupBy("user_id", "event_id").agg(F.max("recommended_at").alias("last_at"))
-    pairs = rows.join(inputs.profiles, F.lower(rows["city"]) == F.lower(F.trim(F.col("home_city")))).join(last, ["user_id", "event_id"], "left")
+    at_home = inputs.profiles.withColumn("_city", F.lower(F.trim(F.col("home_city"))))
+    pairs = groups.spread_join(rows.withColumn("_city", F.lower("city")), at_home, ["_city"], "user_id").join(last, ["user_id", "event_id"], "left")
     days = (F.unix_micros(at) - F.unix_micros(F.col("last_at").cast("timestamp"))) / 86_400e6
     pairs = pairs.where(~enrich.excluded(F.col("categories"), F.col("excluded_categories")) & F.coalesce(days > vocab.HARD_RECENCY_DAYS, F.lit(True)))
     none = F.array().cast("array<string>")

@@ -34,7 +34,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Remove staged tables, as ``stage`` returned them, that no plan still to be run reads."""
+    for table in tables:
+        drop_path(table.sparkSession, table._staged)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
