@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.groups import bounded_groups, components, heavy_join, join_few, union_find
-from ..storage import drop_path, fresh_path, shared_dir, stage
+from ..storage import drop, drop_path, fresh_path, shared_dir, stage
 
-__all__ = ["binary_list", "bounded_groups", "components", "drop_path", "fresh_path", "heavy_join", "in_slices", "join_few", "running_base", "shared_dir", "stage", "table", "tidy", "union_find"]
+__all__ = ["binary_list", "bounded_groups", "components", "drop", "drop_path", "fresh_path", "heavy_join", "in_slices", "join_few", "running_base", "shared_dir", "stage", "table", "tidy", "union_find"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

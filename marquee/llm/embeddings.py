@@ -188,12 +188,15 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     placed = common.stage(placed, "vector_buckets")
     keys = ["tab", "bucket", "dim"]
     shared = placed.groupBy(*keys).agg(F.count("*").alias("many")).where("many > 1")
-    met = common.heavy_join(placed, common.stage(shared, "vector_shared"), keys, "many", nodes.count() * tables)
+    shared = common.stage(shared, "vector_shared")
+    met = common.heavy_join(placed, shared, keys, "many", nodes.count() * tables)
     places = met.groupBy("node").agg(F.collect_list(F.struct("tab", "bucket")).alias("places"))  # at most one per table
     sent = common.stage(nodes.join(places, "node").select("node", "own", "n", "dim", "vector", "places"), "vector_places")
-    sent = sent.mapInArrow(_sent(tables), "tab int, bucket int, dim int, node long, own long, n long, vector binary, names binary")
-    groups = common.bounded_groups(sent, keys, ["node", "own", "n", "vector", "names"], F.col("node"), block)
+    common.drop(placed, shared)
+    copies = sent.mapInArrow(_sent(tables), "tab int, bucket int, dim int, node long, own long, n long, vector binary, names binary")
+    groups = common.bounded_groups(copies, keys, ["node", "own", "n", "vector", "names"], F.col("node"), block)
     found = common.stage(groups.mapInArrow(_compare(min_cosine, kind), "node long, links long, root long"), "vector_links")
+    common.drop(sent)
 
     edges = found.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if mixed:

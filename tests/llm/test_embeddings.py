@@ -1,8 +1,14 @@
+import os
+
 import numpy as np
 import pytest
 
 from marquee.llm import embeddings
 
+from .oracle import assert_same
+
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.mark.parametrize("block", [1024, 16])
 def test_against_all_pairs(spark, block):
@@ -24,6 +30,20 @@ def test_against_all_pairs(spark, block):
     assert embeddings.near_duplicates(df).count() == len(rows)
 
 
+def test_equal_vectors_and_ids_of_several_vectors(spark):
+    """Equal vectors count each; an id never links with itself; -0.0 is 0.0."""
+    far = [0.0, 0.0, 1.0, 0.0]
+    rows = [(k, [1.0, 0.0, 0.0, 0.0]) for k in range(50)] + [(50, [2.0, -0.0, 0.0, 0.0]), (60, far), (60, [1.0, 0.01, 0.0, 0.0]), (61, [0.0, 0.0, 3.0, 0.01]), (7, [1.0, 0.0, 0.0, 0.0])]
+    for kind in ("float", "double"):
+        got = {r.vec_id: (r.n_links, r.component) for r in embeddings.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), block=8).collect()}
+        assert got == {**{k: (51, 0) for k in range(51)}, 60: (52, 0), 61: (1, 0)}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
+def test_query_equals_its_sql(spark):
+    assert_same(embeddings.op8_pstable(spark, SF).toPandas(), "op8_pstable", SF)
+
+
 def test_empty_table(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
