@@ -36,7 +36,9 @@ def boilerplate(lines: DataFrame, min_sites: int, lg_k: int = 12) -> tuple[DataF
     exact = near.groupBy("h1", "h2").agg(F.count("*").alias("sites"), F.first("keeper").alias("keeper"), F.first("n").alias("n")).where(F.col("sites") >= min_sites)
     sure = spread.where(F.col("sites") > min_sites + margin)
     columns = ["h1", "h2", "keeper", "n"]
-    return common.stage(exact.select(*columns).unionByName(sure.select(*columns)), "boilerplate"), held.drop("keeper", "sites", "n")
+    found = common.stage(exact.select(*columns).unionByName(sure.select(*columns)), "boilerplate")
+    common.drop(spread)
+    return found, held
 
 
 @F.pandas_udf(StringType())
@@ -71,10 +73,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = F.split("text", "\n", -1)
     each = base.select("doc", "k1", "k2", "site", F.posexplode(parts).alias("at", "line")).withColumn("line", F.trim(F.col("line"), F.lit(" \t\r")))
     each = each.where(F.length("line") >= min_chars).select("doc", "k1", "k2", "site", "at", *line_hashes(F.col("line")))
-    found, held = boilerplate(common.stage(each, "lines"), min_sites)
-    hits = common.heavy_join(held, found.where("keeper is not null"), ["h1", "h2"], "n", held.count()).where("not (doc <=> keeper)")
+    lines = common.stage(each, "lines")
+    found, held = boilerplate(lines, min_sites)
+    hits = common.heavy_join(held.drop("keeper", "sites", "n"), found.where("keeper is not null"), ["h1", "h2"], "n", held.count()).where("not (doc <=> keeper)")
     # a repeated row's lines come twice, which a set doesn't feel
     gone = common.stage(hits.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone")), "line_hits")
+    common.drop(lines, held, found)
     joined = base.drop("doc", "site").join(gone, ["k1", "k2"], "left")
     # texts without such lines don't go to Python
     cleaned = F.when(F.col("gone").isNull(), F.col("text")).otherwise(without(F.when(F.col("gone").isNotNull(), F.col("text")), F.col("gone")))
