@@ -137,7 +137,7 @@ def _tree(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, n
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of similarity ``percent`` or more, by their whole texts. ``texts``: s, text."""
+    """The pairs (a, b) of similarity ``percent`` or more, by their whole texts. ``texts``: s, text, a staged table that is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +146,9 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(ok)
 
     wide = pairs.join(texts.toDF("a", "x"), "a").join(texts.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    return common.stage(wide.mapInArrow(common.in_slices(run), "a long, b long"), "similar_links")
+    found = common.stage(wide.mapInArrow(common.in_slices(run), "a long, b long"), "similar_links")
+    common.drop(texts)
+    return found
 
 
 def texts_of(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
@@ -154,7 +156,9 @@ def texts_of(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
     held = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s"))).distinct()
     keys = common.stage(sets.select("s", "k1", "k2").join(held, "s"), "similar_held")
     found = common.join_few(rows, keys, ["k1", "k2"], FEW)
-    return common.stage(found.groupBy("s").agg(F.first("text").alias("text")), "similar_texts")
+    texts = common.stage(found.groupBy("s").agg(F.first("text").alias("text")), "similar_texts")
+    common.drop(keys)
+    return texts
 
 
 def links(sets: DataFrame, near: DataFrame, rows: DataFrame, size: int, percent: int, block: int = 2048) -> DataFrame:
@@ -186,4 +190,5 @@ def links(sets: DataFrame, near: DataFrame, rows: DataFrame, size: int, percent:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tried = pairs
         found.append(verified(pairs, texts_of(pairs, sets, rows), size, percent))
+    common.drop(members)
     return found[0].unionByName(found[1]).unionByName(found[2])

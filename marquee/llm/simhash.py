@@ -216,7 +216,9 @@ def similar_classes(rows: DataFrame, shingle: int = 5, percent: int = 80, max_bi
     across = forest.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     found = shingles.links(sets.drop("fp"), alike.unionByName(across), rows.select("k1", "k2", "text"), shingle, percent, block)
     linked = common.components(found).toDF("s", "root")
-    return common.stage(prints.select("id", "k1", "k2", "s").join(linked, "s", "left").withColumn("root", F.coalesce("root", "s")), "set_classes")
+    classes = common.stage(prints.select("id", "k1", "k2", "s").join(linked, "s", "left").withColumn("root", F.coalesce("root", "s")), "set_classes")
+    common.drop(prints, sets, fps)
+    return classes
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, shingle: int = 5, percent: int = 80, max_bits: int = 3, block: int = 2048) -> DataFrame:

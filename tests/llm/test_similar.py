@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from marquee.llm import shingles, simhash
@@ -81,8 +82,27 @@ def test_recall_at_the_threshold(spark):
 def test_sketches_agree_as_the_sets_do():
     x = shingles.shingles([f"a{k}".encode() for k in range(900)], 5)
     marks, bands = shingles.sketch(x)
-    assert len(marks) == shingles.BINS and 0 < len(bands) <= shingles.BANDS and shingles.sketch(x[:0]) == (bytes(shingles.BINS), [])
-    assert set(shingles.sketch(x[:-1])[1]) & set(bands)
+    assert len(marks) == shingles.BINS + 4 * shingles.BANDS and len(bands) == shingles.BANDS and all(bands)
+    assert shingles.sketch(x[:0]) == (bytes(len(marks)), [0] * shingles.BANDS)
+    other = shingles.sketch(x[:-1])[1]
+    assert sum(a == b for a, b in zip(bands, other)) >= shingles.BANDS - 1
+
+
+def test_estimates_rule_out_no_similar_pair():
+    """Random pairs of sets of a similarity of just 0.8, of many sizes: the sketch keeps them."""
+    rng = np.random.default_rng(11)
+    kept = []
+    for _ in range(1500):
+        n = int(rng.integers(1, 900)) * 10
+        pool = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        cut = len(pool) // 10
+        x, y = np.sort(pool[cut:]) if cut else pool, pool
+        order = rng.permutation(len(pool))
+        x, y = np.sort(pool[order[cut:]]), np.sort(pool[order[: len(pool) - cut]])
+        assert shingles.similar(x, y, 80)
+        marks = np.stack([np.frombuffer(shingles.sketch(v)[0], np.uint8)[: shingles.BINS] for v in (x, y)])
+        kept.append(shingles._maybe(marks, np.array([len(x), len(y)]), np.array([0]), np.array([1]), 80)[0] >= 0)
+    assert sum(kept) >= 1495
 
 
 def test_empty_table(spark):
