@@ -63,8 +63,8 @@ def _maybe(marks: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, perce
     out = np.full(len(i), -1.0)
     fit = np.nonzero(100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))[0]
     t = percent / 100
-    for at in range(0, len(fit), 50_000):
-        k = fit[at : at + 50_000]
+    for at in range(0, len(fit), 10_000):
+        k = fit[at : at + 10_000]
         x, y = marks[i[k]], marks[j[k]]
         seen = np.maximum(np.count_nonzero(x | y, axis=1), 1)
         share = np.count_nonzero((x == y) & (x != 0), axis=1) / seen
@@ -93,7 +93,7 @@ def _candidates(percent: int, forest: bool):
                 before = np.ascontiguousarray(sk[:, BINS:]).view(np.uint32)[:, : bands[k]]
                 sk = sk[:, :BINS]
                 found = []
-                step = max(1, 1_000_000 // len(f))
+                step = max(1, 200_000 // len(f))
                 for x in range(0, len(f), step):
                     rows = np.arange(x, min(x + step, len(f)))
                     ok = (f[rows, None] < f[None, :]) & (r[rows, None] != r[None, :])
@@ -185,7 +185,7 @@ def links(sets: DataFrame, near: DataFrame, rows: DataFrame, size: int, percent:
             split_ = now.groupBy(*keys).agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select(*keys)
             now = now.join(split_, keys)
         groups = common.bounded_groups(now, keys, ["s", "n", "root", "marks"], F.col("s"), block)
-        pairs = common.stage(groups.mapInArrow(_candidates(percent, forest), "a long, b long").distinct(), "similar_pairs")
+        pairs = common.stage(groups.mapInArrow(common.in_slices(_candidates(percent, forest), 64), "a long, b long").distinct(), "similar_pairs")
         if not forest:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         tried = pairs
