@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, lines, lmscore, packing, sharding, simhash, toxicity, urls, warc
+from . import decontam, embeddings, langid, lines, lmscore, packing, sharding, simhash, toxicity, urls, warc
 from .oracles import ORACLES
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pstable": embeddings.op8_pstable,
     "op9_line_spread": lines.op9_line_spread,
     "op10_url_ratio": urls.op10_url_ratio,
+    "op13_codes": langid.op13_codes,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
