@@ -36,9 +36,64 @@ n AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
 SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN comp ON vec_id = comp.a LEFT JOIN n ON vec_id = n.a
 """
 
+
+
+def _crc32(octets: str) -> str:
+    """DuckDB SQL of a CRC-32, bit by bit. ``octets``: the bytes as a list."""
+    step = "lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)"
+    bits = f"flatten(list_transform({octets}, lambda o: list_transform(range(0, 8), lambda k: (o >> k) & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {bits}), {step}), 4294967295)"
+
+
+_ASCII = "list_transform(string_split(name, ''), lambda c: ord(c)::BIGINT)"
+
+OP12_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+branches AS (SELECT unnest(['L', 'R']) AS br),
+parts AS (SELECT doc_id, unnest(list_concat(['row', 'lang', 'source'], list_transform(range(0, len(lines)), lambda j: CAST(j AS VARCHAR)))) AS part FROM docs),
+names AS (SELECT br, doc_id, part, br || ':' || CAST(doc_id AS VARCHAR) || ':' || part AS name FROM parts, branches),
+codes AS (SELECT br, doc_id, part, {_crc32(_ASCII)} % 11 AS code FROM names),
+of AS (SELECT doc_id, part, max(CASE WHEN br = 'L' THEN code END) AS l, max(CASE WHEN br = 'R' THEN code END) AS r FROM codes GROUP BY ALL),
+leaves AS (
+  SELECT doc_id, part, CASE part WHEN 'lang' THEN lang WHEN 'source' THEN source ELSE lines[TRY_CAST(part AS INT) + 1] END AS b, part NOT IN ('lang', 'source') AS is_line, l, r
+  FROM of JOIN docs USING (doc_id) WHERE part <> 'row'),
+values_ AS (
+  SELECT *, CASE l WHEN 0 THEN CASE WHEN NOT is_line THEN '' END WHEN 1 THEN b || '!' WHEN 2 THEN b || '?' ELSE b END AS x,
+    CASE r WHEN 0 THEN CASE WHEN NOT is_line THEN '' END WHEN 1 THEN b || '!' WHEN 2 THEN b || '?' ELSE b END AS y,
+    CASE WHEN is_line THEN CASE l WHEN 3 THEN '!' WHEN 4 THEN '?' END END AS gx, CASE WHEN is_line THEN CASE r WHEN 3 THEN '!' WHEN 4 THEN '?' END END AS gy
+  FROM leaves),
+merged AS (
+  SELECT doc_id, part, is_line, b, x IS DISTINCT FROM b OR gx IS NOT NULL AS by_l, y IS DISTINCT FROM b OR gy IS NOT NULL AS by_r,
+    CASE WHEN x IS NOT DISTINCT FROM b THEN y WHEN y IS NOT DISTINCT FROM b OR x IS NOT DISTINCT FROM y THEN x ELSE b END AS v,
+    CASE WHEN gx IS NULL THEN gy WHEN gy IS NULL OR gx = gy THEN gx END AS g,
+    (x IS DISTINCT FROM b OR y IS DISTINCT FROM b)::INT AS changed, (x IS DISTINCT FROM b AND y IS DISTINCT FROM b AND x IS DISTINCT FROM y)::INT AS clash,
+    (x IS NULL OR y IS NULL)::INT AS gone, (gx IS NOT NULL OR gy IS NOT NULL)::INT AS put, (gx IS NOT NULL AND gy IS NOT NULL AND gx <> gy)::INT AS g_clash
+  FROM values_),
+rows_ AS (
+  SELECT doc_id, bool_or(by_l) AS by_l, bool_or(by_r) AS by_r, max(v) FILTER (part = 'lang') AS lang, max(v) FILTER (part = 'source') AS source,
+    coalesce(string_agg(CASE WHEN v IS NULL THEN g WHEN g IS NULL THEN v ELSE v || chr(10) || g END, chr(10) ORDER BY TRY_CAST(part AS INT)) FILTER (is_line AND coalesce(v, g) IS NOT NULL), '') AS text,
+    sum(changed - clash + put - g_clash) AS n_clean, sum(clash * (1 - gone)) AS n_edit_edit, sum(clash * gone) AS n_edit_delete, sum(g_clash) AS n_insert_insert
+  FROM merged GROUP BY doc_id),
+kept AS (
+  SELECT o.doc_id, o.l = 0 OR o.r = 0 AS dropped, (o.l = 0 AND o.r <> 0 AND by_r) OR (o.r = 0 AND o.l <> 0 AND by_l) AS clash,
+    m.lang, m.source, text, d.lang AS base_lang, d.source AS base_source, array_to_string(d.lines, chr(10)) AS base_text, n_clean, n_edit_edit, n_edit_delete, n_insert_insert
+  FROM of o JOIN rows_ m USING (doc_id) JOIN docs d USING (doc_id) WHERE part = 'row'),
+added AS (
+  SELECT -1 - doc_id AS doc_id, 'L' AS br, lang, source, CASE l WHEN 3 THEN '!' ELSE '?' END AS text FROM of JOIN docs USING (doc_id) WHERE part = 'row' AND l IN (3, 4)
+  UNION ALL SELECT -2 - doc_id, 'R', lang, source, CASE r WHEN 3 THEN '!' ELSE '?' END FROM of JOIN docs USING (doc_id) WHERE part = 'row' AND r IN (3, 4)),
+fresh AS (SELECT doc_id, min(lang) AS lang, min(source) AS source, min(text) AS text, count(DISTINCT (lang, source, text)) = 1 AS ok FROM added GROUP BY 1)
+SELECT doc_id, CASE WHEN clash THEN base_lang WHEN NOT dropped THEN lang END AS lang, CASE WHEN clash THEN base_source WHEN NOT dropped THEN source END AS source,
+  CASE WHEN clash THEN sha256(base_text) WHEN NOT dropped THEN sha256(text) END AS text_sha256,
+  CAST(CASE WHEN dropped THEN (NOT clash)::INT ELSE n_clean END AS BIGINT) AS n_clean, CAST(CASE WHEN dropped THEN 0 ELSE n_edit_edit END AS BIGINT) AS n_edit_edit,
+  CAST(CASE WHEN dropped THEN clash::INT ELSE n_edit_delete END AS BIGINT) AS n_edit_delete, CAST(CASE WHEN dropped THEN 0 ELSE n_insert_insert END AS BIGINT) AS n_insert_insert
+FROM kept
+UNION ALL SELECT doc_id, CASE WHEN ok THEN lang END, CASE WHEN ok THEN source END, CASE WHEN ok THEN sha256(text) END, ok::BIGINT, 0, 0, (NOT ok)::BIGINT FROM fresh
+"""
+
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op5_winnowing": OP5_SQL,
     "op8_pstable": OP8_SQL,
     "op9_line_spread": OP9_SQL,
+    "op12_merkle": OP12_SQL,
 }
