@@ -90,10 +90,32 @@ FROM kept
 UNION ALL SELECT doc_id, CASE WHEN ok THEN lang END, CASE WHEN ok THEN source END, CASE WHEN ok THEN sha256(text) END, ok::BIGINT, 0, 0, (NOT ok)::BIGINT FROM fresh
 """
 
+#: a letter's UTF-8 bytes, of which the runs' letters have one or two
+_OCTETS = "flatten(list_transform(string_split(name, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [192 + (ord(c) >> 6)::BIGINT, 128 + (ord(c) & 63)::BIGINT] END))"
+
+OP11_SQL = f"""
+WITH RECURSIVE found AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS n, CAST(doc_id AS VARCHAR) || ':' || run AS name FROM found WHERE length(run) >= 7 GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32(_OCTETS)} AS h FROM counted),
+words AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS INT)) || substring(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, CAST(sum(n) AS BIGINT) AS n FROM hashed GROUP BY 1),
+vocab AS (SELECT word, n FROM words WHERE length(word) >= 7 AND n >= 2),
+dels AS (SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT word, n, CAST(unnest(range(0, length(word))) AS INT) AS i FROM vocab)),
+pairs AS (
+  SELECT a.word AS a, b.word AS b, b.n FROM dels a JOIN dels b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM vocab a JOIN dels b ON a.word = b.rest
+  UNION SELECT b.word, a.word, a.n FROM vocab a JOIN dels b ON a.word = b.rest),
+near AS (SELECT a AS word, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY 1),
+firsts AS (SELECT a AS word, min(b) AS b FROM pairs JOIN near ON a = word AND n = most GROUP BY 1),
+told AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN b END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n FROM vocab LEFT JOIN near USING (word) LEFT JOIN firsts USING (word)),
+chain AS (SELECT word, word AS at FROM told UNION ALL SELECT chain.word, told.form FROM chain JOIN told ON chain.at = told.word WHERE told.form IS NOT NULL)
+SELECT t.word, t.form, c.at AS root, t.n, t.n_near, t.form_n FROM told t JOIN chain c ON t.word = c.word JOIN told l ON c.at = l.word AND l.form IS NULL
+"""
+
 ORACLES = {
     "op2_warc": OP2_SQL,
     "op5_winnowing": OP5_SQL,
     "op8_pstable": OP8_SQL,
     "op9_line_spread": OP9_SQL,
+    "op11_deletions": OP11_SQL,
     "op12_merkle": OP12_SQL,
 }

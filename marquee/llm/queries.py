@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, embeddings, langid, lines, lmscore, merge, packing, sharding, simhash, toxicity, urls, warc
+from . import decontam, embeddings, langid, lines, lmscore, merge, packing, sharding, simhash, toxicity, urls, variants, warc
 from .oracles import ORACLES
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_pstable": embeddings.op8_pstable,
     "op9_line_spread": lines.op9_line_spread,
     "op10_url_ratio": urls.op10_url_ratio,
+    "op11_deletions": variants.op11_deletions,
     "op12_merkle": merge.op12_merkle,
     "op13_codes": langid.op13_codes,
 }

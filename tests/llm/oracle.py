@@ -15,5 +15,5 @@ def assert_same(got: pd.DataFrame, name: str, sf_dir: str) -> None:
     want = con.execute(ORACLES[name]).df()
     columns = sorted(want.columns)
     assert columns == sorted(got.columns)
-    rows = lambda frame: sorted(tuple(None if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False))
+    rows = lambda frame: sorted((tuple(None if pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else str(v) for v in r) for r in frame[columns].astype(object).itertuples(index=False)), key=str)
     assert rows(got) == rows(want)
