@@ -155,6 +155,8 @@ def components(edges: DataFrame, finish_edges: int = 1_000_000) -> DataFrame:
 
 
 def _follow(labels: DataFrame, step: DataFrame) -> DataFrame:
-    """Labels after one more step; what the step doesn't hold stays."""
+    """Labels after one more step; what the step doesn't hold stays. A root that bears a large share of the labels is no key of an exchange."""
     s = step.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return labels.join(s, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    sizes = labels.groupBy("root").agg(F.count("*").alias("n_root")).join(s, "root", "left")
+    lookup = stage(sizes.select("root", F.coalesce("next", "root").alias("next"), "n_root"), "follow")
+    return heavy_join(labels, lookup, ["root"], "n_root", labels.count()).select("node", F.col("next").alias("root"))
