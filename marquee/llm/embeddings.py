@@ -66,7 +66,7 @@ def _buckets(tables: int, projections: int, width: float, seed: int, kind: type)
                 mine = np.nonzero(dims == dim)[0]
                 for at in range(0, len(mine), 512):
                     rows = mine[at : at + 512]
-                    names = signatures(_unit(vectors.take(pa.array(rows)).to_pylist(), dim, kind), tables, projections, width, seed)
+                    names = signatures(_unit(vectors.take(pa.array(rows)).to_pylist(), dim, kind), tables, projections, width, seed) | np.int32(1)  # 0 stands for no bucket
                     n = len(rows)
                     columns = [np.tile(np.arange(tables, dtype=np.int32), n), names.ravel(), np.full(n * tables, dim, np.int32), np.repeat(nodes[rows], tables)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["tab", "bucket", "dim", "node"])
@@ -206,7 +206,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "n", "least").join(links, "node", "left").join(comps, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = common.stage(known, "vector_classes")
-    named = known.join(known.groupBy("root").agg(F.min("least").alias("component")), "root")
+    least = common.stage(known.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n_root")), "root_least")
+    named = common.heavy_join(known, least, ["root"], "n_root", known.count())
     named = common.stage(named.select("node", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component"), "vector_named")
     by_id = common.heavy_join(slim.select("id", "node"), named, ["node"], "n", slim.count()).select("id", "links", "component")
     if mixed:

@@ -3,6 +3,10 @@
 A sketch cuts the range of the shingles' hashes into bins and keeps the least of each; two sets agree in a bin with the probability of their
 similarity. Runs of bins make bands: sets that agree in a whole band meet in one group, where the sketches tell which pairs can be
 similar enough; those alone are compared by their whole texts.
+
+Small sets leave most bins empty, so they meet without loss instead: in the order of hashes, two sets that are similar enough share at least two of
+their first n - ceil(share * n) + 2 shingles, and every two of these name a group. There the low bits of all their shingles rule out pairs that
+share too few, which loses none.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BINS, BANDS, _ROWS = 512, 32, 8
+#: sets of so many shingles or fewer meet by their first shingles; larger ones, and those that could be similar to larger ones, by bands
+SMALL = 40
 _EDGES = (np.arange(BINS, dtype=np.uint64) << np.uint64(55))
 #: an estimate so many standard deviations below the threshold rules a pair out
 _SURE = 3.5
@@ -55,6 +61,34 @@ def sketch(x: np.ndarray) -> tuple[bytes, list[int]]:
     return marks.tobytes() + names.astype(np.uint32).tobytes(), names.view(np.int64).tolist()
 
 
+def leaders(x: np.ndarray, percent: int) -> tuple[bytes, list[int]]:
+    """(low, keys) of a small set: two bytes of each shingle, none of them 0, and the groups in which it meets all sets of similarity ``percent`` or
+    more, which is above 50: different sets then share two shingles at least."""
+    low = np.zeros(SMALL, np.uint16)
+    low[: len(x)] = x % np.uint64(65535) + np.uint64(1)
+    first = x[: len(x) - -(-percent * len(x) // 100) + 2]
+    i, j = np.triu_indices(len(first), 1)
+    return low.tobytes(), (first[i] * np.uint64(0x9E3779B97F4A7C15) + first[j] * np.uint64(0xD6E8FEB86659FD93)).view(np.int64).tolist()
+
+
+def meetings(x: np.ndarray, percent: int) -> tuple[bytes, list[int], bytes, list[int]]:
+    """(marks, bands, low, keys): a set's bands, its small groups, or both if it lies where sets of either kind can be similar to it."""
+    by_band = sketch(x) if 100 * len(x) > percent * SMALL else (b"", [])
+    return *by_band, *(leaders(x, percent) if len(x) <= SMALL else (b"", []))
+
+
+def _shared(low: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+    """The similarity of the pairs (i, j) of small sets if shingles with equal low bits were equal, which it can only exceed; -1 where that is too little."""
+    out = np.full(len(i), -1.0)
+    for at in range(0, len(i), 10_000):
+        k = slice(at, at + 10_000)
+        x, y = low[i[k]], low[j[k]]
+        both = ((x[:, :, None] == y[:, None, :]).any(axis=2) & (x != 0)).sum(axis=1)
+        either = np.maximum(n[i[k]] + n[j[k]] - both, 1)
+        out[k] = np.where(100 * both >= percent * either, both / either, -1.0)
+    return out
+
+
 def _maybe(marks: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
     """Estimated similarity of the pairs (i, j); -1 where it is ruled out by the sizes or the sketches.
 
@@ -77,7 +111,7 @@ def _maybe(marks: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, perce
 
 def _candidates(percent: int, forest: bool):
     """Pairs (a, b) of a group that may be similar and that nothing has joined yet. ``forest``: of those only enough to join what all of them would
-    join, the likeliest first. A pair that meets in several bands counts in the first of them."""
+    join, the likeliest first. A pair that meets in several bands counts in the first of them. Marks of the last band number are those of small sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,9 +123,11 @@ def _candidates(percent: int, forest: bool):
             for k in range(len(same)):
                 at = slice(offsets[k], offsets[k + 1])
                 f, m, r, b = s[at], n[at].astype(np.int64), root[at], block[at]
-                sk = np.frombuffer(b"".join(marks.slice(at.start, len(f)).to_pylist()), np.uint8).reshape(len(f), -1)
-                before = np.ascontiguousarray(sk[:, BINS:]).view(np.uint32)[:, : bands[k]]
-                sk = sk[:, :BINS]
+                small = bands[k] == BANDS
+                sk = np.frombuffer(b"".join(marks.slice(at.start, len(f)).to_pylist()), np.uint16 if small else np.uint8).reshape(len(f), -1)
+                if not small:
+                    before = np.ascontiguousarray(sk[:, BINS:]).view(np.uint32)[:, : bands[k]]
+                    sk = sk[:, :BINS]
                 found = []
                 step = max(1, 200_000 // len(f))
                 for x in range(0, len(f), step):
@@ -101,11 +137,13 @@ def _candidates(percent: int, forest: bool):
                         ok &= b[rows, None] != b[None, :]
                     i, j = np.nonzero(ok)
                     i = rows[i]
-                    share = _maybe(sk, m, i, j, percent)
+                    share = (_shared if small else _maybe)(sk, m, i, j, percent)
                     keep = share >= 0
                     i, j, share = i[keep], j[keep], share[keep]
-                    keep = ~((before[i] == before[j]) & (before[i] != 0)).any(axis=1)
-                    found.append((i[keep], j[keep], share[keep]))
+                    if not small:
+                        keep = ~((before[i] == before[j]) & (before[i] != 0)).any(axis=1)
+                        i, j, share = i[keep], j[keep], share[keep]
+                    found.append((i, j, share))
                 i, j, share = (np.concatenate(c) for c in zip(*found, strict=True))
                 if forest and len(i):
                     order = np.argsort(-share, kind="stable")
@@ -163,16 +201,18 @@ def texts_of(pairs: DataFrame, sets: DataFrame, rows: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, near: DataFrame, rows: DataFrame, size: int, percent: int, block: int = 2048) -> DataFrame:
     """(a, b): links between different sets that join all that chains of pairs of similarity ``percent`` or more join. ``sets``: s, n, k1,
-    k2, bands, marks, one row for each set; ``near``: pairs of sets that are likely similar; ``rows``: k1, k2, text.
+    k2, marks, bands, low, keys (see ``meetings``), one row for each set; ``near``: pairs of sets that are likely similar; ``rows``: k1, k2, text.
 
     The likely pairs are checked first. Then the sets that share a band are compared: once by the likeliest pairs that would
     join each group, and once more by all pairs that are not ruled out and that nothing has joined by then."""
     near = common.stage(near.distinct(), "similar_near")
     first = verified(near, texts_of(near, sets, rows), size, percent)
     keys = ["k", "band"]
-    entries = sets.select("s", F.posexplode("bands").alias(*keys)).where("band <> 0")
+    by_band = sets.select("s", F.posexplode("bands").alias(*keys)).where("band <> 0")
+    entries = by_band.unionByName(sets.select("s", F.lit(BANDS).alias("k"), F.explode("keys").alias("band")))
     met = entries.groupBy(*keys).agg(F.count("*").alias("many")).where("many > 1").select(*keys)
-    members = common.stage(entries.join(met, keys).join(sets.select("s", "n", "marks"), "s"), "similar_members")
+    marks = F.when(F.col("k") == BANDS, F.col("low")).otherwise(F.col("marks")).alias("marks")
+    members = common.stage(entries.join(met, keys).join(sets.select("s", "n", "marks", "low"), "s").select("s", *keys, "n", marks), "similar_members")
     found = [first]
     for forest in (True, False):
         all_links = found[0]

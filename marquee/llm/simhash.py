@@ -173,27 +173,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fps = common.stage(fingerprints(docs, id_col, text_col, shingle), "fps")
     distinct = common.stage(fps.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "distinct_fps")
     comps = common.components(edges(distinct, max_bits, block))
-    rooted = distinct.join(comps.toDF("fp", "root"), "fp").select("fp", "root", "least")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    moved = common.stage(rooted.join(least, "root").select("fp", "component"), "moved")
+    rooted = common.stage(distinct.join(comps.toDF("fp", "root"), "fp").select("fp", "root", "least"), "rooted")
+    least = common.stage(rooted.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("n_root")), "root_least")
+    moved = common.stage(common.heavy_join(rooted, least, ["root"], "n_root", rooted.count()).select("fp", "component"), "moved")
+    common.drop(rooted, least)
     reps = common.stage(distinct.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"), "n"), "reps")
     return common.heavy_join(fps, reps, ["fp"], "n", fps.count()).select(F.col("id").alias(id_col), "fp", "component")
 
 
-def _prints(shingle: int):
-    """Fingerprint, set and sketch of each text. Columns in: id, k1, k2, text."""
+def _prints(shingle: int, percent: int):
+    """Fingerprint, set and meetings of each text. Columns in: id, k1, k2, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for text in common.binary_list(batch.column(3)):
                 x = shingles.shingles(shingles.split(text), shingle)
-                marks, bands = shingles.sketch(x)
-                out.append((xxhash.xxh64_intdigest(x.tobytes()), len(x), fingerprint(text, shingle), marks, bands))
-            s, n, fp, marks, bands = zip(*out, strict=True) if out else ((),) * 5
+                out.append((xxhash.xxh64_intdigest(x.tobytes()), len(x), fingerprint(text, shingle), *shingles.meetings(x, percent)))
+            s, n, fp, marks, bands, low, keys = zip(*out, strict=True) if out else ((),) * 7
             signed = [pa.array(np.array(v, np.uint64).view(np.int64)) for v in (s, fp)]
-            columns = [signed[0], pa.array(n, pa.int32()), signed[1], pa.array(marks, pa.binary()), pa.array(bands, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["id", "k1", "k2", "s", "n", "fp", "marks", "bands"])
+            met = [pa.array(v, kind) for v, kind in ((marks, pa.binary()), (bands, pa.list_(pa.int64())), (low, pa.binary()), (keys, pa.list_(pa.int64())))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], signed[0], pa.array(n, pa.int32()), signed[1], *met], names=["id", "k1", "k2", "s", "n", "fp", "marks", "bands", "low", "keys"])
 
     return run
 
@@ -203,21 +203,28 @@ def similar_classes(rows: DataFrame, shingle: int = 5, percent: int = 80, max_bi
     class, s the row's set of shingles. ``rows``: id, k1, k2 (hashes of the row), text.
 
     The fingerprints' grid join gives the pairs within ``max_bits`` bits. At a similarity of 0.8 fingerprints differ by about ten of 64 bits, where no
-    cell of the grid is selective, so pairs beyond are found by bands of a sketch. Every pair is checked by its whole texts."""
-    schema = "id long, k1 long, k2 long, s long, n int, fp long, marks binary, bands array<long>"
-    prints = common.stage(rows.select("id", "k1", "k2", "text").mapInArrow(common.in_slices(_prints(shingle)), schema), "prints")
-    one = prints.groupBy("s").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first(F.struct("n", "fp", "marks", "bands")).alias("p"))
-    sets = common.stage(one.select("s", "k.k1", "k.k2", "p.n", "p.fp", "p.marks", "p.bands"), "sets")
+    cell of the grid is selective, so pairs beyond are found by bands of a sketch, or between small sets by their first shingles. Every pair is
+    checked by its whole texts. ``percent`` is above 50."""
+    if percent <= 50:
+        raise ValueError("percent is above 50")
+    parts = "marks binary, bands array<long>, low binary, keys array<long>"
+    schema = f"id long, k1 long, k2 long, s long, n int, fp long, {parts}"
+    held = ["n", "fp", "marks", "bands", "low", "keys"]
+    prints = common.stage(rows.select("id", "k1", "k2", "text").mapInArrow(common.in_slices(_prints(shingle, percent)), schema), "prints")
+    one = prints.groupBy("s").agg(F.min(F.struct("k1", "k2")).alias("k"), F.first(F.struct(*held)).alias("p"), F.count("*").alias("n_rows"))
+    sets = common.stage(one.select("s", "k.k1", "k.k2", *(f"p.{c}" for c in held), "n_rows"), "sets")
     fps = common.stage(sets.groupBy("fp").agg(F.min("s").alias("first"), F.count("*").alias("n")), "set_fps")
     # sets of one fingerprint around the first of them, and those around each other
     alike = sets.select("s", "fp").join(fps.where("n > 1"), "fp").where("s <> first").select(F.col("first").alias("a"), F.col("s").alias("b"))
     forest = edges(fps.select("fp"), max_bits, block)
     first = fps.select("fp", "first")
     across = forest.join(first.toDF("a", "x"), "a").join(first.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    found = shingles.links(sets.drop("fp"), alike.unionByName(across), rows.select("k1", "k2", "text"), shingle, percent, block)
+    found = shingles.links(sets.drop("fp", "n_rows"), alike.unionByName(across), rows.select("k1", "k2", "text"), shingle, percent, block)
     linked = common.components(found).toDF("s", "root")
-    classes = common.stage(prints.select("id", "k1", "k2", "s").join(linked, "s", "left").withColumn("root", F.coalesce("root", "s")), "set_classes")
-    common.drop(prints, sets, fps)
+    rooted = common.stage(sets.select("s", "n_rows").join(linked, "s", "left").withColumn("root", F.coalesce("root", "s")), "set_roots")
+    slim = prints.select("id", "k1", "k2", "s")
+    classes = common.stage(common.heavy_join(slim, rooted, ["s"], "n_rows", prints.count()).drop("n_rows"), "set_classes")
+    common.drop(prints, sets, fps, rooted)
     return classes
 
 
@@ -231,8 +238,8 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hashes = F.xxhash64(F.col(id_col), text).alias("k1"), F.xxhash64(F.lit(1), F.col(id_col), text).alias("k2")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), *hashes, text.alias("text"))
     rows = similar_classes(slim, shingle, percent, max_bits, block)
-    least = rows.groupBy("root").agg(F.min("id").alias("least"))
-    best = rows.join(least, "root").where("id <=> least")
+    least = common.stage(rows.groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n_root")), "root_least")
+    best = common.heavy_join(rows, least, ["root"], "n_root", rows.count()).where("id <=> least")
     group = F.when(F.col("least").isNull(), F.col("s")).alias("of")
     chosen = best.groupBy("root", group).agg(F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("n"))
     chosen = common.stage(chosen.select("k.k1", "k.k2", "n"), "chosen")

@@ -79,6 +79,56 @@ def test_recall_at_the_threshold(spark):
     assert 300 <= got <= 306
 
 
+@pytest.mark.parametrize("both, either", [(4, 5), (8, 10), (16, 20), (24, 30), (32, 40), (33, 41)])
+def test_small_sets_lose_no_similar_pair(both, either):
+    """Sets of a similarity of just 0.8 or a little more, however their shingles are parted: they share a group, and nothing rules them out."""
+    rng = np.random.default_rng(both)
+    for _ in range(2000):
+        pool = rng.permutation(np.unique(rng.integers(0, 2**63, either, dtype=np.uint64) * np.uint64(2)))
+        mine = int(rng.integers(0, either - both + 1))
+        x, y = np.sort(pool[: both + mine]), np.sort(np.concatenate([pool[:both], pool[both + mine :]]))
+        assert shingles.similar(x, y, 80)
+        a, b = shingles.meetings(x, 80), shingles.meetings(y, 80)
+        if a[3] and b[3]:
+            assert set(a[3]) & set(b[3])
+            low = np.stack([np.frombuffer(v[2], np.uint16) for v in (a, b)])
+            assert shingles._shared(low, np.array([len(x), len(y)]), np.array([0]), np.array([1]), 80)[0] >= 0.8
+        else:
+            assert any(p == q != 0 for p, q in zip(a[1], b[1], strict=True))
+
+
+def test_short_texts_at_the_threshold_are_all_found(spark):
+    """Pairs of nine and eight words: four of five shingles in common."""
+    rows = []
+    for k in range(2000):
+        words = [f"u{k}x{j}" for j in range(9)]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[: 8] if k % 2 else words[1:]))]
+    got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in got.select("doc_id").collect()) == list(range(0, 4000, 2))
+
+
+def test_short_texts_equal_brute_force(spark):
+    """Many texts of a few words from a small stock, in small blocks too."""
+    rng = random.Random(8)
+    stock = [[f"s{k}w{j}" for j in range(14)] for k in range(12)]
+    rows = [(k, " ".join(rng.choice(stock)[rng.randint(0, 3) : rng.randint(7, 14)] + [f"e{rng.randint(0, 3)}"] * rng.randint(0, 2))) for k in range(200)]
+    for block in (2048, 4):
+        got = simhash.representatives(spark.createDataFrame(rows, "doc_id long, text string"), block=block)
+        assert sorted(r.doc_id for r in got.collect()) == _brute(rows)
+
+
+def test_one_class_of_all_rows_is_no_key_of_a_join(spark):
+    """A component that holds all rows: its root is looked up by broadcast, not by an exchange on it."""
+    base = [f"w{k}" for k in range(200)]
+    rows = [(k, " ".join([*base[:k], f"z{k}", *base[k + 1 :]])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = simhash.near_duplicates(df)
+    assert len({r.component for r in found.collect()}) <= 60
+    pairs = spark.range(5000).selectExpr("0L a", "id + 1 b")
+    roots = simhash.common.components(pairs, finish_edges=10)
+    assert roots.where("root = 0").count() == 5001
+
+
 def test_sketches_agree_as_the_sets_do():
     x = shingles.shingles([f"a{k}".encode() for k in range(900)], 5)
     marks, bands = shingles.sketch(x)
