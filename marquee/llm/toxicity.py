@@ -174,10 +174,10 @@ def sample(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str, text_
     return common.stage(once, "labelled")
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: tuple[int, int] | None = (4, 2), max_rows: int = 20_000, max_features: int = 4096, counterfactual: float = 1.0) -> Model:
-    """Fit on the sample: one pass counts features by label, keeps the ``max_features`` with the largest likelihood ratio
-    statistic (and all features of group terms, so that the counterfactual term reaches them), one pass gathers the
-    sample's kept features, and the driver fits. Both results are bounded by ``max_rows`` and ``max_features``.
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", fold: tuple[int, int] | None = (4, 2), max_rows: int = 20_000, features_per_100_rows: int = 10, counterfactual: float = 1.0) -> Model:
+    """Fit on the sample: one pass counts features by label and ranks them by the likelihood ratio statistic; the first of them are kept, in proportion to
+    the rows of the sample (and all features of group terms, so that the counterfactual term reaches them). One pass gathers the
+    sample's kept features, and the driver fits; the ridge term holds down what a small sample can't tell. Both results are bounded by ``max_rows``.
 
     Without rows of both labels the model has no features and a score on the side of the one label, the lower without any. Null and
     empty texts are rows without features. Columns other than the named ones are ignored."""
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     if not n1 or not n0:
         return Model({}, 6.0 if n1 else -6.0)
-    seen = rows.select("text", "label").mapInArrow(common.in_slices(count), "feature string, positive long, negative long").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("negative").alias("q")).where("p + q >= 3")
+    seen = rows.select("text", "label").mapInArrow(common.in_slices(count), "feature string, positive long, negative long").groupBy("feature").agg(F.sum("positive").alias("p"), F.sum("negative").alias("q"))
     total, a, c = n1 + n0, F.col("p"), F.col("q")
 
     def term(x, expected):
@@ -209,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     of = a + c
     g2 = 2 * (term(a, of * (n1 / total)) + term(c, of * (n0 / total)) + term(n1 - a, (total - of) * (n1 / total) + 1e-9) + term(n0 - c, (total - of) * (n0 / total) + 1e-9))
-    top = seen.withColumn("g2", g2).where("g2 >= 20").orderBy(F.desc("g2"), "feature").limit(max_features).select("feature").collect()
+    top = seen.withColumn("g2", g2).orderBy(F.desc("g2"), F.desc(F.col("feature").startswith("=")), "feature").limit(-(-total * features_per_100_rows // 100)).select("feature").collect()
     names = sorted({r["feature"] for r in top} | {f for line in IDENTITY_TERMS for t in line for f in word_features(t)})
     number = {f: k for k, f in enumerate(names)}
 
@@ -253,12 +253,13 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """A document without an id is not learnt from and counts as not held out."""
     docs = common.table(spark, sf_dir, "documents", "doc_id", "text")
     model = train(docs, common.table(spark, sf_dir, "labels"))
     scored = score(docs, model, keep_text=False)
     return scored.select(
         "doc_id",
-        (F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2).alias("held_out"),
+        F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= 0.3).cast("int").alias("predicted"),
     )
