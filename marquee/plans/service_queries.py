@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..operators import enrich, outcomes
+from ..sources import feeds, scans
 from ..storage import fresh_path
 from ..streaming import batches
 
@@ -74,3 +75,46 @@ def dead_letters(spark, sf_dir):
     for name, bad in (("first", 3), ("second", 2)):
         found = outcomes.run(parts.select(prompt.alias("prompt")), strategy(name, bad), path, attempts=2, first_delay=0.0)
     return outcomes.join_outcomes(parts, prompt, found).select("p_partkey", "raw", "outcome", "attempts")
+
+
+@query(
+    "WITH p AS (SELECT page_id, page_id % 25 AS feed, page_id % 4 = 3 AND page_id % 25 < 10 AS later FROM pages), runs AS (SELECT unnest([0, 1]) AS batch) "
+    "SELECT CAST(batch AS INTEGER) AS batch, CAST(feed AS VARCHAR) AS feed, 'Page ' || page_id AS title, 'https://x.example/p/' || page_id AS link FROM p, runs "
+    "WHERE (batch = 0 AND NOT later) OR (batch = 1 AND feed IN (SELECT feed FROM p WHERE later))"
+)
+def feed_incremental_scan(spark, sf_dir):
+    """Two runs of the incremental scan over 25 feeds made of the pages: the second one sees ten feeds with more pages, and fetches those alone."""
+    root = fresh_path(spark, "feeds")
+    feed = (F.col("page_id") % 25).cast("string").alias("feed")
+    pages = table(spark, sf_dir, "pages").select("page_id", feed, F.concat(F.lit("Page "), "page_id").alias("title"), F.concat(F.lit("/p/"), "page_id").alias("url"))
+    later = (F.col("page_id") % 4 == 3) & (F.col("page_id") % 25 < 10)
+    client = scans.FolderFeeds(f"{root}/server")
+    for part in (pages.where(~later), pages.where(later)):
+        part.drop("page_id").repartition("feed").write.mode("append").partitionBy("feed").json(f"{root}/server")
+        payloads = scans.scan_changed(spark, client, root)
+    name = F.concat_ws("/", "batch", "feed")  # a feed's payload of each run is one of its own
+    entries, _ = feeds.parse(payloads.select(name.alias("feed"), "source_type", "payload"), {"url": "https://x.example/calendar", "title": "title"})
+    return entries.select(F.split("feed", "/")[0].cast("int").alias("batch"), F.split("feed", "/")[1].alias("feed"), "title", "link")
+
+
+@query(
+    "WITH e AS (SELECT event_id, CAST(user_id % 20 AS VARCHAR) AS feed, 1 + (CAST(epoch(ts) AS BIGINT) - 1704067200) // 345600 AS page FROM events) "
+    "SELECT feed, CAST(page AS INTEGER) AS page, CAST((page - 1) // 3 AS INTEGER) AS run, 'Event ' || event_id AS title, 'https://x.example/e/' || event_id AS link FROM e"
+)
+def api_paged_scan(spark, sf_dir):
+    """Pages of twenty event APIs, made of the events by spans of four days: runs of three pages a feed, each from where the last stopped, until no feed has more."""
+    root = fresh_path(spark, "pages")
+    page = (1 + F.floor((F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000 - 1704067200) / 345600)).cast("int")
+    event = F.struct(F.struct(F.concat(F.lit("Event "), "event_id").alias("text")).alias("name"), F.concat(F.lit("https://x.example/e/"), "event_id").alias("url"))
+    served = table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("feed"), page.alias("page"), event.alias("e")).select("feed", "page", "e.*")
+    served.repartition("feed", "page").write.partitionBy("feed", "page").json(f"{root}/server")
+    client = scans.FolderPages(f"{root}/server", "api")
+    names = sorted(client.feeds())
+    while True:
+        pages = scans.scan_pages(spark, client, names, root)
+        if not scans.open_feeds(spark, root):
+            break
+    name = F.concat_ws("/", "feed", "page", "run")
+    entries, _ = feeds.parse(pages.where("payload is not null").select(name.alias("feed"), F.lit("api").alias("source_type"), "payload"))
+    part = lambda k: F.split("feed", "/")[k]
+    return entries.select(part(0).alias("feed"), part(1).cast("int").alias("page"), part(2).cast("int").alias("run"), "title", "link")

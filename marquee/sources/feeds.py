@@ -167,29 +167,6 @@ def next_page(payload: dict, pages_read: int, limit: int = 3) -> int | None:
     return number if number < here.get("totalPages", 0) else None
 
 
-def read_pages(fetch: Callable[[int], bytes], first: int = 1, limit: int = 3) -> tuple[list[bytes], int | None]:
-    """(pages of an event API, the page that a later run begins with). Each page tells whether there is another one; at most ``limit`` are read."""
-    pages, number = [], first
-    while number is not None:
-        pages.append(fetch(number))
-        after = next_page(json.loads(pages[-1]), len(pages), limit)
-        if after is None:
-            break
-        number = after
-    return pages, next_page(json.loads(pages[-1]), 0, limit) if len(pages) == limit else None
-
-
-def scan_api(spark: SparkSession, fetches: dict[str, Callable[[int], bytes]], options: dict[str, str], first: int = 1, limit: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Entries and health of the pages of several event APIs. A feed whose fetch fails is a malformed one; the others go on."""
-    rows = []
-    for feed, fetch in fetches.items():
-        try:
-            rows += [(feed, "api", bytes(p)) for p in read_pages(fetch, first, limit)[0]]
-        except Exception as why:  # noqa: BLE001 - one feed's failure must not stop the others
-            rows.append((feed, "api", f"unreachable: {why}".encode()))
-    return parse(spark.createDataFrame(rows, "feed string, source_type string, payload binary"), options)
-
-
 # ---- HTML calendars ----
 
 

@@ -1,8 +1,7 @@
 import json
+import os
 
-import pytest
-
-from marquee.sources import feeds
+from marquee.sources import scans
 from marquee.streaming import folds
 
 
@@ -26,17 +25,94 @@ def _page(number, last):
     return json.dumps({"pagination": {"page_number": number, "has_more_items": number < last}, "events": [{"id": str(number), "name": {"text": f"Show {number}"}, "url": f"https://x.example/{number}", "start": {"local": "1998-06-03T19:00:00"}}]}).encode()
 
 
-@pytest.mark.parametrize("last,read,then", [(1, [1], None), (3, [1, 2, 3], None), (9, [1, 2, 3], 4)])
-def test_pages_are_read_until_the_last_or_the_limit(last, read, then):
-    asked = []
-    pages, after = feeds.read_pages(lambda n: asked.append(n) or _page(n, last))
-    assert asked == read and len(pages) == len(read) and after == then
+class _Api:
+    """Pages of several feeds; ``down`` fails."""
+
+    def __init__(self, last, down=()):
+        self.last, self.down = last, down
+
+    def page(self, feed, number):
+        if (feed, number) in self.down:
+            raise OSError("no route")
+        return _page(number, self.last[feed]) if number <= self.last[feed] else None
+
+
+def _titles(pages):
+    return sorted((r.feed, r.page, r.run) for r in pages.where("payload is not null").select("feed", "page", "run").collect())
+
+
+def test_pages_are_read_until_the_last_or_the_limit(spark, tmp_path):
+    path, api = str(tmp_path), _Api({"a": 1, "b": 3, "c": 7})
+    want = [("a", 1, 0), ("b", 1, 0), ("b", 2, 0), ("b", 3, 0), ("c", 1, 0), ("c", 2, 0), ("c", 3, 0)]
+    assert _titles(scans.scan_pages(spark, api, ["a", "b", "c"], path)) == want
+    assert scans.open_feeds(spark, path) == 1
+    want += [("c", 4, 1), ("c", 5, 1), ("c", 6, 1)]
+    assert _titles(scans.scan_pages(spark, api, ["a", "b", "c"], path)) == want
+    assert _titles(scans.scan_pages(spark, api, ["a", "b", "c"], path)) == [*want, ("c", 7, 2)]
+    assert scans.open_feeds(spark, path) == 0
+    assert len(_titles(scans.scan_pages(spark, api, ["a", "b", "c"], path))) == 11  # nothing is left
+
+
+def test_each_page_is_a_partition(spark):
+    df = scans._read_pages(spark, _Api({"a": 9, "b": 9}), [("a", 1), ("b", 4)], 3)
+    assert df.rdd.getNumPartitions() == 6
+
+
+def test_a_failing_api_leaves_the_others_and_goes_on_where_it_failed(spark, tmp_path):
+    path = str(tmp_path)
+    last = {"good": 2, "bad": 3}
+    got = scans.scan_pages(spark, _Api(last, down={("bad", 2)}), ["good", "bad"], path)
+    assert _titles(got) == [("bad", 1, 0), ("good", 1, 0), ("good", 2, 0)]
+    assert [(r.feed, r.page) for r in got.where("error is not null").collect()] == [("bad", 2)]
+    got = scans.scan_pages(spark, _Api(last), ["good", "bad"], path)
+    assert _titles(got) == [("bad", 1, 0), ("bad", 2, 1), ("bad", 3, 1), ("good", 1, 0), ("good", 2, 0)]
+
+
+class _Server:
+    """Feeds whose tokens and payloads are files, so that runs see what tests change; a payload ``broken`` fails to be fetched."""
+
+    def __init__(self, folder):
+        self.folder = str(folder)
+
+    def _file(self, name):
+        with open(f"{self.folder}/{name}") as f:
+            return f.read()
+
+    def feeds(self):
+        return {n.removesuffix(".payload"): "rss" for n in os.listdir(self.folder) if n.endswith(".payload")}
+
+    def token(self, feed):
+        if os.path.exists(f"{self.folder}/{feed}.down"):
+            raise OSError("no route")
+        return self._file(f"{feed}.etag") or None
+
+    def fetch(self, feed):
+        if self._file(f"{feed}.payload") == "broken":
+            raise OSError("cut off")
+        return self._file(f"{feed}.payload").encode()
+
+
+def test_only_changed_feeds_are_fetched(spark, tmp_path):
+    server = tmp_path / "server"
+    server.mkdir()
 
+    def put(feed, etag, payload):
+        (server / f"{feed}.etag").write_text(etag)
+        (server / f"{feed}.payload").write_text(payload)
 
-def test_a_failing_api_leaves_the_others(spark):
-    def broken(number):
-        raise OSError("no route")
+    def run():
+        rows = scans.scan_changed(spark, _Server(server), str(tmp_path / "scan")).collect()
+        last = max(r.batch for r in rows)
+        return last, {r.feed: None if r.payload is None else bytes(r.payload).decode() for r in rows if r.batch == last}
 
-    entries, health = feeds.scan_api(spark, {"good": lambda n: _page(n, 2), "bad": broken}, {"city": "Home"})
-    assert sorted(r.title for r in entries.collect()) == ["Show 1", "Show 2"]
-    assert {(r.feed, r.status) for r in health.collect()} == {("good", "OK"), ("bad", "MALFORMED")}
+    put("a", "1", "A"), put("b", "1", "B"), put("c", "1", "broken"), put("n", "", "N")
+    assert run() == (0, {"a": "A", "b": "B", "c": None, "n": "N"})
+    put("a", "2", "A2"), put("c", "1", "C"), put("d", "1", "D")
+    (server / "b.down").write_text("")  # a feed that can't tell its token is no new one
+    # changed, new, failed before, and without a token
+    assert run() == (1, {"a": "A2", "c": "C", "d": "D", "n": "N"})
+    (server / "b.down").unlink()
+    assert run() == (2, {"n": "N"})
+    put("n", "9", "N9")
+    assert run() == (3, {"n": "N9"})
+    assert run() == (3, {"n": "N9"})  # nothing new, no batch
