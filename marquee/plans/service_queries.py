@@ -11,7 +11,7 @@ from ..catalog import table
 from ..operators import enrich, outcomes
 from ..sources import feeds, scans
 from ..storage import fresh_path
-from ..streaming import batches
+from ..streaming import batches, folds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,17 @@ def api_paged_scan(spark, sf_dir):
     entries, _ = feeds.parse(pages.where("payload is not null").select(name.alias("feed"), F.lit("api").alias("source_type"), "payload"))
     part = lambda k: F.split("feed", "/")[k]
     return entries.select(part(0).alias("feed"), part(1).cast("int").alias("page"), part(2).cast("int").alias("run"), "title", "link")
+
+
+@query(
+    "WITH RECURSIVE c AS (SELECT client_id, kind, CAST(floor(value / 10) AS BIGINT) AS ten, arrived_at, click_id FROM clicks WHERE arrived_at IS NOT NULL), "
+    "t AS (SELECT client_id, kind, ten, arrived_at FROM c GROUP BY ALL), "
+    "k AS (SELECT client_id, kind, ten, min(arrived_at) AS shown FROM t GROUP BY ALL UNION ALL SELECT * FROM (SELECT k.client_id, k.kind, k.ten, min(t.arrived_at) FROM k JOIN t "
+    "ON k.client_id IS NOT DISTINCT FROM t.client_id AND k.kind IS NOT DISTINCT FROM t.kind AND k.ten IS NOT DISTINCT FROM t.ten AND t.arrived_at >= k.shown + INTERVAL 14 DAY GROUP BY ALL)) "
+    "SELECT client_id, kind, ten, shown AS arrived_at FROM k"
+)
+def stream_unseen(spark, sf_dir):
+    """Clicks of a client, kind and decade of value that were not seen in the 14 days before they arrived, from a stream with expiring state."""
+    ten = F.floor(F.col("value") / 10).cast("bigint").alias("ten")
+    clicks = folds.stream_of(spark, f"{sf_dir}/clicks*.parquet").select("client_id", "kind", ten, "arrived_at")
+    return folds.run_to_end(folds.unseen(clicks, ["client_id", "kind", "ten"], "arrived_at"), "unseen")

@@ -21,9 +21,9 @@ from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import outcomes
 from ..storage import exists
+from .folds import rocks
 
 ROWS = "batch long, custom_id string, state string, raw string, error string, polls int"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Service(Protocol):
@@ -123,7 +123,7 @@ def deal(requests: DataFrame, size: int) -> DataFrame:
 
 def poll_stream(spark: SparkSession, path: str, service: Service, *, interval_seconds: float = 300.0, max_polls: int = 288, trigger: str = "30 seconds"):
     """Start (or go on with) the stream over the batches under ``path``/requests; its rows go to ``path``/answers. A batch's requests are written by one
-    job, so that they arrive in one micro-batch. The RocksDB state store that timers need must be set on the session."""
+    job, so that they arrive in one micro-batch. Timers need the RocksDB state store (see ``folds.rocks``)."""
     requests = spark.readStream.schema("batch long, custom_id string, prompt string").parquet(f"{path}/requests")
     poller = Poller(service, int(interval_seconds * 1000), max_polls)
     polled = requests.groupBy("batch").transformWithStateInPandas(poller, ROWS, "Append", "ProcessingTime")
@@ -158,12 +158,8 @@ def complete(requests: DataFrame, service: Service, path: str, fallback: outcome
     if not exists(spark, f"{path}/requests/_SUCCESS"):
         dealt = deal(requests, size)
         dealt.repartition("batch").write.mode("overwrite").parquet(f"{path}/requests")
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    try:
+    with rocks(spark):
         wait_for(spark, path, poll_stream(spark, path, service, **polling), timeout)
-    finally:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     asked = spark.read.parquet(f"{path}/requests")
     given = answers(spark, path).where("state = 'answered'").select("custom_id", "raw")
     left = asked.join(given, "custom_id", "left_anti")

@@ -2,14 +2,32 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..functions import vocab
 from ..functions.scoring import recency_band
-from ..operators.feedback import age_days, composed, parts, then
+from ..operators.feedback import age_days, delta
 from ..storage import fresh_path
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+@contextmanager
+def rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within keep their state in RocksDB, which state of one's own needs."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
+
 
 def stream_of(spark: SparkSession, path: str, **options) -> DataFrame:
     """File stream of Parquet under ``path``; its schema is that of what lies there."""
@@ -23,36 +41,110 @@ def dedup(events: DataFrame, keys: list[str], ts: str, ttl_days: int = vocab.CAC
     return timed.dropDuplicatesWithinWatermark(keys).drop("_ts")
 
 
-def run_to_end(df: DataFrame, name: str) -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote."""
+def run_to_end(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Run a stream over all that is there now and return what it wrote, in this run and in earlier ones on the same ``path``."""
     spark = df.sparkSession
-    out, state = fresh_path(spark, name), fresh_path(spark, f"{name}-state")
-    query = df.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(out)
+    root = path or fresh_path(spark, name)
+    with rocks(spark):
+        query = df.writeStream.format("parquet").option("path", f"{root}/rows").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    return spark.read.schema(df.schema).parquet(f"{root}/rows")
+
+
+class _Weights(StatefulProcessor):
+    """State of a user: the weight and number of signals of each of their keys, which are few (categories). Emitted are the keys that a micro-batch has changed."""
+
+    def __init__(self, names: list[str], kinds: list[str], start: float):
+        self.names, self.kinds, self.start = names, kinds, start
+
+    def init(self, handle) -> None:
+        columns = ", ".join(f"{n} {k}" for n, k in zip(self.names[1:], self.kinds[1:], strict=True))
+        self.held = handle.getMapState("weights", columns, "weight double, n_signals long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        out = []
+        for rest, steps in pdf.groupby(self.names[1:], dropna=False, sort=False):
+            at = tuple(None if pd.isna(v) else int(v) if kind in ("int", "bigint") else v for v, kind in zip(rest, self.kinds[1:], strict=True))  # with nulls among them, pandas holds floats
+            weight, n = self.held.getValue(at) if self.held.containsKey(at) else (self.start, 0)
+            for d in steps["d"]:
+                weight = min(1.0, max(0.0, weight + d))
+            n += len(steps)
+            self.held.updateValue(at, (weight, n))
+            out.append((key[0], *at, weight, n))
+        yield pd.DataFrame(out, columns=[*self.names, "weight", "n_signals"])
+
+    def close(self) -> None:
+        pass
+
 
+def weight_changes(signals: DataFrame, keys: list[str], now, start: float = vocab.NEUTRAL_FIT) -> DataFrame:
+    """A stream of (keys, weight, n_signals): the keys that each micro-batch of signals (keys, ts, event_id, signal) has changed, with their weight after it. Steps of
+    a micro-batch are folded in order of time and id; the weights live in the stream's state, by the first key, so a batch reads and writes those of
+    its own users alone. Bound a micro-batch by the source's options: a user's share of one is in one task."""
+    kinds = [dict(signals.dtypes)[k] for k in keys]
+    steps = signals.select(*keys, "ts", "event_id", delta(F.col("signal"), F.col("ts"), now).alias("d"))
+    schema = ", ".join([*(f"{n} {k}" for n, k in zip(keys, kinds, strict=True)), "weight double, n_signals long"])
+    return steps.groupBy(keys[0]).transformWithStateInPandas(_Weights(keys, kinds, start), schema, "Append", "None")
 
-def fold_stream(signals: DataFrame, keys: list[str], now, start: float = vocab.NEUTRAL_FIT) -> DataFrame:
-    """Weights per key after a stream of signals (columns: keys, ts, event_id, signal). Each micro-batch folds its steps, in
-    order, onto the last snapshot and writes a new one under the batch's number, so a repeated batch writes the same."""
+
+def fold_stream(signals: DataFrame, keys: list[str], now, start: float = vocab.NEUTRAL_FIT, path: str | None = None) -> DataFrame:
+    """Weights per key after a stream of signals: what ``weight_changes`` has written, its last row for each key. Called again on the same ``path``, the stream
+    goes on where it was."""
     spark = signals.sparkSession
-    base, state = fresh_path(spark, "weights"), fresh_path(spark, "weights-state")
-    kinds = dict(signals.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "weight double, n_signals long"])
-    spark.createDataFrame([], schema).write.parquet(f"{base}/-1")
-    last = [-1]
-
-    def step(batch: DataFrame, number: int) -> None:
-        old = batch.sparkSession.read.schema(schema).parquet(f"{base}/{number - 1}")
-        grouped = parts(composed(batch, keys, now), keys)
-        joined = old.join(grouped, keys, "full")
-        weight = then(F.coalesce("weight", F.lit(start)), F.coalesce("parts", F.array().cast(grouped.schema["parts"].dataType)))
-        joined.select(*keys, weight.alias("weight"), (F.coalesce("n_signals", F.lit(0)) + F.coalesce("n", F.lit(0))).alias("n_signals")).write.mode("overwrite").parquet(f"{base}/{number}")
-        last[0] = number
-
-    query = signals.writeStream.foreachBatch(step).option("checkpointLocation", state).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(schema).parquet(f"{base}/{last[0]}")
+    root = path or fresh_path(spark, "weights")
+    changes = weight_changes(signals, keys, now, start)
+    with rocks(spark):
+        query = changes.writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    written = spark.read.schema(changes.schema).parquet(f"{root}/changes")
+    return written.groupBy(*keys).agg(F.max_by("weight", "n_signals").alias("weight"), F.max("n_signals").alias("n_signals"))
+
+
+class _Seen(StatefulProcessor):
+    """State of a key: until when it counts as seen. A timer of the stream's clock clears it."""
+
+    def __init__(self, columns: list[str], ttl_us: int):
+        self.columns, self.ttl_us = columns, ttl_us
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "until_us long", None)
+
+    def handleInputRows(self, key, rows, timerValues):
+        pdf = pd.concat(list(rows)).sort_values(["seen_us", "seen_order"], kind="stable")
+        until = before = self.until.get()[0] if self.until.exists() else None
+        keep = []
+        for us in pdf["seen_us"].tolist():
+            keep.append(until is None or until <= us)
+            if keep[-1]:
+                until = us + self.ttl_us
+        if until != before:
+            self.until.update((until,))
+            self.handle.registerTimer(-(-until // 1000))
+        if any(keep):
+            yield pdf.loc[keep, self.columns]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # a key that was let through again has a later timer
+        if self.until.exists() and self.until.get()[0] <= 1000 * expiredTimerInfo.getExpiryTimeInMs():
+            self.until.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def unseen(entries: DataFrame, keys: list[str], arrived_at: str, ttl_days: int = vocab.CACHE_TTL_DAYS["seen_entries"]) -> DataFrame:
+    """A stream of the entries whose key was not seen in the last ``ttl_days`` before they arrived. A key is seen from the entry that is let through until the days are over;
+    those that are held back don't prolong it. The clock is that of ``arrived_at``: a key's state is cleared once arrivals are as many days past its end,
+    so state is bounded by the keys of twice that span, and entries that are told so late are dropped. Entries of one micro-batch are taken in order of
+    arrival, those that arrived together in order of their contents. Null keys are keys like others; entries that don't say when they arrived are left out."""
+    at = F.col(arrived_at).cast("timestamp")
+    extra = at.alias("seen_at"), F.unix_micros(at).alias("seen_us"), F.to_json(F.struct(*entries.columns)).alias("seen_order"), F.to_json(F.struct(*keys)).alias("seen_key")
+    dated = entries.where(F.col(arrived_at).isNotNull()).select("*", *extra)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields)
+    return dated.withWatermark("seen_at", f"{ttl_days} days").groupBy("seen_key").transformWithStateInPandas(_Seen(entries.columns, ttl_days * 86_400_000_000), schema, "Append", "EventTime")
 
 
 def with_history(events: DataFrame, history: DataFrame, keys: list[str], now) -> DataFrame:

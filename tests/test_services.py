@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import enrich, outcomes
-from marquee.streaming import batches
+from marquee.streaming import batches, folds
 
 
 def _answer(prompt):
@@ -54,15 +54,12 @@ def test_a_stream_that_is_killed_goes_on_and_submits_nothing_twice(spark, tmp_pa
     path = str(tmp_path)
     slow = batches.FolderService(f"{path}/service", _answer, polls=lambda b: 1 if b == 0 else 10**6)
     batches.deal(_requests(spark), 10).repartition("batch").write.parquet(f"{path}/requests")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", batches.ROCKS)
-    try:
+    with folds.rocks(spark):
         query = batches.poll_stream(spark, path, slow, interval_seconds=0.3, trigger="300 milliseconds")
         end = time.monotonic() + 90
         while time.monotonic() < end and not (batches.answers(spark, path).count() and glob.glob(f"{path}/service/1.poll1")):
             time.sleep(0.3)
         query.stop()
-    finally:
-        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     assert {r.batch for r in batches.answers(spark, path).select("batch").distinct().collect()} == {0}
     ready = batches.FolderService(f"{path}/service", _answer)
     found = batches.complete(_requests(spark), ready, path, _single, size=10, interval_seconds=0.3, trigger="300 milliseconds", how={"attempts": 1}, timeout=120)

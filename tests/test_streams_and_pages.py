@@ -1,6 +1,11 @@
 import json
 import os
+import random
+from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
+from marquee.operators import feedback
 from marquee.sources import scans
 from marquee.streaming import folds
 
@@ -116,3 +121,42 @@ def test_only_changed_feeds_are_fetched(spark, tmp_path):
     put("n", "9", "N9")
     assert run() == (3, {"n": "N9"})
     assert run() == (3, {"n": "N9"})  # nothing new, no batch
+
+
+def test_a_seen_entry_comes_back_when_its_days_are_over(spark, tmp_path):
+    """Runs on one state, with a clock that moves by what has arrived. What is held back doesn't prolong the days."""
+    path = str(tmp_path)
+
+    def run(rows):
+        spark.createDataFrame(rows, "feed string, entry string, arrived_at string").withColumn("arrived_at", F.to_timestamp_ntz("arrived_at")).write.mode("append").parquet(f"{path}/in")
+        stream = folds.stream_of(spark, f"{path}/in")
+        return sorted(((r.feed, r.entry, str(r.arrived_at)[5:10]) for r in folds.run_to_end(folds.unseen(stream, ["feed", "entry"], "arrived_at"), "unseen", path).collect()), key=str)
+
+    want = [("a", "x", "01-01"), ("a", "y", "01-02"), ("b", "x", "01-01")]
+    assert run([("a", "x", "2024-01-09"), ("a", "x", "2024-01-01"), ("b", "x", "2024-01-01"), ("a", "y", "2024-01-02"), (None, None, None)]) == want
+    # twelve days after the first: held back, though six after the second
+    assert run([("a", "x", "2024-01-13")]) == want
+    want = sorted([*want, ("a", "x", "01-15"), ("a", "x", "02-03")], key=str)
+    assert run([("a", "x", "2024-01-15"), ("a", "x", "2024-01-28"), ("a", "x", "2024-02-03")]) == want
+    # null keys are keys; ten days later, a and b are long over and their state is gone
+    assert len(run([(None, "z", "2024-02-10"), (None, "z", "2024-02-12")])) == len(want) + 1
+    run([("late", "x", "2024-03-20")])
+    kept = spark.read.format("statestore").option("stateVarName", "until").load(f"{path}/state")
+    assert kept.count() == 1
+
+
+def test_weights_are_kept_in_state_and_only_changes_are_written(spark, tmp_path):
+    path, rng = str(tmp_path), random.Random(4)
+    rows = [(k, f"u{rng.randrange(30)}", rng.choice([1, 2, None]), datetime(2024, 1, 1) + timedelta(minutes=k), rng.choice(["click", "negative"])) for k in range(400)]
+    schema = "event_id long, user string, category int, ts timestamp_ntz, signal string"
+    now = F.lit("2024-01-31").cast("timestamp_ntz")
+    for part in (rows[:390], rows[390:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{path}/in")
+        got = folds.fold_stream(folds.stream_of(spark, f"{path}/in"), ["user", "category"], now, path=path)
+    want = feedback.fold_weights(spark.createDataFrame(rows, schema), ["user", "category"], now)
+    table = lambda df: {(r.user, r.category): (round(r.weight, 9), r.n_signals) for r in df.collect()}
+    a, b = table(got), table(want)
+    assert {k: (a.get(k), b.get(k)) for k in a.keys() | b.keys() if a.get(k) != b.get(k)} == {}
+    # the second batch wrote the keys of its own ten signals, not the table
+    written = spark.read.parquet(f"{path}/changes").count()
+    assert written == len({(u, c) for _, u, c, _, _ in rows[:390]}) + len({(u, c) for _, u, c, _, _ in rows[390:]})
