@@ -6,7 +6,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..catalog import feeds, table
+from ..catalog import table
 from ..functions import text, vocab
 from ..operators import enrich
 from ..sources import catalog_file, sinks
@@ -25,10 +25,11 @@ def query(sql: str | None = None):
     return add
 
 
-@query("SELECT 'feed_' || CAST(i AS VARCHAR) AS feed FROM range(7) t(i) WHERE i IN (1, 4, 6)")
+@query("SELECT 'feed_' || CAST(s_suppkey AS VARCHAR) AS feed FROM supplier WHERE s_suppkey IN (1, 4, 6)")
 def feed_subset(spark, sf_dir):
-    """Feeds asked for by id."""
-    return catalog_file.subset(feeds(spark).where("active"), catalog_file.parse_ids(" feed_4,feed_1 ,, feed_6"), "feed").select("feed")
+    """Feeds of a catalog, here the suppliers, that are asked for by id."""
+    catalog = table(spark, sf_dir, "supplier").select(F.concat(F.lit("feed_"), F.col("s_suppkey").cast("string")).alias("feed"))
+    return catalog_file.subset(catalog, catalog_file.parse_ids(" feed_4,feed_1 ,, feed_6"), "feed").select("feed")
 
 
 @query("SELECT p_partkey, lower(trim(p_type)) IN ('economy', 'small') AS excluded FROM part")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..catalog import LISTINGS_SQL, NOW, feeds, listings, now, table, with_id
 from ..functions import categories, scoring, text, vocab
 from ..operators import dedup, keyed
+from ..sources import catalog_file
 
 QUERIES, ORACLES = {}, {}
 _FEEDS_SQL = """feeds AS (
@@ -28,11 +29,12 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"WITH {_FEEDS_SQL}, cities AS (SELECT feed, 'CITY_' || CAST(CAST(right(feed, 1) AS INTEGER) % 3 AS VARCHAR) AS city, is_national, active FROM feeds) SELECT feed, city, is_national FROM cities WHERE active AND (is_national OR city = 'CITY_1')")
+@query("SELECT s_suppkey, 'CITY_' || CAST(s_nationkey AS VARCHAR) AS city, s_suppkey % 10 = 0 AS is_national FROM supplier WHERE s_acctbal >= 0 AND (s_suppkey % 10 = 0 OR s_nationkey = 3)")
 def feed_city_filter(spark, sf_dir):
-    """Active feeds of the user's city, and the national ones."""
-    f = feeds(spark).withColumn("city", F.concat(F.lit("CITY_"), (F.right("feed", F.lit(1)).cast("int") % 3).cast("string")))
-    return f.where(F.col("active") & (F.col("is_national") | (F.col("city") == F.trim(F.lit(" CITY_1 "))))).select("feed", "city", "is_national")
+    """Active feeds of the user's city, and the national ones; the catalog is made of the suppliers."""
+    k = F.col("s_suppkey")
+    catalog = table(spark, sf_dir, "supplier").where("s_acctbal >= 0").select(k, F.concat(F.lit("CITY_"), F.col("s_nationkey").cast("string")).alias("city"), (k % 10 == 0).alias("is_national"))
+    return catalog_file.for_city(catalog, " CITY_3 ")
 
 
 @query(

@@ -1,9 +1,7 @@
-"""Queries over sources, schedules, JSON and streams. Fixtures are inline; their oracles state the expected rows."""
+"""Queries over sources, schedules, JSON and streams. What feeds would send is made of the tables' rows."""
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import functions as F
 
 from ..catalog import FEEDBACK_NOW, FEEDBACK_SQL, NOW, feedback, feeds, history, now, table
@@ -27,60 +25,94 @@ def query(sql: str | None = None):
     return add
 
 
-def _values(columns: str, rows: list[tuple]) -> str:
-    text = lambda v: "NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
-    return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({columns})"
-
-
-_RSS = """<?xml version="1.0"?><rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/"><channel><title>City</title>
-<item><title>Quartet &amp; friends</title><link>https://x.example/1</link><description>Short</description><content:encoded>Long text</content:encoded><pubDate>Mon, 01 Jun 1998 10:00:00 GMT</pubDate><category>Jazz</category><category>Music</category><enclosure url="https://x.example/1.jpg"/></item>
-<item><title>Market</title><link>https://x.example/2</link><description>Food stalls</description><category></category></item></channel></rss>"""
-_ICAL = "BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\nDTSTART:19980603T180000Z\r\nDTEND:19980603T200000Z\r\nSUMMARY:Near concert with a very\r\n  long title\r\nLOCATION:Hall\\, East\r\nCATEGORIES:Jazz, Music,\r\nORGANIZER;CN=Ann Day:mailto:a@x.example\r\nURL:https://x.example/n\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART:19980815T180000Z\r\nSUMMARY:Far\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART;VALUE=DATE:19980530\r\nDTEND;VALUE=DATE:19980602\r\nSUMMARY:All day\r\nEND:VEVENT\r\nBEGIN:VEVENT\r\nDTSTART;VALUE=DATE:19980530\r\nDTEND;VALUE=DATE:19980601\r\nSUMMARY:Over\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"
-_EB = json.dumps({"pagination": {"page_number": 1, "has_more_items": False}, "events": [{"name": {"text": "Concert"}, "description": {"text": "Under lights"}, "url": "https://x.example/e1", "start": {"local": "1998-06-03T19:00:00"}, "organizer": {"name": "Org"}, "venue": {"name": "Field"}, "category": {"name": "Music"}}, {"name": {"text": "Talk"}, "summary": {"text": "Author"}, "url": "https://x.example/e2", "start": {"utc": "1998-06-04T18:00:00Z"}}, "junk"]})
-_TM = json.dumps({"page": {"totalPages": 2, "number": 0}, "_embedded": {"events": [{"name": "Rock show", "url": "https://x.example/t1", "info": "Loud", "dates": {"start": {"localDate": "1998-06-05", "localTime": "20:00:00"}}, "_embedded": {"venues": [{"name": "Arena", "city": {"name": "Metro"}}]}, "classifications": [{"segment": {"name": "Music"}, "genre": {"name": "Rock"}}]}, {"name": "Bare", "dates": {"start": {"dateTime": "1998-06-06T00:00:00Z"}}}]}})
-_SHOWS = json.dumps({"shows": [{"id": 1, "url": "/shows/1", "starts_at": "1998-06-03T20:00:00-04:00", "bands": [{"name": "A"}, {"name": "B"}], "venue": {"name": "Paramount"}}, {"id": 2}]})
-
-
-def _scan(spark, rows, **options):
-    return sources.parse(spark.createDataFrame(rows, "feed string, source_type string, payload string"), options)
-
-
 def _flat(df):
     return df.select("feed", "title", "link", "description", "published_raw", "author", F.array_join("categories", "|").alias("categories"), "venue", "city")
 
 
-_COLUMNS = "feed, title, link, description, published_raw, author, categories, venue, city"
+def _xml(text):
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
 
 
-@query(_values(_COLUMNS, [("r", "Quartet & friends", "https://x.example/1", "Long text", "Mon, 01 Jun 1998 10:00:00 GMT", None, "Jazz|Music", None, None), ("r", "Market", "https://x.example/2", "Food stalls", None, None, "", None, None)]))
+@query(
+    "SELECT CAST(page_id AS VARCHAR) AS feed, CASE WHEN i = 0 THEN 'Page ' || page_id || ' & friends' ELSE 'Site' END AS title, CASE WHEN i = 0 THEN url ELSE 'https://x.example/' || page_id END AS link, CASE WHEN i = 0 AND page_id % 2 = 0 THEN 'Long <b>text</b>' ELSE 'Short' END AS description, "
+    "CASE WHEN i = 0 THEN 'Mon, 01 Jun 1998 10:00:00 GMT' END AS published_raw, CASE WHEN i = 1 THEN 'Ann' END AS author, CASE WHEN i = 0 THEN 'Jazz|Music' ELSE '' END AS categories, CAST(NULL AS VARCHAR) AS venue, CAST(NULL AS VARCHAR) AS city FROM pages, range(2) t(i) WHERE url IS NOT NULL"
+)
 def rss_xml(spark, sf_dir):
-    """RSS items: full content before the summary, terms, first link."""
-    return _flat(_scan(spark, [("r", "rss", _RSS)])[0])
+    """RSS items made of the pages, a feed for each: full content before the summary, terms, first link, authors by creator."""
+    k, url = F.col("page_id").cast("string"), _xml(F.col("url"))
+    one = F.concat(F.lit("<item><title>Page "), k, F.lit(" &amp; friends</title><link>"), url, F.lit("</link><description>Short</description>"), F.when(F.col("page_id") % 2 == 0, "<content:encoded><![CDATA[Long <b>text</b>]]></content:encoded>").otherwise(""), F.lit("<pubDate>Mon, 01 Jun 1998 10:00:00 GMT</pubDate><category>Jazz</category><category>Music</category></item>"))
+    two = F.concat(F.lit("<item><title>Site</title><link>https://x.example/"), k, F.lit("</link><description>Short</description><dc:creator>Ann</dc:creator><category></category></item>"))
+    head = '<?xml version="1.0"?><rss version="2.0" xmlns:content="http://purl.org/rss/1.0/modules/content/" xmlns:dc="http://purl.org/dc/elements/1.1/"><channel><title>City</title>'
+    payloads = table(spark, sf_dir, "pages").where("url is not null").select(k.alias("feed"), F.lit("rss").alias("source_type"), F.concat(F.lit(head), one, two, F.lit("</channel></rss>")).alias("payload"))
+    return _flat(sources.parse(payloads)[0])
 
 
-@query(_values(_COLUMNS, [("i", "Near concert with a very long title", "https://x.example/n", None, "1998-06-03T18:00:00+00:00", "Ann Day", "Jazz|Music", "Hall, East", "Metro"), ("i", "All day", None, None, "1998-05-30", None, "", None, "Metro")]))
-def ical_window(spark, sf_dir):
-    """Calendar entries that overlap the horizon: a DATE end is exclusive."""
-    return _flat(_scan(spark, [("i", "ical", _ICAL)], now=NOW, city="Metro")[0])
+_WHEN = "CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) + to_hours(CAST(o_orderkey % 24 AS INTEGER))"
 
 
-@query(_values(_COLUMNS, [("e", "Concert", "https://x.example/e1", "Venue: Field\n\nUnder lights", "1998-06-03T19:00:00", "Org", "Music", "Field", "Home"), ("e", "Talk", "https://x.example/e2", "Author", "1998-06-04T18:00:00Z", None, "", None, "Home"), ("t", "Rock show", "https://x.example/t1", "Venue: Arena\n\nLoud", "1998-06-05T20:00:00", None, "Music|Rock", "Arena", "Metro"), ("t", "Bare", None, None, "1998-06-06T00:00:00Z", None, "", None, "Home")]))
-def event_api_map(spark, sf_dir):
-    """Pages of both event APIs as raw entries."""
-    return _flat(_scan(spark, [("e", "api", _EB), ("t", "api", _TM)], city="Home")[0])
+@query(
+    f"WITH o AS (SELECT o_orderkey, o_orderkey % 3 AS kind, CAST(o_orderdate AS DATE) AS d, {_WHEN} AS s, o_orderpriority FROM orders), "
+    "e AS (SELECT *, CASE kind WHEN 1 THEN CAST(d AS TIMESTAMP) ELSE s END AS starts, CASE kind WHEN 0 THEN s + INTERVAL 2 HOUR WHEN 1 THEN CAST(d AS TIMESTAMP) + INTERVAL 2 DAY - INTERVAL 1 SECOND ELSE s END AS ends FROM o) "
+    "SELECT CAST(o_orderkey AS VARCHAR) AS feed, 'Order with a very long title' AS title, CASE WHEN kind = 0 THEN 'https://x.example/' || o_orderkey END AS link, CAST(NULL AS VARCHAR) AS description, "
+    "CASE WHEN kind = 1 THEN strftime(d, '%Y-%m-%d') ELSE strftime(s, '%Y-%m-%dT%H:%M:%S') || '+00:00' END AS published_raw, CASE WHEN kind = 0 THEN 'Ann Day' END AS author, CASE WHEN kind = 2 THEN 'Jazz|Music' ELSE '' END AS categories, 'Hall, ' || o_orderpriority AS venue, 'Metro' AS city "
+    f"FROM e WHERE starts <= {_N} + INTERVAL 14 DAY AND ends >= {_N}"
+)
+def ical_window(spark, sf_dir):
+    """Calendars made of the orders: those that overlap the horizon. A DATE end is exclusive, an event without an end ends as it begins."""
+    k, kind = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 3
+    day, hour = F.date_format("o_orderdate", "yyyyMMdd"), F.date_trunc("day", "o_orderdate").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("o_orderkey") % 24).cast("int"))
+    clock = lambda c: F.date_format(c, "yyyyMMdd'T'HHmmss'Z'")
+    until = F.date_format(F.date_add(F.col("o_orderdate").cast("date"), 2), "yyyyMMdd")
+    times = F.when(kind == 0, F.concat(F.lit("DTSTART:"), clock(hour), F.lit("\r\nDTEND:"), clock(hour + F.make_dt_interval(hours=F.lit(2))), F.lit("\r\nORGANIZER;CN=Ann Day:mailto:a@x.example\r\nURL:https://x.example/"), k))
+    times = times.when(kind == 1, F.concat(F.lit("DTSTART;VALUE=DATE:"), day, F.lit("\r\nDTEND;VALUE=DATE:"), until)).otherwise(F.concat(F.lit("DTSTART:"), clock(hour), F.lit("\r\nCATEGORIES:Jazz, Music,")))
+    body = F.concat(F.lit("BEGIN:VCALENDAR\r\nBEGIN:VEVENT\r\n"), times, F.lit("\r\nSUMMARY:Order with a very\r\n  long title\r\nLOCATION:Hall\\, "), "o_orderpriority", F.lit("\r\nEND:VEVENT\r\nEND:VCALENDAR\r\n"))
+    payloads = table(spark, sf_dir, "orders").select(k.alias("feed"), F.lit("ical").alias("source_type"), body.alias("payload"))
+    return _flat(sources.parse(payloads, {"now": NOW, "city": "Metro"})[0])
 
 
-@query(_values(_COLUMNS, [("s", "A, B", "https://x.example/shows/1", "Paramount", "1998-06-03T20:00:00-04:00", None, "", "Paramount", "Metro")]))
+@query(
+    "SELECT CAST(p_partkey AS VARCHAR) AS feed, p_name AS title, 'https://x.example/' || p_partkey AS link, CASE WHEN p_partkey % 2 = 0 THEN 'Venue: ' || p_brand || chr(10) || chr(10) || 'Under lights' WHEN p_partkey % 4 = 1 THEN 'Venue: ' || p_brand || chr(10) || chr(10) || 'Loud' ELSE 'Loud' END AS description, "
+    "CASE WHEN p_partkey % 2 = 0 THEN '1998-06-03T19:00:00' ELSE '1998-06-05T20:00:00' END AS published_raw, CASE WHEN p_partkey % 2 = 0 THEN 'Org' END AS author, CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_type || '|Rock' END AS categories, CASE WHEN p_partkey % 4 <> 3 THEN p_brand END AS venue, CASE WHEN p_partkey % 4 = 1 THEN 'Metro' ELSE 'Home' END AS city FROM part"
+)
+def event_api_map(spark, sf_dir):
+    """Pages of both event APIs, made of the parts, as raw entries."""
+    k, named = F.col("p_partkey"), lambda c: F.struct(F.col(c).alias("name"))
+    url = F.concat(F.lit("https://x.example/"), k.cast("string")).alias("url")
+    text = lambda c: F.struct(c.alias("text"))
+    first = F.struct(text(F.col("p_name")).alias("name"), text(F.lit("Under lights")).alias("summary"), url, F.struct(F.lit("1998-06-03T19:00:00").alias("local")).alias("start"), F.struct(F.lit("Org").alias("name")).alias("organizer"), named("p_brand").alias("venue"), named("p_type").alias("category"))
+    eb = F.to_json(F.struct(F.struct(F.lit(False).alias("has_more_items")).alias("pagination"), F.array(first).alias("events")))
+    place = F.when(k % 4 == 1, F.struct(F.array(F.struct(F.col("p_brand").alias("name"), F.struct(F.lit("Metro").alias("name")).alias("city"))).alias("venues")))
+    kinds = F.array(F.struct(named("p_type").alias("segment"), F.struct(F.lit("Rock").alias("name")).alias("genre")))
+    when = F.struct(F.struct(F.lit("1998-06-05").alias("localDate"), F.lit("20:00:00").alias("localTime")).alias("start"))
+    second = F.struct(F.col("p_name").alias("name"), url, F.lit("Loud").alias("info"), when.alias("dates"), place.alias("_embedded"), kinds.alias("classifications"))
+    tm = F.to_json(F.struct(F.struct(F.lit(1).alias("totalPages"), F.lit(0).alias("number")).alias("page"), F.struct(F.array(second).alias("events")).alias("_embedded")))
+    payloads = table(spark, sf_dir, "part").select(k.cast("string").alias("feed"), F.lit("api").alias("source_type"), F.when(k % 2 == 0, eb).otherwise(tm).alias("payload"))
+    return _flat(sources.parse(payloads, {"city": "Home"})[0])
+
+
+@query("SELECT CAST(c_custkey AS VARCHAR) AS feed, c_name || ', B' AS title, 'https://x.example/shows/' || c_custkey AS link, c_mktsegment AS description, '1998-06-03T20:00:00-04:00' AS published_raw, CAST(NULL AS VARCHAR) AS author, '' AS categories, c_mktsegment AS venue, 'Metro' AS city FROM customer")
 def html_calendar_json(spark, sf_dir):
-    """JSON behind a calendar page; relative links become absolute, rows without title and link go."""
-    return _flat(_scan(spark, [("s", "scrape", _SHOWS)], url="https://x.example/calendar", city="Metro")[0])
-
-
-@query(_values("feed, status, n_entries", [("r", "OK", 2), ("i", "EMPTY", 0), ("bad", "MALFORMED", 0), ("same", "UNCHANGED", 0)]))
+    """JSON behind calendar pages, one for each customer, plain or in a script tag; relative links become absolute, rows without title and link go."""
+    k, name = F.col("c_custkey"), lambda c: F.struct(c.alias("name"))
+    show = F.struct(k.alias("id"), F.concat(F.lit("/shows/"), k.cast("string")).alias("url"), F.lit("1998-06-03T20:00:00-04:00").alias("starts_at"), F.array(name(F.col("c_name")), name(F.lit("B"))).alias("bands"), name(F.col("c_mktsegment")).alias("venue"))
+    nothing = F.struct(k.alias("id"), *(F.lit(None).cast(t).alias(n) for n, t in (("url", "string"), ("starts_at", "string"), ("bands", "array<struct<name:string>>"), ("venue", "struct<name:string>"))))
+    body = F.to_json(F.struct(F.array(show, nothing).alias("shows")))
+    found = []
+    for kind, rows, payload in (("json_api", k % 2 == 0, body), ("json_embed", k % 2 == 1, F.concat(F.lit('<html><script type="application/json">{"x": 1}</script><script type="application/json">'), body, F.lit("</script></html>")))):
+        payloads = table(spark, sf_dir, "customer").where(rows).select(k.cast("string").alias("feed"), F.lit("scrape").alias("source_type"), payload.alias("payload"))
+        found.append(_flat(sources.parse(payloads, {"url": "https://x.example/calendar", "city": "Metro", "strategy": kind})[0]))
+    return found[0].unionByName(found[1])
+
+
+@query("SELECT CAST(page_id AS VARCHAR) AS feed, CASE page_id % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'EMPTY' WHEN 2 THEN 'MALFORMED' ELSE 'UNCHANGED' END AS status, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS n_entries FROM pages")
 def feed_isolation(spark, sf_dir):
-    """A feed that fails leaves the others alone."""
-    rows = [("r", "rss", _RSS), ("i", "ical", "BEGIN:VCALENDAR\r\nEND:VCALENDAR"), ("bad", "api", "{not json"), ("same", "rss", None)]
-    return _scan(spark, rows)[1].select("feed", "status", F.col("n_entries").cast("bigint").alias("n_entries"))
+    """A feed for each page; every fourth fails, and leaves the others alone."""
+    k = F.col("page_id")
+    item = F.concat(F.lit("<rss><channel><item><title>Page "), k.cast("string"), F.lit("</title></item></channel></rss>"))
+    kind = F.when(k % 4 == 1, "ical").when(k % 4 == 2, "api").otherwise("rss")
+    payload = F.when(k % 4 == 0, item).when(k % 4 == 1, "BEGIN:VCALENDAR\r\nEND:VCALENDAR").when(k % 4 == 2, F.concat(F.lit("{not json "), F.coalesce("html", F.lit(""))))
+    payloads = table(spark, sf_dir, "pages").select(k.cast("string").alias("feed"), kind.alias("source_type"), payload.alias("payload"))
+    return sources.parse(payloads)[1].select("feed", "status", F.col("n_entries").cast("bigint").alias("n_entries"))
 
 
 @query("SELECT page_id, CASE WHEN page_id % 2 = 0 AND ends_with(lower(regexp_extract(replace(url, '.html', '.ICS'), '^[^?#]*')), '.ics') THEN 'ical' ELSE 'rss' END AS kind, CASE WHEN page_id % 2 = 0 THEN 'Metro' ELSE 'city' END AS geo FROM pages")
