@@ -76,3 +76,32 @@ def changed(fetched: DataFrame, tokens: DataFrame, key: str) -> tuple[DataFrame,
     fresh = fetched.join(old, key, "left").where(~F.coalesce(same, F.lit(False))).select(*fetched.columns)
     told = fetched.where((F.coalesce("etag", F.lit("")) != "") | (F.coalesce("last_modified", F.lit("")) != "")).select(key, "etag", "last_modified", F.lit(1).alias("_at"))
     return fresh, latest_per_key(tokens.select(key, "etag", "last_modified", F.lit(0).alias("_at")).unionByName(told), [key], "_at").drop("_at")
+
+
+def answered(rows: DataFrame, key: str, results: dict[str, tuple[DataFrame, object]]) -> DataFrame:
+    """``rows`` with the answer of each agent by ``key``: ``results`` names a column, the table that has it (one row per key), and what stands where an answer
+    is missing or failed (null)."""
+    for column, (table, default) in results.items():
+        rows = rows.join(table.select(key, F.col(column)), key, "left").withColumn(column, F.coalesce(column, F.lit(default)))
+    return rows
+
+
+def open_requests(work: DataFrame, key: str, caches: dict[str, DataFrame]) -> DataFrame:
+    """(request_id, agent, key): for each agent the distinct keys of ``work`` that its cache (a table with the key) does not answer. The id is the same in every run."""
+    found = None
+    for agent, cache in caches.items():
+        todo = work.select(key).distinct().join(cache.select(key).distinct(), key, "left_anti").select(F.lit(agent).alias("agent"), key)
+        found = todo if found is None else found.unionByName(todo)
+    return found.select(F.sha2(F.concat("agent", F.lit(":"), F.col(key).cast("string")), 256).alias("request_id"), "agent", key)
+
+
+def run_of_token(tokens: DataFrame, history: DataFrame, run: Column) -> DataFrame:
+    """(token, run_id): the run that a feedback token was made in; unknown tokens say so. Tokens of the history are unique."""
+    known = history.select("token", run.alias("run_id"))
+    return tokens.join(known, "token", "left").select("token", F.coalesce("run_id", F.lit("unknown")).alias("run_id"))
+
+
+def signalled(history: DataFrame, signals: DataFrame) -> DataFrame:
+    """The history after feedback: the row of a token takes its signal, and ``updated`` tells which did; tokens without a row are ignored."""
+    once = signals.groupBy("token").agg(F.max("signal").alias("new_signal"))
+    return history.join(once, "token", "left").withColumnRenamed("new_signal", "signal").withColumn("updated", F.col("signal").isNotNull())

@@ -31,6 +31,15 @@ def wildcards(rows: DataFrame, user: str = "user_id") -> Column:
     return fit & (F.row_number().over(w) <= vocab.WILDCARD_SLOTS)
 
 
+def totals(picks: DataFrame, names: list[str]) -> DataFrame:
+    """(category, n, n_venues, n_dates): for each of ``names`` the picks that bear it, zero included, and the different venues and days of all picks. Picks:
+    category, venue, date. A selection is summed up by one aggregation for each figure; names are few."""
+    whole = picks.agg(F.count_distinct("venue").alias("n_venues"), F.count_distinct("date").alias("n_dates"))
+    per = picks.where(F.col("category").isin(*names)).groupBy("category").agg(F.count("*").alias("n"))
+    every = picks.sparkSession.createDataFrame([(c,) for c in names], "category string")
+    return every.join(F.broadcast(per), "category", "left").crossJoin(F.broadcast(whole)).select("category", F.coalesce("n", F.lit(0)).alias("n"), "n_venues", "n_dates")  # one row
+
+
 def choose(pool: list[dict], limit: int = vocab.MAX_PICKS) -> list[dict]:
     """Up to ``limit`` rows of a pool in rank order: at most 3 per category and 2 per venue. Rows: event_id, score,
     categories, venue, date, wildcard.

@@ -6,9 +6,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from ..catalog import table
+from ..catalog import LISTINGS_SQL, listings, table
 from ..functions import text, vocab
-from ..operators import enrich
+from ..operators import enrich, select
 from ..sources import catalog_file, sinks
 from ..storage import fresh_path
 
@@ -113,12 +113,8 @@ def log_filter(spark, sf_dir):
     return found.groupBy(F.replace("run_id", F.lit("run_"), F.lit("")).cast("bigint").alias("run")).agg(F.count("*").alias("n"), F.count_distinct("message").alias("kinds"))
 
 
-@query(f"WITH c(k) AS (VALUES {', '.join(f'({c!r})' for c in vocab.CATEGORIES[:6])}) SELECT k AS category, (SELECT count(*) FROM part WHERE p_size % 6 = CASE k WHEN 'Art' THEN 0 WHEN 'Classical' THEN 1 WHEN 'Comedy' THEN 2 WHEN 'Community' THEN 3 WHEN 'Country' THEN 4 ELSE 5 END) AS n, (SELECT count(DISTINCT p_brand) FROM part) AS n_venues FROM c")
+@query(LISTINGS_SQL.rstrip() + ", w AS (SELECT count(DISTINCT venue) AS n_venues, count(DISTINCT event_date) AS n_dates FROM listings) SELECT k AS category, (SELECT count(*) FROM listings WHERE category = k) AS n, n_venues, n_dates FROM (VALUES ('Film'), ('Jazz'), ('Music'), ('Opera')) t(k), w")
 def selection_totals(spark, sf_dir):
-    """Totals per category and distinct venues of a selection."""
-    cats = F.array(*(F.lit(c) for c in vocab.CATEGORIES[:6]))
-    rows = table(spark, sf_dir, "part").select(F.explode(F.array(F.get(cats, F.col("p_size") % 6))).alias("category"), "p_brand")
-    venues = rows.agg(F.count_distinct("p_brand").alias("n_venues"))
-    per = rows.groupBy("category").agg(F.count("*").alias("n"))
-    names = spark.createDataFrame([(c,) for c in vocab.CATEGORIES[:6]], "category string")
-    return names.join(per, "category", "left").crossJoin(F.broadcast(venues)).select("category", F.coalesce("n", F.lit(0)).alias("n"), "n_venues")  # one row
+    """Totals per category, distinct venues and dates of a selection; categories without a pick count zero."""
+    rows = listings(spark, sf_dir).select("category", "venue", F.col("event_date").alias("date"))
+    return select.totals(rows, ["Film", "Jazz", "Music", "Opera"])

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import FEEDBACK_NOW, FEEDBACK_SQL, HISTORY_SQL, LISTINGS_SQL, NOW, feedback, history, listings, now, table, with_id
 from ..functions import categories, scoring, text, vocab
-from ..operators import dedup, groups, select
+from ..operators import dedup, groups, keyed, select
 from ..operators import feedback as folds
 
 QUERIES, ORACLES = {}, {}
@@ -347,14 +347,14 @@ def history_recent(spark, sf_dir):
 def history_update(spark, sf_dir):
     """Feedback written to the history row of its token; other rows stay."""
     signals = feedback(spark, sf_dir).select((F.col("event_id") - 1).alias("token"), "signal")
-    return history(spark, sf_dir).join(signals, "token", "left").select("token", "event_key", "signal", F.col("signal").isNotNull().alias("updated"))
+    return keyed.signalled(history(spark, sf_dir), signals).select("token", "event_key", "signal", "updated")
 
 
 @query(HISTORY_SQL.rstrip() + ", s AS (SELECT event_id - 1 AS token, event_type FROM events WHERE event_type = 'click') SELECT s.token, coalesce('run_' || h.event_key, 'unknown') AS run_id FROM s LEFT JOIN history h USING (token)")
 def token_lookup(spark, sf_dir):
     """The run of a feedback token; unknown tokens say so."""
     clicks = feedback(spark, sf_dir).where("signal = 'click'").select((F.col("event_id") - 1).alias("token"))
-    return clicks.join(history(spark, sf_dir), "token", "left").select("token", F.coalesce(F.concat(F.lit("run_"), "event_key"), F.lit("unknown")).alias("run_id"))
+    return keyed.run_of_token(clicks, history(spark, sf_dir), F.concat(F.lit("run_"), "event_key"))
 
 
 @query(
@@ -410,9 +410,7 @@ def user_and_vibe_hash(spark, sf_dir):
 def enrichment_requests(spark, sf_dir):
     """Work that no cache answers, per agent, with a stable id."""
     part = table(spark, sf_dir, "part").select("p_partkey", "p_size")
-    todo = [part.join(part.where(F.col("p_size") % n == 0).select("p_partkey"), "p_partkey", "left_anti").select(F.lit(agent).alias("agent"), "p_partkey") for agent, n in (("talent", 3), ("vibe", 5))]
-    both = todo[0].unionByName(todo[1])
-    return both.select(F.sha2(F.concat("agent", F.lit(":"), F.col("p_partkey").cast("string")), 256).alias("request_id"), "agent", "p_partkey")
+    return keyed.open_requests(part, "p_partkey", {agent: part.where(F.col("p_size") % n == 0) for agent, n in (("talent", 3), ("vibe", 5))})
 
 
 @query("SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'fallback' ELSE upper(p_type) END AS genre, CASE WHEN p_size % 4 = 0 THEN 0.0 ELSE p_size / 50.0 END AS affinity FROM part")
@@ -421,8 +419,7 @@ def batch_results_join(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     genres = part.where(F.col("p_size") % 3 != 0).select("p_partkey", F.upper("p_type").alias("genre"))
     affinity = part.where(F.col("p_size") % 4 != 0).select("p_partkey", (F.col("p_size") / 50.0).alias("affinity"))
-    joined = part.select("p_partkey").join(genres, "p_partkey", "left").join(affinity, "p_partkey", "left")
-    return joined.select("p_partkey", F.coalesce("genre", F.lit("fallback")).alias("genre"), F.coalesce("affinity", F.lit(0.0)).alias("affinity"))
+    return keyed.answered(part.select("p_partkey"), "p_partkey", {"genre": (genres, "fallback"), "affinity": (affinity, 0.0)})
 
 
 @query(HISTORY_SQL + f"SELECT event_key, count(*) AS n_users FROM (SELECT DISTINCT event_key, user_id FROM history WHERE recommended_at >= {_F} - INTERVAL 28 DAY) GROUP BY 1")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import FEEDBACK_NOW, FEEDBACK_SQL, NOW, feedback, feeds, history, now, table
 from ..functions.schedule import schedule
-from ..operators import normalize
+from ..operators import enrich, normalize
 from ..sources import feeds as sources
 from ..streaming import folds
 from .ranking_queries import ORACLES as RANKING
@@ -130,16 +130,17 @@ def html_scrape_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("title"), F.size(links).cast("bigint").alias("n_links"), F.get(links, F.lit(0)).alias("first_link"))
 
 
-@query("SELECT c_custkey, i AS pos, c_name || '-' || CAST(i AS VARCHAR) AS name, CASE WHEN i = 1 THEN NULL ELSE i * 10 END AS price FROM customer, range(2) t(i) WHERE c_custkey % 3 <> 2")
+@query("SELECT CAST(c_custkey AS VARCHAR) AS feed, c_name || '-' || i AS title, 'https://x.example/' || i AS link FROM customer, range(2) t(i) WHERE c_custkey % 3 <> 2 UNION ALL SELECT CAST(c_custkey AS VARCHAR), c_name || '-0', 'https://x.example/0' FROM customer WHERE c_custkey % 6 = 5")
 def json_items(spark, sf_dir):
-    """Objects at a dotted path of a JSON payload; other payloads give none. Read as variants, so no schema is guessed."""
-    k, name = F.col("c_custkey"), F.col("c_name")
-    item = lambda i, price: F.concat(F.lit('{"name":"'), name, F.lit(f'-{i}"{price}}}'))
-    body = F.concat(F.lit('{"data":{"shows":['), item(0, ',"price":0'), F.lit(","), item(1, ""), F.lit("]}}"))
-    payload = F.when(k % 3 == 2, '{"data":"none"}').otherwise(body)
-    v = table(spark, sf_dir, "customer").select(k, F.try_parse_json(payload).alias("v"))
-    items = v.select("c_custkey", F.posexplode(F.from_json(F.to_json(F.try_variant_get("v", "$.data.shows", "variant")), "array<struct<name:string,price:int>>")).alias("pos", "item"))
-    return items.select("c_custkey", F.col("pos").cast("bigint").alias("pos"), F.col("item.name").alias("name"), F.col("item.price").cast("bigint").alias("price"))
+    """Objects at a dotted path of a JSON payload, or in the first list that has a usual name; other payloads give none."""
+    k = F.col("c_custkey")
+    item = lambda i: F.struct(F.concat("c_name", F.lit(f"-{i}")).alias("name"), F.lit(f"/{i}").alias("url"))
+    here = F.to_json(F.struct(F.struct(F.array(item(0), item(1)).alias("shows")).alias("data")))
+    found = []
+    for rows, payload, options in ((k % 3 != 2, here, {"items_path": "data.shows"}), (k % 6 == 5, F.to_json(F.struct(F.array(item(0)).alias("results"))), {}), (k % 6 == 2, F.lit('{"data":"none"}'), {"items_path": "data.shows"})):
+        payloads = table(spark, sf_dir, "customer").where(rows).select(k.cast("string").alias("feed"), F.lit("scrape").alias("source_type"), payload.alias("payload"))
+        found.append(sources.parse(payloads, {"url": "https://x.example/calendar", "title": "name", **options})[0].select("feed", "title", "link"))
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 IN (0, 1, 2) THEN o_custkey END AS answer, o_orderkey % 4 <> 3 AS parsed FROM orders")
@@ -149,9 +150,7 @@ def llm_json_fence(spark, sf_dir):
     body = F.concat(F.lit('{"answer": '), F.col("o_custkey").cast("string"), F.lit("}"))
     fence = "`" * 3
     raw = F.when(k % 4 == 0, body).when(k % 4 == 1, F.concat(F.lit(f"Sure:\n{fence}json\n"), body, F.lit(f"\n{fence} done"))).when(k % 4 == 2, F.concat(F.lit(f"{fence}\n"), body, F.lit(f"\n{fence}"))).otherwise("no idea")
-    bare = F.try_parse_json("raw")
-    inner = F.try_parse_json(F.trim(F.regexp_extract("raw", rf"(?s){fence}(?:json)?\s*\n?(.*?)\n?{fence}", 1)))
-    rows = table(spark, sf_dir, "orders").select(k, raw.alias("raw")).withColumn("v", F.coalesce(bare, inner))
+    rows = table(spark, sf_dir, "orders").select(k, raw.alias("raw")).withColumn("v", F.try_parse_json(enrich.json_text(F.col("raw"))))
     return rows.select(k, F.try_variant_get("v", "$.answer", "bigint").alias("answer"), F.try_variant_get("v", "$.answer", "bigint").isNotNull().alias("parsed"))
 
 
