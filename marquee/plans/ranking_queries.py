@@ -255,7 +255,27 @@ def wildcard_slots(spark, sf_dir):
     return rows.withColumn("wildcard", select.wildcards(rows)).where("wildcard").select("user_id", "rank", "event_id")
 
 
-@query()
+#: the greedy choice, a pick for each round of the recursion: the first row after the last pick that has room. With three categories no list
+#: is full, so a wildcard that there is stands in it from the first pick on, and nothing makes way for one
+_CURATE_SQL = _RANK_SQL.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT *, score BETWEEN 0.35 AND 0.65 AND novelty >= 0.6 AS fit, row_number() OVER (PARTITION BY user_id, score BETWEEN 0.35 AND 0.65 AND novelty >= 0.6 ORDER BY novelty DESC, rank) AS wr FROM ranked),
+pool AS (SELECT user_id, rank, event_id, score, lower(category) AS c, lower(venue) AS v, event_date AS d, fit AND wr <= 2 AS wild FROM w),
+queue AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY first DESC, CASE WHEN first THEN -score END, rank) AS pos FROM (SELECT *, false AS first FROM pool UNION ALL SELECT *, true FROM pool WHERE wild)),
+greedy AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS pos, CAST([] AS VARCHAR[]) AS ids, CAST([] AS VARCHAR[]) AS cats, CAST([] AS VARCHAR[]) AS venues FROM pool
+  UNION ALL SELECT user_id, r.pos, list_append(ids, r.event_id), list_append(cats, r.c), list_append(venues, r.v)
+  FROM (SELECT g.user_id, g.ids, g.cats, g.venues, arg_min({'pos': q.pos, 'event_id': q.event_id, 'c': q.c, 'v': q.v}, q.pos) AS r FROM greedy g JOIN queue q ON q.user_id = g.user_id AND q.pos > g.pos
+    WHERE len(g.ids) < 10 AND NOT list_contains(g.ids, q.event_id) AND len(list_filter(g.cats, lambda x: x = q.c)) < 3 AND len(list_filter(g.venues, lambda x: x = q.v)) < 2 GROUP BY ALL)),
+lists AS (SELECT user_id, arg_max(ids, len(ids)) AS ids FROM greedy GROUP BY 1),
+picks AS (SELECT p.*, list_position(ids, p.event_id) AS n FROM lists l JOIN pool p ON p.user_id = l.user_id AND list_contains(ids, p.event_id)),
+one_day AS (SELECT user_id, min(d) AS d FROM picks GROUP BY 1 HAVING count(*) >= 2 AND count(DISTINCT d) < 2),
+swaps AS (SELECT o.user_id, arg_min({'leaves': o.event_id, 'comes': q.event_id}, (o.score, o.n, -q.score, q.rank)) AS s
+  FROM one_day y JOIN picks o ON o.user_id = y.user_id AND NOT o.wild JOIN pool q ON q.user_id = y.user_id AND NOT q.wild AND q.d <> y.d
+  WHERE (SELECT count(*) FROM picks k WHERE k.user_id = o.user_id AND k.event_id <> o.event_id AND k.c = q.c) < 3 AND (SELECT count(*) FROM picks k WHERE k.user_id = o.user_id AND k.event_id <> o.event_id AND k.v = q.v) < 2 GROUP BY 1),
+final AS (SELECT p.user_id, p.event_id, p.score, p.wild, p.n FROM picks p LEFT JOIN swaps ON swaps.user_id = p.user_id WHERE s IS NULL OR s.leaves <> p.event_id
+  UNION ALL SELECT p.user_id, p.event_id, p.score, p.wild, 99 FROM swaps JOIN pool p ON p.user_id = swaps.user_id AND p.event_id = s.comes)
+SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC, n) AS INTEGER) AS position, event_id, round(score, 6) AS score, wild AS wildcard FROM final"""
+
+
+@query(_CURATE_SQL)
 def curate_greedy(spark, sf_dir):
     """Each user's list under the caps on categories, venues, dates and wildcards."""
     rows = select.ranked(scored_events(spark, sf_dir))
