@@ -104,6 +104,34 @@ def html_calendar_json(spark, sf_dir):
     return found[0].unionByName(found[1])
 
 
+@query(
+    "WITH n AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<li><a href=\"[^\"]*\">[^<]*</a></li>')) AS li FROM pages) "
+    "SELECT CAST(page_id AS VARCHAR) AS feed, trim(regexp_extract(li, '>([^<>]*)</a>', 1)) AS title, 'https://x.example' || regexp_extract(li, 'href=\"([^\"]*)\"', 1) AS link, CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS published_raw FROM n "
+    "UNION ALL SELECT CAST(page_id AS VARCHAR), 'Page ' || page_id, 'https://x.example/p/' || page_id, 'In the park', CASE WHEN page_id % 2 = 0 THEN '1998-06-03' ELSE 'June 3' END FROM pages WHERE html IS NOT NULL"
+)
+def calendar_css(spark, sf_dir):
+    """Items of whole pages by CSS selectors: the links of the page's own navigation, and an item in which tags of one name are nested."""
+    k = F.col("page_id").cast("string")
+    date = F.when(F.col("page_id") % 2 == 0, '<time class="d" datetime="1998-06-03"></time>').otherwise('<i class="d">June 3</i>')
+    item = F.concat(F.lit('<div class="first item"><div class="box"><div>In</div><div>the park</div></div><div><h3 class="t">Page '), k, F.lit("</h3></div>"), date, F.lit('<a class="more" href="/p/'), k, F.lit('">more</a></div>'))
+    payloads = table(spark, sf_dir, "pages").where("html is not null").select(k.alias("feed"), F.lit("scrape").alias("source_type"), F.concat(item, "html").alias("payload"))
+    how = {"strategy": "css", "url": "https://x.example/cal", "item_selector": "div.item, nav > ul > li", "title_selector": "h3.t, li a", "link_selector": "a[href]", "description_selector": ".item .box", "date_selector": ".d"}
+    return sources.parse(payloads, how)[0].select("feed", "title", "link", "description", "published_raw")
+
+
+@query(
+    "SELECT CAST(page_id AS VARCHAR) AS feed, 'https://x.example' || CASE page_id % 3 WHEN 0 THEN '/shows.json?a=1&b=' || page_id ELSE '/api/v1/' || page_id || '.json' END AS request_url, CASE WHEN page_id % 2 = 0 THEN 'token-' || page_id END AS csrf FROM pages WHERE page_id % 3 < 2"
+)
+def calendar_discovery(spark, sf_dir):
+    """What pages that load their events lazily ask for next: an address in an attribute or a script, and the token to send with it."""
+    k = F.col("page_id").cast("string")
+    lazy = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit('<div data-lazy="{&quot;url&quot;: &quot;/shows.json?a=1&amp;b='), k, F.lit('&quot;}"></div>')))
+    lazy = lazy.when(F.col("page_id") % 3 == 1, F.concat(F.lit('<script>load({"url": "/api/v1/'), k, F.lit('.json"})</script>'))).otherwise("")
+    meta = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('<meta name="csrf-token" content="token-'), k, F.lit('">'))).otherwise("")
+    pages = table(spark, sf_dir, "pages").select(k.alias("feed"), F.lit("https://x.example/cal").alias("url"), F.concat(meta, lazy, F.coalesce("html", F.lit(""))).alias("payload"))
+    return sources.lazy_requests(pages)
+
+
 @query("SELECT CAST(page_id AS VARCHAR) AS feed, CASE page_id % 4 WHEN 0 THEN 'OK' WHEN 1 THEN 'EMPTY' WHEN 2 THEN 'MALFORMED' ELSE 'UNCHANGED' END AS status, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END::BIGINT AS n_entries FROM pages")
 def feed_isolation(spark, sf_dir):
     """A feed for each page; every fourth fails, and leaves the others alone."""

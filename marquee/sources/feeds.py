@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from . import markup
+
 ENTRY = "feed string, title string, link string, description string, published_raw string, author string, categories array<string>, enclosure_url string, venue string, city string, starts_at timestamp, ends_at timestamp"
 _FIELDS = ("feed", "title", "link", "description", "published_raw", "author", "categories", "enclosure_url", "venue", "city", "starts_at", "ends_at")
 
@@ -188,32 +190,48 @@ def field(item: dict, spec: str | None) -> str | None:
     return (str(value).strip() or None) if value is not None else None
 
 
+#: fixed pattern: where a page's script names the JSON that it loads
+_LAZY_URL = re.compile(r'"url"\s*:\s*"(/api/[^"]+\.json[^"]*)"', re.IGNORECASE)
+
+
 def json_url(page: str) -> str | None:
-    """Address of the JSON that a page loads lazily."""
-    text = html.unescape(page)
-    m = re.search(r"""data-lazy=(["'])(\{.*?\})\1""", text, re.DOTALL)
-    if m:
+    """Address of the JSON that a page loads lazily: of the first data-lazy object that has one, else in a script."""
+    for node in markup.tree(page).select("[data-lazy]"):
         try:
-            found = json.loads(m[2]).get("url")
-            if isinstance(found, str) and found:
-                return found
+            found = json.loads(node.attrs["data-lazy"])
         except json.JSONDecodeError:
-            pass
-    m = re.search(r'"url"\s*:\s*"([^"]+\.json[^"]*)"', text)
+            continue
+        if isinstance(found, dict) and isinstance(found.get("url"), str) and found["url"]:
+            return found["url"].replace("\\u0026", "&")
+    m = _LAZY_URL.search(html.unescape(page))
     return m[1].replace("\\u0026", "&") if m else None
 
 
 def csrf_token(page: str) -> str | None:
-    m = re.search(r"""<meta[^>]+name=["']csrf-token["'][^>]+content=["']([^"']+)""", page)
-    return m[1] if m else None
+    node = markup.tree(page).first('meta[name="csrf-token"]')
+    return node.attrs.get("content") or None if node else None
+
+
+def lazy_requests(pages: DataFrame) -> DataFrame:
+    """(feed, request_url, csrf): what to ask for next where ``pages`` (feed, url, payload) load their events lazily; the address is made absolute."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            feed, url, payload = (c.to_pylist() for c in batch.columns)
+            found = [(json_url(p or ""), csrf_token(p or "")) for p in payload]
+            asked = [urljoin(u or "", f) if f else None for u, (f, _) in zip(url, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(feed, pa.string()), pa.array(asked, pa.string()), pa.array([t for _, t in found], pa.string())], names=["feed", "request_url", "csrf"])
+
+    rows = pages.select("feed", "url", F.col("payload").cast("string").alias("payload")).mapInArrow(run, "feed string, request_url string, csrf string")
+    return rows.where("request_url is not null")
 
 
 def html_calendar(payload: bytes, options: dict) -> Iterator[dict]:
-    """JSON answer, JSON in script tags, or elements by class, whatever ``strategy`` says; rows without title and link go."""
+    """JSON answer, JSON in script tags, or elements by CSS selectors, whatever ``strategy`` says; rows without title and link go."""
     text = payload.decode("utf-8", "replace")
     kind = options.get("strategy", "json_api")
     if kind == "css":
-        rows = list(_by_class(text, options))
+        rows = list(_by_selector(text, options))
         fields = {"title": "title", "link": "url", "description": "description", "published_raw": "published_raw"}
     else:
         blobs = [text] if kind == "json_api" else re.findall(r'(?s)<script[^>]+type=["\']application/json["\'][^>]*>(.*?)</script>', text)
@@ -236,25 +254,15 @@ def html_calendar(payload: bytes, options: dict) -> Iterator[dict]:
             yield got | {"venue": got["description"], "city": options.get("city")}
 
 
-def _by_class(text: str, options: dict) -> Iterator[dict]:
-    """Blocks of an item class, with a title, link, description and date by class; the date is its text, else its
+def _by_selector(text: str, options: dict) -> Iterator[dict]:
+    """Items by ``item_selector``; in each the first tags of title_, link_, description_ and date_selector. A date is its text, else its
     datetime or content attribute."""
-    bare = lambda s: re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", s))).strip()
-    starts = [m.start() for m in re.finditer(rf'<\w+[^>]*class="[^"]*\b{re.escape(options["item_class"])}\b[^"]*"', text)]
-    for a, b in zip(starts, [*starts[1:], len(text)], strict=True):
-        block = text[a:b]
-
-        def inner(name: str, block=block) -> tuple[str, str] | None:
-            m = re.search(rf'(?s)<(\w+)([^>]*class="[^"]*\b{re.escape(options.get(name, name))}\b[^"]*"[^>]*)>(.*?)</\1>', block)
-            return (m[2], m[3]) if m else None
-
-        title, when, about = inner("title_class"), inner("date_class"), inner("description_class")
-        link = re.search(r'<a[^>]+href="([^"]*)"', block)
-        attr = re.search(r'(?:datetime|content)="([^"]*)"', when[0]) if when else None
-        yield {
-            "title": bare(title[1]) if title else None, "url": link[1] if link else None, "description": bare(about[1]) if about else None,
-            "published_raw": (bare(when[1]) or (attr[1].strip() if attr else None)) if when else None,
-        }
+    if not options.get("item_selector"):
+        raise ValueError("css needs an item_selector")
+    for item in markup.tree(text).select(options["item_selector"]):
+        title, link, about, when = (item.first(options.get(f"{n}_selector")) for n in ("title", "link", "description", "date"))
+        date_text = when and (when.text() or next((when.attrs[a].strip() for a in ("datetime", "content") if when.attrs.get(a)), None))
+        yield {"title": title.text() if title else None, "url": link.attrs.get("href") if link else None, "description": about.text() if about else None, "published_raw": date_text or None}
 
 
 #: adapter of each source type; add to it to plug in another

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marquee.functions import categories, schedule, scoring, text
 from marquee.operators import dedup, keyed, select
-from marquee.sources import feeds
+from marquee.sources import feeds, markup
 
 
 def _slow_ratio(a, b):
@@ -174,11 +174,53 @@ def test_paging_and_links():
     assert feeds.next_page({"pagination": {"page_number": 3, "has_more_items": True}}, 3) is None
     assert feeds.next_page({"page": {"number": 0, "totalPages": 2}}, 1) == 1
     assert feeds.next_page({"page": {"number": 1, "totalPages": 2}}, 2) is None
+
+
+def test_lazy_pages_name_their_next_request(spark):
     assert feeds.json_url("<div data-lazy='{\"url\": \"/shows.json?a=1&amp;b=2\"}'>") == "/shows.json?a=1&b=2"
-    assert feeds.csrf_token('<meta name="csrf-token" content="abc">') == "abc"
-    page = '<div class="item one"><a href="/e/1"><b class="t">A &amp; B</b></a><time class="d" datetime="2026-01-01"></time></div><div class="item"><p class="t"></p></div>'
-    got = feeds.entries("scrape", "s", page.encode(), {"strategy": "css", "item_class": "item", "title_class": "t", "date_class": "d", "url": "https://x.example/cal"})
-    assert [(r["title"], r["link"], r["published_raw"]) for r in got] == [("A & B", "https://x.example/e/1", "2026-01-01")]
+    assert feeds.json_url("<div data-lazy='no json'></div><p data-lazy='{\"url\": \"/b\"}'>") == "/b"
+    assert feeds.json_url('<script>x = {"url": "/api/v1/shows.json?q=1"}</script>') == "/api/v1/shows.json?q=1"
+    assert feeds.json_url('<script>{"url": "/other/shows.json"}</script>') is None and feeds.json_url("") is None
+    assert feeds.csrf_token('<meta content="abc" name="csrf-token">') == "abc" and feeds.csrf_token("<meta name=x content=abc>") is None
+    pages = spark.createDataFrame([("a", "https://x.example/cal/", '<meta name="csrf-token" content="t"><i data-lazy=\'{"url": "more"}\'>'), ("b", None, None)], "feed string, url string, payload string")
+    assert feeds.lazy_requests(pages).collect() == [("a", "https://x.example/cal/more", "t")]
+
+
+def _css(page, **selectors):
+    options = {"strategy": "css", "url": "https://x.example/cal", **selectors}
+    return [(r["title"], r["link"], r["description"], r["published_raw"]) for r in feeds.entries("scrape", "s", page.encode(), options)]
+
+
+def test_css_items():
+    page = """<main><div class="item one"><div class="item-body"><div>In <b>the</b></div><div> park </div></div><a href="/e/1"><b class="t">A &amp; B</b></a><time class="d" datetime="2026-01-01"></time></div>
+      <div class="item"><p class="t"></p></div><div class="items"><a href="/no">no</a></div>
+      <div class="item"><a class="more" href="https://y.example/2">Two<br>lines</a><span class="d"> May 3 </span><meta class="d" content="x"></div></main>"""
+    how = dict(item_selector="main > div.item", title_selector=".t, a.more", link_selector="a[href]", description_selector=".item-body", date_selector=".d")
+    assert _css(page, **how) == [("A & B", "https://x.example/e/1", "In the park", "2026-01-01"), ("Two lines", "https://y.example/2", None, "May 3")]
+    with pytest.raises(ValueError, match="item_selector"):
+        _css(page, title_selector="b")
+
+
+@pytest.mark.parametrize(
+    "selector, found",
+    [("div", ["a", "b", "c", "f"]), ("div div", ["b", "c"]), ("#a > div", ["b"]), ("div div div", ["c"]), ("div p", ["d", "e"]), ("div > p", ["d", "e"]), (".x.y", ["b"]), (".x", ["a", "b"]), ("p.x, #f", ["f"]),
+     ("[data-k]", ["c", "d"]), ('[data-k="one two"]', ["d"]), ("[data-k~=two]", ["d"]), ("p[data-k^='one']", ["d"]), ("[data-k$=two]", ["d"]), ("[data-k*='e t']", ["d"]), ("*[lang|=en]", ["e"]), ("section #d", []), ("body div.x > .y p", ["d", "e"])],
+)
+def test_selectors(selector, found):
+    page = "<body><div id=a class='x'><div id=b class=' y  x '><div id=c data-k><p id=d data-k='one two'>t</p></div><p id=e lang=en-US>u</div></section></div><div id=f class=xy></body>"
+    assert [n.attrs["id"] for n in markup.tree(page).select(selector)] == found
+
+
+@pytest.mark.parametrize("selector", ["", "a,", "a:first-child", "> a", "a + b", "[x"])
+def test_what_is_no_selector(selector):
+    with pytest.raises(ValueError):
+        markup.tree("<a>").select(selector)
+
+
+def test_deep_and_broken_pages():
+    deep = markup.tree("<div>" * 5000 + "x" + "</div>" * 4990 + "</p></table>")
+    assert len(deep.select("div")) == 5000 and deep.text() == "x"
+    assert markup.tree("<p>a<p>b</i>c < d &lt; <!-- no --><br/>e").text() == "a b c < d < e"
 
 
 def test_feed_data_source(spark, tmp_path):
