@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import table
 from ..operators import enrich, outcomes
-from ..sources import feeds, scans
+from ..sources import feeds, scans, sinks
 from ..storage import fresh_path
 from ..streaming import batches, folds
 
@@ -132,3 +132,18 @@ def stream_unseen(spark, sf_dir):
     ten = F.floor(F.col("value") / 10).cast("bigint").alias("ten")
     clicks = folds.stream_of(spark, f"{sf_dir}/clicks*.parquet").select("client_id", "kind", ten, "arrived_at")
     return folds.run_to_end(folds.unseen(clicks, ["client_id", "kind", "ten"], "arrived_at"), "unseen")
+
+
+@query("SELECT user_id, event_type, count(*) AS n, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY 1, 2")
+def history_snapshots(spark, sf_dir):
+    """A history that is only added to, and a keyed table published anew after each third of the events, of which two snapshots are kept."""
+    root, log = fresh_path(spark, "snapshots"), fresh_path(spark, "history")
+    events = table(spark, sf_dir, "events").select("user_id", "event_type", "value", "event_id")
+    for k in (1, 0, 2):
+        part = events.where(F.col("event_id") % 3 == k)
+        sinks.append(part, log, "event_type")
+        sinks.merge_into(root, part.groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.max("event_id").alias("event_id")), ["user_id", "event_type"], "event_id")
+        sinks.retain(spark, root, keep=2)
+    last = sinks.snapshot(spark, root, "user_id long, event_type string, value double, event_id long")
+    counts = spark.read.schema(events.schema).parquet(log).groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
+    return last.join(counts, ["user_id", "event_type"])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.keyed import upsert
+from ..storage import drop_path, exists
 
 LOG = "ts timestamp, run_id string, agent string, level string, message string, data string"
 
@@ -20,12 +21,46 @@ def append(rows: DataFrame, path: str, *partitions: str) -> None:
     rows.write.mode("append").partitionBy(*partitions).parquet(path)
 
 
-def write_snapshot(old_path: str | None, new: DataFrame, path: str, keys: list[str], order: str) -> None:
-    """The keyed table after ``new``, under a path of its own, so a failed write leaves the old snapshot whole."""
-    if old_path:
-        old = new.sparkSession.read.schema(new.schema).parquet(old_path)
-        new = upsert(old, new, keys, order)
-    new.write.mode("errorifexists").parquet(path)
+def _folders(spark: SparkSession, root: str) -> dict[int, bool]:
+    """Number of each snapshot under a root -> whether its write was committed (Spark's own marker)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path):
+        return {}
+    names = [f.getPath().getName() for f in store.listStatus(path)]
+    return {int(n[2:]): exists(spark, f"{root}/{n}/_SUCCESS") for n in names if n.startswith("n=")}
+
+
+def snapshot(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The last committed snapshot of a keyed table; no rows before the first. Writes that failed, or that are still going on, aren't seen."""
+    done = [n for n, ok in _folders(spark, root).items() if ok]
+    return spark.read.schema(schema).parquet(f"{root}/n={max(done)}") if done else spark.createDataFrame([], schema)
+
+
+def publish(rows: DataFrame, root: str) -> int:
+    """Write ``rows`` as the next snapshot, in a folder of its own, and return its number. It counts once all its tasks are committed; until then, and if
+    the write fails, readers keep the snapshot before."""
+    number = max(_folders(rows.sparkSession, root), default=-1) + 1
+    rows.write.mode("errorifexists").parquet(f"{root}/n={number}")
+    return number
+
+
+def merge_into(root: str, new: DataFrame, keys: list[str], order: str) -> int:
+    """Publish the table after the writes of ``new``: for each key the row that is last by ``order``, old or new."""
+    old = snapshot(new.sparkSession, root, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in new.schema.fields))
+    return publish(upsert(old, new, keys, order), root)
+
+
+def retain(spark: SparkSession, root: str, keep: int = 3) -> list[int]:
+    """Remove all but the last ``keep`` committed snapshots, and what failed writes left before the last of these; returns the numbers that are left."""
+    if keep < 1:
+        raise ValueError("keep is 1 or more")
+    found = _folders(spark, root)
+    kept = sorted(n for n, ok in found.items() if ok)[-keep:]
+    for n, ok in found.items():
+        if kept and (n < kept[0] if ok else n < kept[-1]):
+            drop_path(spark, f"{root}/n={n}")
+    return kept
 
 
 def write_log(rows: DataFrame, path: str) -> None:

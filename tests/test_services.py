@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.operators import enrich, outcomes
+from marquee.sources import sinks
 from marquee.streaming import batches, folds
 
 
@@ -163,3 +164,22 @@ def test_empty_and_null_prompts(spark, tmp_path):
     assert outcomes.run(df, str.upper, f"{tmp_path}/none").count() == 0
     joined = outcomes.join_outcomes(df, F.col("prompt"), outcomes.last_outcomes(spark, f"{tmp_path}/none"))
     assert joined.collect() == [(None, None, None, None)]
+
+
+def test_a_failed_write_leaves_the_last_snapshot(spark, tmp_path):
+    root, schema = f"{tmp_path}/table", "k int, v string, at int"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    read = lambda: sorted(tuple(r) for r in sinks.snapshot(spark, root, schema).collect())
+    assert read() == []
+    assert sinks.merge_into(root, rows((1, "a", 1), (2, "b", 1)), ["k"], "at") == 0
+    with pytest.raises(Exception, match="(?i)divide|zero|boom"):
+        sinks.publish(rows((9, "x", 9)).withColumn("v", F.raise_error(F.lit("boom")).cast("string")), root)
+    assert read() == [(1, "a", 1), (2, "b", 1)]
+    assert sinks.merge_into(root, rows((1, "late", 0), (2, "c", 2), (3, "d", 1)), ["k"], "at") == 2
+    assert read() == [(1, "a", 1), (2, "c", 2), (3, "d", 1)]
+    assert sinks.merge_into(root, rows((4, "e", 1)), ["k"], "at") == 3
+    assert sinks.retain(spark, root, keep=2) == [2, 3]
+    assert sorted(os.listdir(root)) == ["n=2", "n=3"]
+    assert read() == [(1, "a", 1), (2, "c", 2), (3, "d", 1), (4, "e", 1)]
+    with pytest.raises(ValueError):
+        sinks.retain(spark, root, keep=0)
