@@ -231,3 +231,50 @@ def test_feed_data_source(spark, tmp_path):
     assert [(r.title, r.published_raw) for r in rows] == [("One", "2026-07-13T18:00:00+00:00")]
     found, health = feeds.scan(spark, str(f), "ical", "f")
     assert found.count() == 1 and health.first().status == "OK"
+
+
+def _near_titles(seed, count, letters="abcd"):
+    rng = random.Random(seed)
+    out = set()
+    while len(out) < count:
+        base = "".join(rng.choices(letters, k=rng.randint(1, 24)))
+        out.add(base)
+        for _ in range(3):
+            t = list(base)
+            for _ in range(rng.randint(1, 4)):
+                if t and rng.random() < 0.5:
+                    t.pop(rng.randrange(len(t)))
+                else:
+                    t.insert(rng.randint(0, len(t)), rng.choice(letters))
+            out.add("".join(t))
+    return sorted(out)
+
+
+def test_similar_titles_share_a_leading_gram():
+    """All pairs above the threshold meet, and have the bigrams in common that the bound asks for."""
+    for letters in ("ab", "abcdefghijklmnopqrst"):
+        titles = _near_titles(len(letters), 500, letters)
+        keys = [set(dedup.leading_grams(t)) for t in titles]
+        grams = [Counter(zip(t, t[1:])) for t in titles]  # noqa: B905
+        met = found = 0
+        for i in range(len(titles)):
+            for j in range(i):
+                met += bool(keys[i] & keys[j])
+                if dedup.indel_ratio(titles[i], titles[j]) > dedup.SIMILAR_ABOVE:
+                    found += 1
+                    assert keys[i] & keys[j], (titles[i], titles[j])
+                    assert sum((grams[i] & grams[j]).values()) >= dedup.shared_grams(len(titles[i]), len(titles[j]))
+        assert found > 300
+        if len(letters) > 2:
+            assert met < 0.2 * len(titles) * (len(titles) - 1) / 2
+
+
+def test_large_blocks_meet_by_grams(spark, monkeypatch):
+    titles = _near_titles(3, 150)
+    rows = [(f"{v}{k:04d}", t, date(2026, 5, 1), v, "f", 0.5, str(k)) for v in ("Hall", "Club") for k, t in enumerate(titles[: 150 if v == "Hall" else 20])]
+    df = spark.createDataFrame(rows, "event_id string, title string, event_date date, venue string, feed string, source_quality double, ord string")
+    read = lambda: {(r.left_id, r.right_id): round(r.similarity, 9) for r in dedup.fuzzy_pairs(df).collect()}
+    whole = read()
+    assert len(whole) > 100
+    monkeypatch.setattr(dedup, "_BLOCK", 30)
+    assert read() == whole
