@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vocab
+from .groups import spread_join
 
 
 def ranked(scored: DataFrame, user: str = "user_id") -> DataFrame:
@@ -23,6 +24,26 @@ def top_k(scored: DataFrame, k: int, user: str = "user_id") -> DataFrame:
     return ranked(scored, user).where(F.col("rank") <= k)
 
 
+def top_k_bounded(users: DataFrame, events: DataFrame, k: int, *, on: str, block: list[str], own: Column, static: Column, score: Callable[[DataFrame], DataFrame], user: str = "user_id", slack: float = 2e-6) -> DataFrame:
+    """``top_k`` of all pairs of users and events that share ``on``, while few pairs are scored.
+
+    A pair's score is ``own``, which depends on the user and on the event's ``block`` columns alone, plus ``static``, which depends on the event alone. Of each
+    block the best ``k`` static parts are kept; with a user's own part of each block they give the user's k-th best score. Only blocks whose best event reaches it, and
+    in these only events that do, are joined and scored by ``score`` (pairs in, a column score and ord out). ``slack`` is more than sums can differ by their order and
+    by rounding. A user with fewer than ``k`` events keeps all."""
+    keys = [on, *block]
+    rated = events.withColumn("_static", static)
+    best = rated.select(*keys, "_static").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_static")))).where(F.col("_n") <= k)
+    blocks = best.groupBy(*keys).agg(F.sort_array(F.collect_list("_static"), asc=False).alias("_best"))
+    met = spread_join(blocks, users, [on], user).withColumn("_own", own)
+    sums = met.select(user, F.explode(F.transform("_best", lambda x: x + F.col("_own"))).alias("_sum"))
+    sums = sums.withColumn("_n", F.row_number().over(Window.partitionBy(user).orderBy(F.desc("_sum")))).where(F.col("_n") <= k)
+    bar = sums.groupBy(user).agg(F.when(F.count("*") == k, F.min("_sum")).otherwise(float("-inf")).alias("_bar"))
+    open_ = met.join(bar, user).withColumn("_least", F.col("_bar") - F.col("_own") - slack).where(F.get("_best", F.lit(0)) >= F.col("_least")).drop("_best", "_bar", "_own")
+    pairs = spread_join(rated, open_, keys, user).where(F.col("_static") >= F.col("_least")).drop("_static", "_least")
+    return top_k(score(pairs), k, user)
+
+
 def wildcards(rows: DataFrame, user: str = "user_id") -> Column:
     """Whether a ranked row is one of the two most novel of middling score."""
     low, high = vocab.WILDCARD_SCORES

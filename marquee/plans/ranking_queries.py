@@ -191,11 +191,8 @@ ranked AS (SELECT *, round(raw, 6) AS score, row_number() OVER (PARTITION BY use
 """
 
 
-def scored_events(spark, sf_dir):
-    """Listings of the coming fortnight, merged, and scored for every user at home in their city.
-
-    The horizon is applied first, so it reaches the scan; the merge is one aggregation; users meet events by an equi-join on
-    the city."""
+def _users_and_events(spark, sf_dir):
+    """Users, and the listings of the coming fortnight, merged. The horizon is applied first, so it reaches the scan; the merge is one aggregation."""
     inside = F.col("start").between(now(), now() + F.make_dt_interval(days=F.lit(vocab.HORIZON_DAYS)))
     rows = with_id(listings(spark, sf_dir).where(inside)).select("event_id", "ord", "title", "venue", "city", "category", "event_date", "start", "feed", "source_quality", "price_cents", "is_free", "link")
     events = dedup.merge(rows)
@@ -215,20 +212,43 @@ def scored_events(spark, sf_dir):
     tags = F.when(F.col("category") == "Jazz", F.array(F.lit("niche"), F.lit("social"))).when(F.col("category") == "Music", F.array(F.lit("social"), F.lit("outdoor"))).otherwise(none)
     events = events.withColumn("tags", tags).withColumn("v", F.right("venue", F.lit(1)).cast("int"))
     users = users.withColumn("liked_tags", F.when(F.col("user_id") % 4 == 0, none).otherwise(F.array(F.lit("niche"), F.lit("social"), F.lit("outdoor"))))
-    u, v = F.col("user_id"), F.col("v")
+    return users, events
+
+
+#: what of an event a user's own parts of the score depend on
+_BLOCK = ["category_keys", "tags", "venue_label", "v"]
+
+
+def _user_parts() -> dict:
+    u, v, none = F.col("user_id"), F.col("v"), F.array().cast("array<string>")
     days = F.when((u + v) % 5 == 0, 15.0 + v).when((u + v) % 5 == 1, 40.0)
-    pairs = groups.spread_join(events, users, ["city"], "user_id")
-    parts = {
+    return {
         "category_fit": scoring.category_fit(F.col("category_keys"), F.col("weights"), none, plain=True),
         "vibe_fit": scoring.vibe_fit(F.col("tags"), F.col("liked_tags")),
         "semantic_similarity": (u * 3 + v) % 11 / 10.0,
-        "performer_affinity": F.when(F.col("title").endswith("!"), 0.75).otherwise(0.25),
         "location": scoring.location_fit(F.col("venue_label"), F.col("areas"), plain=True),
         "novelty": scoring.novelty(days, F.col("category_keys"), F.transform("weights", lambda w: w["key"]), F.col("tags"), F.col("liked_tags"), plain=True),
+    }
+
+
+def _event_parts() -> dict:
+    return {
+        "performer_affinity": F.when(F.col("title").endswith("!"), 0.75).otherwise(0.25),
         "source_quality": scoring.clamp(F.col("source_quality")),
         "source_coverage": scoring.source_coverage(F.col("source_count")),
         "description_quality": scoring.clamp(F.col("description_quality")),
     }
+
+
+def scored_events(spark, sf_dir):
+    """Every user with every event of their city, scored; they meet by an equi-join on the city."""
+    users, events = _users_and_events(spark, sf_dir)
+    return _scored(groups.spread_join(events, users, ["city"], "user_id"))
+
+
+def _scored(pairs):
+    all_parts = _user_parts() | _event_parts()
+    parts = {n: all_parts[n] for n in vocab.RANK_WEIGHTS}
     kept = ("user_id", "event_id", "ord", "title", "venue", "categories", "event_date", "start", "price_cents", "is_free")
     named = pairs.select(*kept, *(c.alias(f"p_{n}") for n, c in parts.items()))
     score = F.round(scoring.rank_score({n: F.col(f"p_{n}") for n in parts}), 6)
@@ -249,6 +269,15 @@ def rank_topk_per_user(spark, sf_dir):
     return select.top_k(scored_events(spark, sf_dir), 10).select("user_id", "rank", "event_id", "title", "score")
 
 
+@query(_RANK_SQL + "SELECT user_id, rank, event_id, title, score FROM ranked WHERE rank <= 10")
+def rank_topk_bounded(spark, sf_dir):
+    """The same ten, without scoring all pairs: bounds by blocks of events that are alike to a user."""
+    users, events = _users_and_events(spark, sf_dir)
+    own, static = (scoring.weighted(parts, {n: vocab.RANK_WEIGHTS[n] for n in parts}) for parts in (_user_parts(), _event_parts()))
+    best = select.top_k_bounded(users, events, 10, on="city", block=_BLOCK, own=own, static=static, score=_scored)
+    return best.select("user_id", "rank", "event_id", "title", "score")
+
+
 @query(_RANK_SQL + ", w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY novelty DESC, rank) AS wr FROM ranked WHERE score BETWEEN 0.35 AND 0.65 AND novelty >= 0.6) SELECT user_id, rank, event_id FROM w WHERE wr <= 2")
 def wildcard_slots(spark, sf_dir):
     rows = select.ranked(scored_events(spark, sf_dir))

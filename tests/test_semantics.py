@@ -278,3 +278,25 @@ def test_large_blocks_meet_by_grams(spark, monkeypatch):
     assert len(whole) > 100
     monkeypatch.setattr(dedup, "_BLOCK", 30)
     assert read() == whole
+
+
+@pytest.mark.parametrize("seed, k", [(1, 3), (2, 10)])
+def test_bounded_top_k_equals_all_pairs_and_scores_few(spark, seed, k):
+    """Sums with many ties, cities with fewer events than k, users without events; the fewest pairs are scored."""
+    rng = random.Random(seed)
+    events = [(f"c{rng.randrange(4)}", f"b{rng.randrange(6)}", f"e{n}", f"{n:05d}", rng.choice([0.0, 0.1, 0.25, 0.5, rng.random()])) for n in range(900)] + [("small", "b1", "s1", "1", 0.5), ("small", "b2", "s2", "0", 0.5)]
+    users = [(n, rng.choice(["c0", "c1", "c2", "c3", "small", "nowhere"]), rng.choice([0.2, 0.5, 1.0])) for n in range(60)]
+    e = spark.createDataFrame(events, "city string, kind string, event_id string, ord string, value double")
+    u = spark.createDataFrame(users, "user_id int, city string, taste double")
+    own = F.col("taste") * (F.hash("kind", "user_id") % 7) / 7.0
+    seen = []
+
+    def score(pairs):
+        seen.append(pairs)
+        return pairs.withColumn("score", F.round(own + F.col("value"), 6))
+
+    best = select.top_k_bounded(u, e, k, on="city", block=["kind"], own=own, static=F.col("value"), score=score)
+    got = {(r.user_id, r.rank, r.event_id) for r in best.collect()}
+    every = e.join(u, "city").withColumn("score", F.round(own + F.col("value"), 6))
+    assert got == {(r.user_id, r.rank, r.event_id) for r in select.top_k(every, k).collect()}
+    assert seen[0].count() < 0.2 * every.count()
