@@ -10,6 +10,7 @@ from ..catalog import FEEDBACK_NOW, FEEDBACK_SQL, HISTORY_SQL, LISTINGS_SQL, NOW
 from ..functions import categories, scoring, text, vocab
 from ..operators import dedup, groups, keyed, select
 from ..operators import feedback as folds
+from ..storage import stage
 
 QUERIES, ORACLES = {}, {}
 _N, _F = f"TIMESTAMP '{NOW}'", f"TIMESTAMP '{FEEDBACK_NOW}'"
@@ -273,6 +274,7 @@ def rank_topk_per_user(spark, sf_dir):
 def rank_topk_bounded(spark, sf_dir):
     """The same ten, without scoring all pairs: bounds by blocks of events that are alike to a user."""
     users, events = _users_and_events(spark, sf_dir)
+    events = stage(events, "events")  # read for the blocks and for the pairs
     own, static = (scoring.weighted(parts, {n: vocab.RANK_WEIGHTS[n] for n in parts}) for parts in (_user_parts(), _event_parts()))
     best = select.top_k_bounded(users, events, 10, on="city", block=_BLOCK, own=own, static=static, score=_scored)
     return best.select("user_id", "rank", "event_id", "title", "score")
