@@ -178,9 +178,10 @@ def fuzzy_pairs(events: DataFrame) -> DataFrame:
 
 def merge(events: DataFrame, cluster: str = "event_id") -> DataFrame:
     """One row per cluster: the row of the best source (quality, then feed name, then the first in order), all feeds
-    sorted, and how it was merged. One aggregation: the order is folded into the arg-max by inverting its digits."""
+    sorted, and how it was merged. One aggregation: the order is folded into the arg-max by inverting its hex digits, so ``ord`` has
+    digits, a to f and separators at fixed places."""
     rest = [c for c in events.columns if c != cluster]
-    inverted = F.translate("ord", "0123456789", "9876543210")
+    inverted = F.translate("ord", "0123456789abcdef", "fedcba9876543210")
     grouped = events.groupBy(cluster).agg(
         F.max_by(F.struct(*rest), F.struct("source_quality", "feed", inverted)).alias("row"),
         F.array_sort(F.collect_set("feed")).alias("source_feeds"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from ..storage import exists
+from ..storage import exists, open_store
 from . import feeds
 
 PAYLOAD = "feed string, source_type string, token string, payload binary, error string"
@@ -46,7 +46,7 @@ class _Changed(DataSourceStreamReader):
         self.last = self._read("tokens.json") or {}
 
     def _store(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.notes.removeprefix("file:"))
+        return open_store(self.notes)
 
     def _read(self, name: str) -> dict | None:
         store, root = self._store()
@@ -222,7 +222,7 @@ class FolderFeeds:
         self.folder, self.source_type = folder, source_type
 
     def _store(self) -> tuple[fs.FileSystem, str]:
-        return fs.FileSystem.from_uri(self.folder.removeprefix("file:"))
+        return open_store(self.folder)
 
     def _files(self, part: str) -> list[fs.FileInfo]:
         store, root = self._store()

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 #: by application, where no shared folder is set
@@ -54,3 +55,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def open_store(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system that Python code of a task opens ``path`` in, and the path there; file: addresses with any number of slashes are local ones."""
+    return fs.FileSystem.from_uri("/" + path.removeprefix("file:").lstrip("/") if path.startswith("file:") else path)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators import outcomes
-from ..storage import exists
+from ..storage import exists, open_store
 from .folds import rocks
 
 ROWS = "batch long, custom_id string, state string, raw string, error string, polls int"
@@ -40,10 +40,10 @@ class FolderService:
     """A stand-in that keeps its batches as files in a shared folder: ready after ``polls(batch)`` polls; ``answer`` gives the answer of a prompt or raises."""
 
     def __init__(self, folder: str, answer: Callable[[str], str], polls: Callable[[int], int] = lambda batch: 1, fails: Callable[[int], bool] = lambda batch: False):
-        self.folder, self.answer, self.polls, self.fails = folder.removeprefix("file:"), answer, polls, fails
+        self.folder, self.answer, self.polls, self.fails = folder, answer, polls, fails
 
     def _open(self):
-        return fs.FileSystem.from_uri(self.folder)
+        return open_store(self.folder)
 
     def submit(self, key: str, requests: list[tuple[str, str]]) -> str:
         store, root = self._open()
