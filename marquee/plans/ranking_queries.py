@@ -340,7 +340,7 @@ def _risk(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     pick = lambda names, i: F.get(F.array(*(F.lit(x) for x in names)), i.cast("int"))
-    cents = F.when(k % 4 != 0, F.round("o_totalprice").cast("int") % 9000)
+    cents = F.when(k % 4 != 0, F.rint("o_totalprice").cast("int") % 9000)
     parts = scoring.risk_parts(pick(_HALLS, k % 5), cents, k % 11 == 0, F.col("o_orderdate"), pick(_URGENT, c % 5), c % 100 / 100.0, now())
     score = F.round(scoring.risk_score(parts), 6)
     return o.select(k, scoring.venue_size(pick(_HALLS, k % 5)).alias("size"), score.alias("score")).withColumn("band", scoring.risk_band(F.col("score")))
