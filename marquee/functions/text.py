@@ -9,8 +9,8 @@ from . import vocab
 
 
 def strip(c: Column) -> Column:
-    """Without white space of any kind at both ends; trim() takes spaces only."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Without white space of any kind at both ends; trim() takes spaces only. A run of white space is tried once, from its start."""
+    return F.regexp_replace(c, r"(?U)^\s++|(?<!\s)\s++$", "")
 
 
 def collapse(c: Column) -> Column:
@@ -132,10 +132,11 @@ def parse_run_id(c: Column) -> Column:
     return F.try_to_timestamp(c, F.lit("yyyyMMdd-HHmmss"))
 
 
-#: patterns of performer names, as detection and extraction see them. Fixed values.
+#: patterns of performer names, as detection and extraction see them. Fixed values. A name may go on for the whole text: it is taken by a possessive loop, since
+#: Java keeps a stack frame for each word of one that could be given back, which in a long text ends the executor
 NAMED_PERFORMER = (
-    r"(?iU)\b(?:featuring|feat\.?|starring|presents|presented by)\s+([A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)*)",
-    r"(?iU)\bwith\s+(?:special guest\s+)?([A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)*)",
+    r"(?iU)\b(?:featuring|feat\.?|starring|presents|presented by)\s+([A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)*+)",
+    r"(?iU)\bwith\s+(?:special guest\s+)?([A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)*+)",
     r"(?iU)\bDJ\s+([A-Z][\w'-]+)",
 )
 PERFORMER_NAMES = (
