@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..storage import stage
 
-#: liked vectors that go to the executors at once
-BLOCK = 16_384
+#: liked vectors that go to the executors at once, and candidates that a task compares with them at once
+BLOCK, SLICE = 4096, 512
 
 
 def _unit(rows: list) -> np.ndarray:
@@ -49,7 +49,7 @@ def max_cosine(candidates: DataFrame, liked: DataFrame, id_col: str, vector_col:
         shared = candidates.sparkSession.sparkContext.broadcast({n: _unit(v) for n, v in by_length.items()})
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (whole.slice(at, SLICE) for whole in batches for at in range(0, whole.num_rows, SLICE)):
                 vectors, best, seen = batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False).copy(), np.array(batch.column(3).to_pylist(), bool)
                 groups: dict[int, list[int]] = {}
                 for k, v in enumerate(vectors):
