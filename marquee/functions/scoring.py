@@ -66,7 +66,9 @@ def category_fit(categories: Column, weights: Column, interests: Column, plain:
     """Mean weight of each category's first matching key; without weights the share of categories with a stated interest;
     without either 0.5. ``weights``: array of struct<key, weight>, in order."""
     hits = F.filter(F.transform(categories, lambda c: F.get(F.filter(weights, lambda w: matches(c, w["key"], plain)), 0)["weight"]), lambda x: x.isNotNull())
-    by_weight = F.when(F.size(hits) == 0, 0.0).otherwise(F.aggregate(hits, F.lit(0.0), lambda a, x: a + x) / F.size(hits))
+    # sum and number in one pass: what names ``hits`` twice works it out twice
+    nothing = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+    by_weight = F.aggregate(hits, nothing, lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + 1).alias("n")), lambda a: F.when(a["n"] == 0, 0.0).otherwise(a["sum"] / a["n"]))
     share = F.size(F.filter(categories, lambda c: F.exists(interests, lambda i: matches(c, i, plain)))) / F.size(categories)
     return F.when(F.size(categories) <= 0, 0.0).when(F.size(weights) > 0, clamp(by_weight)).when(F.size(interests) > 0, clamp(share)).otherwise(vocab.NEUTRAL_FIT)
 

@@ -33,11 +33,16 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str], bound: int) -> Da
     return rows.join(F.broadcast(few) if few.count() <= bound else few.hint("merge"), keys)
 
 
-def spread_join(few: DataFrame, many: DataFrame, keys: list[str], deal: str, parts: int = 16) -> DataFrame:
+def spread_join(few: DataFrame, many: DataFrame, keys: list[str], deal: str, parts: int = 64) -> DataFrame:
     """Inner join on keys that are no bound for a task: the rows of ``many`` that share one are dealt into parts by ``deal``, each of which gets a copy of
-    the key's rows of ``few``, the smaller side."""
-    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    return copies.join(many.withColumn("_part", F.pmod(F.xxhash64(deal), F.lit(parts)).cast("int")), [*keys, "_part"]).drop("_part")
+    the key's rows of ``few``, the smaller side. The part stays as ``_part``.
+
+    The work is in the pairs, not in the rows that are read, so the number of tasks is a fixed one: small inputs would be merged into few tasks, or broadcast to the few
+    that read a small file. Rows come out dealt by ``keys`` and ``_part``, so a group by these and more needs no exchange."""
+    tasks = int(few.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    copies = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).repartition(tasks, *keys, "_part")
+    dealt = many.withColumn("_part", F.pmod(F.xxhash64(deal), F.lit(parts)).cast("int")).repartition(tasks, *keys, "_part")
+    return copies.join(dealt.hint("merge"), [*keys, "_part"])
 
 
 def bounded_groups(members: DataFrame, keys: list[str], payload: list[str], salt: Column, limit: int) -> DataFrame:

@@ -14,14 +14,15 @@ from ..functions import vocab
 from .groups import spread_join
 
 
-def ranked(scored: DataFrame, user: str = "user_id") -> DataFrame:
-    """rank 1..n per user, best score first, ties in input order."""
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(F.desc("score"), "ord")))
+def ranked(scored: DataFrame, user: str = "user_id", within: tuple[str, ...] = ()) -> DataFrame:
+    """rank 1..n per user, best score first, ties in input order. ``within``: columns with one value for each user, by which the rows are dealt to tasks already
+    (see ``spread_join``); with them no exchange is needed."""
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*within, user).orderBy(F.desc("score"), "ord")))
 
 
-def top_k(scored: DataFrame, k: int, user: str = "user_id") -> DataFrame:
-    """The best k per user; the group limit is pushed below the shuffle by the optimizer."""
-    return ranked(scored, user).where(F.col("rank") <= k)
+def top_k(scored: DataFrame, k: int, user: str = "user_id", within: tuple[str, ...] = ()) -> DataFrame:
+    """The best k per user; where there is an exchange, the group limit is pushed below it by the optimizer."""
+    return ranked(scored, user, within).where(F.col("rank") <= k)
 
 
 def top_k_bounded(users: DataFrame, events: DataFrame, k: int, *, on: str, block: list[str], own: Column, static: Column, score: Callable[[DataFrame], DataFrame], user: str = "user_id", slack: float = 2e-6) -> DataFrame:
@@ -35,20 +36,26 @@ def top_k_bounded(users: DataFrame, events: DataFrame, k: int, *, on: str, block
     rated = events.withColumn("_static", static)
     best = rated.select(*keys, "_static").withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_static")))).where(F.col("_n") <= k)
     blocks = best.groupBy(*keys).agg(F.sort_array(F.collect_list("_static"), asc=False).alias("_best"))
-    met = spread_join(blocks, users, [on], user).withColumn("_own", own)
-    sums = met.select(user, F.explode(F.transform("_best", lambda x: x + F.col("_own"))).alias("_sum"))
-    sums = sums.withColumn("_n", F.row_number().over(Window.partitionBy(user).orderBy(F.desc("_sum")))).where(F.col("_n") <= k)
-    bar = sums.groupBy(user).agg(F.when(F.count("*") == k, F.min("_sum")).otherwise(float("-inf")).alias("_bar"))
-    open_ = met.join(bar, user).withColumn("_least", F.col("_bar") - F.col("_own") - slack).where(F.get("_best", F.lit(0)) >= F.col("_least")).drop("_best", "_bar", "_own")
+    met = spread_join(blocks, users, [on], user)
+    # a user's blocks stand in one row, made where they met
+    item = F.struct(*block, own.alias("own"), F.col("_best").alias("best"))
+    rest = [c for c in users.columns if c not in (on, user)]
+    held = met.groupBy(on, "_part", user).agg(F.first(F.struct(*rest)).alias("_user"), F.collect_list(item).alias("_blocks"))
+    sums = F.flatten(F.transform("_blocks", lambda b: F.transform(b["best"], lambda x: x + b["own"])))
+    bar = F.coalesce(F.get(F.sort_array(sums, asc=False), F.lit(k - 1)), F.lit(float("-inf")))
+    barred = held.select(on, user, "_user", "_blocks", bar.alias("_bar"))
+    reach = F.filter("_blocks", lambda b: F.get(b["best"], F.lit(0)) >= F.col("_bar") - b["own"] - slack)
+    open_ = barred.select(on, user, "_user.*", "_bar", F.explode(reach).alias("_block"))
+    open_ = open_.select(on, user, *rest, *(F.col("_block")[c].alias(c) for c in block), (F.col("_bar") - F.col("_block")["own"] - slack).alias("_least"))
     pairs = spread_join(rated, open_, keys, user).where(F.col("_static") >= F.col("_least")).drop("_static", "_least")
     return top_k(score(pairs), k, user)
 
 
-def wildcards(rows: DataFrame, user: str = "user_id") -> Column:
+def wildcards(rows: DataFrame, user: str = "user_id", within: tuple[str, ...] = ()) -> Column:
     """Whether a ranked row is one of the two most novel of middling score."""
     low, high = vocab.WILDCARD_SCORES
     fit = F.col("score").between(low, high) & (F.col("novelty") >= vocab.WILDCARD_MIN_NOVELTY)
-    w = Window.partitionBy(user, fit).orderBy(F.desc("novelty"), "rank")
+    w = Window.partitionBy(*within, user, fit).orderBy(F.desc("novelty"), "rank")
     return fit & (F.row_number().over(w) <= vocab.WILDCARD_SLOTS)
 
 
@@ -120,25 +127,31 @@ def choose(pool: list[dict], limit: int = vocab.MAX_PICKS) -> list[dict]:
     return by_score(picks, best=True)
 
 
-def curate(rows: DataFrame, user: str = "user_id", limit: int = vocab.MAX_PICKS) -> DataFrame:
+#: pools that a task holds as Python rows at once
+_POOLS = 32
+
+
+def curate(rows: DataFrame, user: str = "user_id", limit: int = vocab.MAX_PICKS, within: tuple[str, ...] = ()) -> DataFrame:
     """The greedy choice per user. A user's pool is what was ranked for them; it is first cut to the rows that could ever be
     chosen: per category and venue the choice takes few, but dates and wildcards may reach further, so wildcards and the
-    best rows of each (venue, categories, date) stay."""
+    best rows of each (venue, categories, date) stay. ``within`` as in ``ranked``. A task takes a few pools at a time."""
     kinds = F.when(F.size("categories") > 0, F.transform("categories", F.lower)).otherwise(F.array(F.lit("uncategorized")))
     keyed = rows.withColumn("_kinds", kinds)
-    w = Window.partitionBy(user, "venue", "_kinds", "event_date", "wildcard").orderBy("rank")
+    w = Window.partitionBy(*within, user, "venue", "_kinds", "event_date", "wildcard").orderBy("rank")
     few = keyed.withColumn("_n", F.row_number().over(w)).where((F.col("_n") <= limit) | F.col("wildcard")).drop("_n")
 
     kind = dict(rows.dtypes)[user]
     pick = "array<struct<event_id:string,score:double,wildcard:boolean>>"
     item = F.struct("rank", "event_id", "score", F.col("_kinds").alias("categories"), "venue", F.col("event_date").alias("date"), "wildcard")
-    pools = few.groupBy(user).agg(F.array_sort(F.collect_list(item)).alias("pool"))
+    pools = few.groupBy(*within, user).agg(F.array_sort(F.collect_list(item)).alias("pool")).select(user, "pool")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shape = pa.list_(pa.struct([("event_id", pa.string()), ("score", pa.float64()), ("wildcard", pa.bool_())]))
-        for batch in batches:
-            chosen = [[{k: r[k] for k in ("event_id", "score", "wildcard")} for r in choose(pool, limit)] for pool in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, shape)], names=[user, "picks"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, _POOLS):
+                batch = whole.slice(at, _POOLS)
+                chosen = [[{k: r[k] for k in ("event_id", "score", "wildcard")} for r in choose(pool, limit)] for pool in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chosen, shape)], names=[user, "picks"])
 
     picked = pools.mapInArrow(run, f"`{user}` {kind}, picks {pick}")
     each = picked.select(user, F.posexplode("picks").alias("position", "pick"))

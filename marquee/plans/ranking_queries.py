@@ -213,6 +213,7 @@ def _users_and_events(spark, sf_dir):
     tags = F.when(F.col("category") == "Jazz", F.array(F.lit("niche"), F.lit("social"))).when(F.col("category") == "Music", F.array(F.lit("social"), F.lit("outdoor"))).otherwise(none)
     events = events.withColumn("tags", tags).withColumn("v", F.right("venue", F.lit(1)).cast("int"))
     users = users.withColumn("liked_tags", F.when(F.col("user_id") % 4 == 0, none).otherwise(F.array(F.lit("niche"), F.lit("social"), F.lit("outdoor"))))
+    users = users.withColumn("known", F.transform("weights", lambda w: w["key"]))
     return users, events
 
 
@@ -228,7 +229,7 @@ def _user_parts() -> dict:
         "vibe_fit": scoring.vibe_fit(F.col("tags"), F.col("liked_tags")),
         "semantic_similarity": (u * 3 + v) % 11 / 10.0,
         "location": scoring.location_fit(F.col("venue_label"), F.col("areas"), plain=True),
-        "novelty": scoring.novelty(days, F.col("category_keys"), F.transform("weights", lambda w: w["key"]), F.col("tags"), F.col("liked_tags"), plain=True),
+        "novelty": scoring.novelty(days, F.col("category_keys"), F.col("known"), F.col("tags"), F.col("liked_tags"), plain=True),
     }
 
 
@@ -241,8 +242,12 @@ def _event_parts() -> dict:
     }
 
 
+#: how pairs are dealt to tasks; a user has one value of each
+_DEALT = ("city", "_part")
+
+
 def scored_events(spark, sf_dir):
-    """Every user with every event of their city, scored; they meet by an equi-join on the city."""
+    """Every user with every event of their city, scored; they meet by an equi-join on the city, and stay dealt by ``_DEALT``."""
     users, events = _users_and_events(spark, sf_dir)
     return _scored(groups.spread_join(events, users, ["city"], "user_id"))
 
@@ -250,7 +255,7 @@ def scored_events(spark, sf_dir):
 def _scored(pairs):
     all_parts = _user_parts() | _event_parts()
     parts = {n: all_parts[n] for n in vocab.RANK_WEIGHTS}
-    kept = ("user_id", "event_id", "ord", "title", "venue", "categories", "event_date", "start", "price_cents", "is_free")
+    kept = (*_DEALT, "user_id", "event_id", "ord", "title", "venue", "categories", "event_date", "start", "price_cents", "is_free")
     named = pairs.select(*kept, *(c.alias(f"p_{n}") for n, c in parts.items()))
     score = F.round(scoring.rank_score({n: F.col(f"p_{n}") for n in parts}), 6)
     return named.withColumn("score", score).withColumn("novelty", F.col("p_novelty"))
@@ -267,7 +272,7 @@ def rank_composite(spark, sf_dir):
 @query(_RANK_SQL + "SELECT user_id, rank, event_id, title, score FROM ranked WHERE rank <= 10")
 def rank_topk_per_user(spark, sf_dir):
     """The ten best events of each user."""
-    return select.top_k(scored_events(spark, sf_dir), 10).select("user_id", "rank", "event_id", "title", "score")
+    return select.top_k(scored_events(spark, sf_dir), 10, within=_DEALT).select("user_id", "rank", "event_id", "title", "score")
 
 
 @query(_RANK_SQL + "SELECT user_id, rank, event_id, title, score FROM ranked WHERE rank <= 10")
@@ -282,8 +287,8 @@ def rank_topk_bounded(spark, sf_dir):
 
 @query(_RANK_SQL + ", w AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY novelty DESC, rank) AS wr FROM ranked WHERE score BETWEEN 0.35 AND 0.65 AND novelty >= 0.6) SELECT user_id, rank, event_id FROM w WHERE wr <= 2")
 def wildcard_slots(spark, sf_dir):
-    rows = select.ranked(scored_events(spark, sf_dir))
-    return rows.withColumn("wildcard", select.wildcards(rows)).where("wildcard").select("user_id", "rank", "event_id")
+    rows = select.ranked(scored_events(spark, sf_dir), within=_DEALT)
+    return rows.withColumn("wildcard", select.wildcards(rows, within=_DEALT)).where("wildcard").select("user_id", "rank", "event_id")
 
 
 #: the greedy choice, a pick for each round of the recursion: the first row after the last pick that has room. With three categories no list
@@ -309,9 +314,9 @@ SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY score DESC
 @query(_CURATE_SQL)
 def curate_greedy(spark, sf_dir):
     """Each user's list under the caps on categories, venues, dates and wildcards."""
-    rows = select.ranked(scored_events(spark, sf_dir))
-    rows = rows.withColumn("wildcard", select.wildcards(rows)).withColumn("venue", text.venue_group_key(F.col("venue")))
-    return select.curate(rows).withColumn("score", F.round("score", 6))
+    rows = select.ranked(scored_events(spark, sf_dir), within=_DEALT)
+    rows = rows.withColumn("wildcard", select.wildcards(rows, within=_DEALT)).withColumn("venue", text.venue_group_key(F.col("venue")))
+    return select.curate(rows, within=_DEALT).withColumn("score", F.round("score", 6))
 
 
 _URGENT = ["plenty of seating", "Almost sold out - last chance", "no cover, selling fast", "walk-up welcome, no cover", ""]
