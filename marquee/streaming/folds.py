@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
@@ -51,6 +51,18 @@ def run_to_end(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(f"{root}/rows")
 
 
+_NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
+
+def _numbers_as_text(df: DataFrame) -> list[Column]:
+    """The columns of ``df`` as pandas can hold them without loss: beside nulls its whole numbers are floats, and not-a-number is null."""
+    return [F.col(f"`{n}`").cast("string").alias(n) if t in _NUMBERS else F.col(f"`{n}`") for n, t in df.dtypes]
+
+
+def _numbers_back(df: DataFrame, like: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"`{n}`").cast(t).alias(n) if t in _NUMBERS else F.col(f"`{n}`") for n, t in like.dtypes))
+
+
 class _Weights(StatefulProcessor):
     """State of a user: the weight and number of signals of each of their keys, which are few (categories). Emitted are the keys that a micro-batch has changed."""
 
@@ -102,49 +114,60 @@ def fold_stream(signals: DataFrame, keys: list[str], now, start: float = vocab.N
 
 
 class _Seen(StatefulProcessor):
-    """State of a key: until when it counts as seen. A timer of the stream's clock clears it."""
+    """State of a bucket of keys, one value: until when each key counts as seen. A timer of the stream's clock, set where a bucket has keys, leaves those that are over out."""
 
     def __init__(self, columns: list[str], ttl_us: int):
         self.columns, self.ttl_us = columns, ttl_us
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.until = handle.getValueState("until", "until_us long", None)
+        self.until = handle.getValueState("until", "seen_key array<string>, until_us array<long>", None)
+
+    def _keep(self, held: dict[str, int], clock: bool) -> None:
+        self.until.update((list(held), list(held.values())))
+        if clock:
+            self.handle.registerTimer(-(-max(held.values()) // 1000))
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(["seen_us", "seen_order"], kind="stable")
-        until = before = self.until.get()[0] if self.until.exists() else None
-        keep = []
-        for us in pdf["seen_us"].tolist():
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["seen_us", "seen_order"], kind="stable")
+        held = dict(zip(*self.until.get(), strict=True)) if self.until.exists() else {}
+        first, keep = not held, []
+        for name, us in zip(pdf["seen_key"].tolist(), pdf["seen_us"].tolist(), strict=True):
+            until = held.get(name)
             keep.append(until is None or until <= us)
             if keep[-1]:
-                until = us + self.ttl_us
-        if until != before:
-            self.until.update((until,))
-            self.handle.registerTimer(-(-until // 1000))
+                held[name] = us + self.ttl_us
         if any(keep):
+            self._keep(held, first)
             yield pdf.loc[keep, self.columns]
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        # a key that was let through again has a later timer
-        if self.until.exists() and self.until.get()[0] <= 1000 * expiredTimerInfo.getExpiryTimeInMs():
-            self.until.clear()
+        if self.until.exists():
+            now = 1000 * timerValues.getCurrentWatermarkInMs()
+            held = {name: until for name, until in zip(*self.until.get(), strict=True) if until > now}
+            if held:
+                self._keep(held, True)
+            else:
+                self.until.clear()
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def unseen(entries: DataFrame, keys: list[str], arrived_at: str, ttl_days: int = vocab.CACHE_TTL_DAYS["seen_entries"]) -> DataFrame:
+def unseen(entries: DataFrame, keys: list[str], arrived_at: str, ttl_days: int = vocab.CACHE_TTL_DAYS["seen_entries"], buckets: int = 1024) -> DataFrame:
     """A stream of the entries whose key was not seen in the last ``ttl_days`` before they arrived. A key is seen from the entry that is let through until the days are over;
-    those that are held back don't prolong it. The clock is that of ``arrived_at``: a key's state is cleared once arrivals are as many days past its end,
-    so state is bounded by the keys of twice that span, and entries that are told so late are dropped. Entries of one micro-batch are taken in order of
-    arrival, those that arrived together in order of their contents. Null keys are keys like others; entries that don't say when they arrived are left out."""
+    those that are held back don't prolong it. The clock is that of ``arrived_at``: keys are forgotten once arrivals are as many days past the end of all that their bucket had when its timer was set,
+    so state is bounded by the keys of three times that span, and entries that are told so late are dropped. Entries of one micro-batch are taken in order of
+    arrival, those that arrived together in order of their contents. Null keys are keys like others; entries that don't say when they arrived are left out.
+
+    Keys are dealt into ``buckets`` by their hash, so that Python and the state store are called once for each bucket of a micro-batch, not for each key; the number stays the same for a path."""
     at = F.col(arrived_at).cast("timestamp")
     extra = at.alias("seen_at"), F.unix_micros(at).alias("seen_us"), F.to_json(F.struct(*entries.columns)).alias("seen_order"), F.to_json(F.struct(*keys)).alias("seen_key")
-    dated = entries.where(F.col(arrived_at).isNotNull()).select("*", *extra)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in entries.schema.fields)
-    return dated.withWatermark("seen_at", f"{ttl_days} days").groupBy("seen_key").transformWithStateInPandas(_Seen(entries.columns, ttl_days * 86_400_000_000), schema, "Append", "EventTime")
+    dated = entries.where(F.col(arrived_at).isNotNull()).select(*_numbers_as_text(entries), *extra).withColumn("seen_bucket", F.pmod(F.xxhash64("seen_key"), F.lit(buckets)))
+    schema = ", ".join(f"`{n}` {t}" for n, t in dated.select(*entries.columns).dtypes)
+    seen = _Seen(entries.columns, ttl_days * 86_400_000_000)
+    return _numbers_back(dated.withWatermark("seen_at", f"{ttl_days} days").groupBy("seen_bucket").transformWithStateInPandas(seen, schema, "Append", "EventTime"), entries)
 
 
 def with_history(events: DataFrame, history: DataFrame, keys: list[str], now) -> DataFrame:
