@@ -59,45 +59,57 @@ def _numbers_as_text(df: DataFrame) -> list[Column]:
     return [F.col(f"`{n}`").cast("string").alias(n) if t in _NUMBERS else F.col(f"`{n}`") for n, t in df.dtypes]
 
 
-def _numbers_back(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*(F.col(f"`{n}`").cast(t).alias(n) if t in _NUMBERS else F.col(f"`{n}`") for n, t in like.dtypes))
+def _numbers_back(df: DataFrame, like: DataFrame, *more: str) -> DataFrame:
+    return df.select(*(F.col(f"`{n}`").cast(t).alias(n) if t in _NUMBERS else F.col(f"`{n}`") for n, t in like.dtypes), *more)
 
 
 class _Weights(StatefulProcessor):
-    """State of a user: the weight and number of signals of each of their keys, which are few (categories). Emitted are the keys that a micro-batch has changed."""
+    """State of a bucket of users: by user, the weight and number of signals of each of their keys, which are few (categories). Emitted are the keys that a micro-batch has changed."""
 
-    def __init__(self, names: list[str], kinds: list[str], start: float):
-        self.names, self.kinds, self.start = names, kinds, start
+    def __init__(self, keys: list[tuple[str, str]], start: float):
+        self.names, self.kinds, self.start = [n for n, _ in keys], [t for _, t in keys], start
 
     def init(self, handle) -> None:
-        columns = ", ".join(f"{n} {k}" for n, k in zip(self.names[1:], self.kinds[1:], strict=True))
-        self.held = handle.getMapState("weights", columns, "weight double, n_signals long")
+        rest = ", ".join(f"k{i}: {t}" for i, t in enumerate(self.kinds[1:]))
+        self.held = handle.getMapState("weights", f"user {self.kinds[0]}", f"at array<struct<{rest}>>, weight array<double>, n_signals array<long>")
 
     def handleInputRows(self, key, rows, timerValues):
-        pdf = pd.concat(list(rows)).sort_values(["ts", "event_id"], kind="stable")
+        pdf = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "step_no_id", "step_id"], kind="stable")
+        columns = [pdf[n].astype(object).where(pdf[n].notna(), None).tolist() for n in self.names]
+        steps: dict[object, dict[tuple, list[float]]] = {}
+        for user, *rest, d in zip(*columns, pdf["d"].tolist(), strict=True):
+            steps.setdefault(user, {}).setdefault(tuple(rest), []).append(d)
         out = []
-        for rest, steps in pdf.groupby(self.names[1:], dropna=False, sort=False):
-            at = tuple(None if pd.isna(v) else int(v) if kind in ("int", "bigint") else v for v, kind in zip(rest, self.kinds[1:], strict=True))  # with nulls among them, pandas holds floats
-            weight, n = self.held.getValue(at) if self.held.containsKey(at) else (self.start, 0)
-            for d in steps["d"]:
-                weight = min(1.0, max(0.0, weight + d))
-            n += len(steps)
-            self.held.updateValue(at, (weight, n))
-            out.append((key[0], *at, weight, n))
+        for user, changed in steps.items():
+            kept = self.held.getValue((user,))
+            held = {tuple(at): (weight, n) for at, weight, n in zip(*kept, strict=True)} if kept else {}
+            for rest, ds in changed.items():
+                weight, n = held.get(rest, (self.start, 0))
+                for d in ds:
+                    weight = min(1.0, max(0.0, weight + d))
+                held[rest] = weight, n + len(ds)
+                out.append((user, *rest, *held[rest]))
+            self.held.updateValue((user,), (list(held), [w for w, _ in held.values()], [n for _, n in held.values()]))
         yield pd.DataFrame(out, columns=[*self.names, "weight", "n_signals"])
 
     def close(self) -> None:
         pass
 
 
-def weight_changes(signals: DataFrame, keys: list[str], now, start: float = vocab.NEUTRAL_FIT) -> DataFrame:
+def weight_changes(signals: DataFrame, keys: list[str], now, start: float = vocab.NEUTRAL_FIT, buckets: int = 1024) -> DataFrame:
     """A stream of (keys, weight, n_signals): the keys that each micro-batch of signals (keys, ts, event_id, signal) has changed, with their weight after it. Steps of
-    a micro-batch are folded in order of time and id; the weights live in the stream's state, by the first key, so a batch reads and writes those of
-    its own users alone. Bound a micro-batch by the source's options: a user's share of one is in one task."""
-    kinds = [dict(signals.dtypes)[k] for k in keys]
-    steps = signals.select(*keys, "ts", "event_id", delta(F.col("signal"), F.col("ts"), now).alias("d"))
-    schema = ", ".join([*(f"{n} {k}" for n, k in zip(keys, kinds, strict=True)), "weight double, n_signals long"])
-    return steps.groupBy(keys[0]).transformWithStateInPandas(_Weights(keys, kinds, start), schema, "Append", "None")
+    a micro-batch are folded in order of time and id; the weights live in the stream's state, by the first key (the user), so a batch reads and writes those of
+    its own users alone. Bound a micro-batch by the source's options: a user's share of one is in one task.
+
+    Users are dealt into ``buckets`` by their hash, and Python is called once for each bucket of a micro-batch, not for each user; the number stays the same for a path."""
+    ident = F.coalesce("event_id", F.lit(0).cast(dict(signals.dtypes)["event_id"])).alias("step_id")  # nulls last, and ids whole
+    extra = F.col("event_id").isNull().alias("step_no_id"), ident, delta(F.col("signal"), F.col("ts"), now).alias("d"), F.pmod(F.xxhash64(keys[0]), F.lit(buckets)).alias("step_bucket")
+    of_keys = signals.select(*keys)
+    steps = signals.select(*_numbers_as_text(of_keys), "ts", *extra)
+    kinds = steps.select(*keys).dtypes
+    schema = ", ".join([*(f"`{n}` {t}" for n, t in kinds), "weight double, n_signals long"])
+    changes = steps.groupBy("step_bucket").transformWithStateInPandas(_Weights(kinds, start), schema, "Append", "None")
+    return _numbers_back(changes, of_keys, "weight", "n_signals")
 
 
 def fold_stream(signals: DataFrame, keys: list[str], now, start: float = vocab.NEUTRAL_FIT, path: str | None = None) -> DataFrame:
