@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def latest_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -32,6 +33,15 @@ def hits_and_misses(entries: DataFrame, cache: DataFrame, keys: list[str], now:
     return entries.join(live, keys), entries.join(live.select(*keys), keys, "left_anti")
 
 
+def hits_of_own(rows: DataFrame, keys: list[str], expires_at: str, now: Column) -> DataFrame:
+    """``hits_and_misses`` where the cache's writes are among the entries themselves: each row with ``hit``, true where a row of its key has an ``expires_at`` (null: no
+    write) after ``now``. The rows are made, exchanged and sorted once. A null in a key is no match."""
+    live = F.max(F.coalesce(F.col(expires_at) > now, F.lit(False))).over(Window.partitionBy(*keys))
+    for k in keys:
+        live = live & F.col(k).isNotNull()
+    return rows.withColumn("hit", live)
+
+
 def partial_upsert(old: DataFrame, new: DataFrame, key: str, groups: dict[str, list[str]], expiry: dict[str, Column]) -> DataFrame:
     """Only the column groups that ``new`` supplies are refreshed, each with an expiry of its own
     (``<group>_expires_at``); the others keep value and clock. A group counts as supplied where its first column isn't null."""
@@ -61,6 +71,11 @@ def cached_then_new(cached: DataFrame, new: DataFrame, order: str) -> DataFrame:
     return place(cached, 0).unionByName(place(new, 1))
 
 
+def placed(rows: DataFrame, hit: str, order: str) -> DataFrame:
+    """``cached_then_new`` of rows that tell by ``hit`` to which part they belong: ``position`` is added to each."""
+    return rows.withColumn("position", F.struct(F.when(F.col(hit), 0).otherwise(1).alias("part"), F.col(order).alias("at")))
+
+
 def first_rows(rows: DataFrame, order: str, most: int | None) -> DataFrame:
     """The first ``most`` rows by ``order``, all without a limit: a cap that a user asks for, such as on what is sent to a paid model."""
     return rows if most is None else rows.orderBy(order).limit(most)
